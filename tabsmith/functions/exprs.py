@@ -20,21 +20,14 @@ TRUNCATION_SUFFIX = " chars truncated...]\n"
 WARNING_BLOCK_PATTERN = r"(?m)^/.+?:\d+:.*?Warning:.*?$\n(?:^\s+.*?$\n)*"
 # Token pattern equal to a Unicode "\b\w\w+\b": runs of 2+ letters, digits or "_".
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# Ordered list of datetime layouts tried by the lenient parser.
+# Layouts tried after the ISO forms a plain cast accepts
+# (yyyy-MM-dd, yyyy-MM-dd HH:mm:ss[.ffffff], with a space or "T").
 DATETIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
     "MM/dd/yyyy HH:mm:ss",
     "MM/dd/yyyy",
     "yyyy/MM/dd",
 ]
 
-
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -64,7 +57,9 @@ def lenient_timestamp(col: str | Column, dtype: T.DataType | None = None) -> Col
     if dtype is not None and isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
     s = F.btrim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in DATETIME_FORMATS])
+    tries = [s.try_cast("timestamp_ntz")]
+    tries += [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in DATETIME_FORMATS]
+    return F.coalesce(*tries)
 
 
 def date_parts(col: str | Column, name: str, dtype: T.DataType | None = None) -> dict[str, Column]:
