@@ -1,0 +1,227 @@
+"""Registered queries: feature plan and encoders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.exprs import date_parts, lenient_double, log1p_clipped, missing_indicator
+from ..operators import features as fe
+from ..operators.quality import q
+from ..sources.tables import fixture, table, with_views
+from .registry import register
+
+_FREQ_SQL = """
+, fr as (select coalesce(event_type, 'nan') as v, cast(count(*) as double) as c from v_events_train group by 1)"""
+
+
+@register(
+    "missing_indicators",
+    with_views(
+        """
+select event_id, cast(value is null or isnan(value) as integer) as value__is_missing,
+       cast(event_type is null as integer) as event_type__is_missing from v_events""",
+        "v_events",
+    ),
+)
+def missing_indicators_query(spark: SparkSession, sf: str) -> DataFrame:
+    """0/1 NULL/NaN indicators."""
+    df = fixture(spark, sf, "v_events")
+    return df.select(
+        "event_id",
+        missing_indicator(q("value"), df.schema["value"].dataType).alias("value__is_missing"),
+        missing_indicator(q("event_type"), df.schema["event_type"].dataType).alias("event_type__is_missing"),
+    )
+
+
+@register(
+    "datetime_parts",
+    with_views(
+        """
+select event_id, cast(year(try_cast(ts_text as timestamp)) as double) as ts_text__year,
+       cast(month(try_cast(ts_text as timestamp)) as double) as ts_text__month,
+       cast(day(try_cast(ts_text as timestamp)) as double) as ts_text__day from v_events""",
+        "v_events",
+    ),
+)
+def datetime_parts_query(spark: SparkSession, sf: str) -> DataFrame:
+    """lenient parse of a text timestamp, then year/month/day (bad -> NULL)."""
+    df = fixture(spark, sf, "v_events")
+    parts = date_parts(q("ts_text"), "ts_text", df.schema["ts_text"].dataType)
+    return df.select("event_id", *[c.alias(n) for n, c in parts.items()])
+
+
+@register(
+    "log1p_columns",
+    with_views(
+        """
+select event_id, value, case when value is not null then round(ln(1 + greatest(value, 0.0)), 9) end as value__log1p,
+       case when try_cast(props as double) is not null then round(ln(1 + greatest(try_cast(props as double), 0.0)), 9) end as props__log1p from v_events""",
+        "v_events",
+    ),
+)
+def log1p_columns_query(spark: SparkSession, sf: str) -> DataFrame:
+    """lenient numeric parse, clip at 0, log1p; NULL stays NULL."""
+    df = fixture(spark, sf, "v_events")
+    props = lenient_double(q("props"), df.schema["props"].dataType)
+    return df.select(
+        "event_id",
+        "value",
+        F.round(log1p_clipped(q("value")), 9).alias("value__log1p"),
+        F.round(log1p_clipped(props), 9).alias("props__log1p"),
+    )
+
+
+@register(
+    "frequency_encode",
+    with_views(
+        _FREQ_SQL
+        + """
+select 'train' as part, t.event_id, coalesce(fr.c, 0.0) as event_type__freq
+from v_events_train t left join fr on coalesce(t.event_type, 'nan') = fr.v
+union all
+select 'test', t.event_id, coalesce(fr.c, 0.0)
+from v_events_test t left join fr on coalesce(t.event_type, 'nan') = fr.v""",
+        "v_events_train",
+        "v_events_test",
+    ),
+)
+def frequency_encode_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Training counts of the string form (NULL -> 'nan') mapped onto train and test; unseen -> 0."""
+    train = fixture(spark, sf, "v_events_train")
+    test = fixture(spark, sf, "v_events_test")
+    freq = fe.frequency_table(train, "event_type")
+    a = fe.apply_frequency(train, "event_type", freq).select(F.lit("train").alias("part"), "event_id", "event_type__freq")
+    b = fe.apply_frequency(test, "event_type", freq).select(F.lit("test").alias("part"), "event_id", "event_type__freq")
+    return a.unionByName(b)
+
+
+_PLAN = {
+    "missing_indicators": ["value", "not_a_column"],
+    "datetime_parts": ["ts_text"],
+    "log1p_columns": ["value"],
+    "frequency_encode": ["event_type", "user_id"],
+    "transforms_applied": ["missing", "dates", "log1p", "freq"],
+    "unknown_key": ["ignored"],
+}
+_PLAN_COLS = """t.event_id, t.user_id, t.ts_text, t.value, t.event_type, t.props,
+       cast(t.value is null or isnan(t.value) as integer) as value__is_missing,
+       cast(year(try_cast(t.ts_text as timestamp)) as double) as ts_text__year,
+       cast(month(try_cast(t.ts_text as timestamp)) as double) as ts_text__month,
+       cast(day(try_cast(t.ts_text as timestamp)) as double) as ts_text__day,
+       case when t.value is not null then round(ln(1 + greatest(t.value, 0.0)), 9) end as value__log1p,
+       coalesce(fe.c, 0.0) as event_type__freq, coalesce(fu.c, 0.0) as user_id__freq"""
+
+
+@register(
+    "feature_plan",
+    with_views(
+        _FREQ_SQL.replace("fr as", "fe as")
+        + """
+, fu as (select cast(user_id as varchar) as v, cast(count(*) as double) as c from v_events_train group by 1)
+select 'train' as part, """
+        + _PLAN_COLS
+        + """
+from v_events_train t left join fe on coalesce(t.event_type, 'nan') = fe.v left join fu on cast(t.user_id as varchar) = fu.v
+union all
+select 'test', """
+        + _PLAN_COLS
+        + """
+from v_events_test t left join fe on coalesce(t.event_type, 'nan') = fe.v left join fu on cast(t.user_id as varchar) = fu.v""",
+        "v_events_train",
+        "v_events_test",
+    ),
+)
+def feature_plan_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The full plan on events train/test (absent columns and unknown keys ignored)."""
+    train = fixture(spark, sf, "v_events_train")
+    test = fixture(spark, sf, "v_events_test")
+    tr, te = fe.apply_feature_plan(train, test, fe.FeaturePlan.from_spec(_PLAN), target=None)
+    tr = tr.withColumn("value__log1p", F.round("value__log1p", 9))
+    te = te.withColumn("value__log1p", F.round("value__log1p", 9))
+    return tr.select(F.lit("train").alias("part"), *tr.columns).unionByName(te.select(F.lit("test").alias("part"), *te.columns))
+
+
+@register(
+    "impute_median",
+    with_views("select median(value) as median from v_events where value is not null and not isnan(value)", "v_events"),
+)
+def impute_median_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact median by distributed selection (mean of the middle two)."""
+    return fe.exact_median(fixture(spark, sf, "v_events"), "value")
+
+
+@register(
+    "impute_mode",
+    with_views(
+        """
+select value, rows from (
+  select event_type as value, count(*) as rows,
+         row_number() over (order by count(*) desc, event_type) as rn
+  from v_events where event_type is not null group by event_type) where rn = 1""",
+        "v_events",
+    ),
+)
+def impute_mode_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Most frequent value, ties -> smallest."""
+    return fe.most_frequent(fixture(spark, sf, "v_events"), "event_type")
+
+
+@register(
+    "standardize",
+    with_views(
+        """
+select 'value' as "column", round(avg(value), 9) as mean, round(stddev_pop(value), 9) as std_pop from v_events
+union all select 'user_id', round(avg(user_id), 9), round(stddev_pop(user_id), 9) from v_events""",
+        "v_events",
+    ),
+)
+def standardize_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and population std (Spark ML's scaler uses the sample std)."""
+    s = fe.mean_std(fixture(spark, sf, "v_events"), ["value", "user_id"])
+    return s.select("column", F.round("mean", 9).alias("mean"), F.round("std_pop", 9).alias("std_pop"))
+
+
+@register(
+    "ordinal_encode",
+    with_views(
+        """
+with idx as (select v, cast(row_number() over (order by v) - 1 as integer) as code
+             from (select distinct event_type as v from v_events_train where event_type is not null))
+select t.event_id, coalesce(idx.code, -1) as event_type__ord from v_events_test t left join idx on t.event_type = idx.v""",
+        "v_events_train",
+        "v_events_test",
+    ).replace("\nwith idx as", ",\nidx as", 1),
+)
+def ordinal_encode_query(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: codes fitted on train, applied to test; unknown or missing -> -1."""
+    train = fixture(spark, sf, "v_events_train")
+    test = fixture(spark, sf, "v_events_test")
+    idx = fe.category_index(train, "event_type")
+    return fe.ordinal_encode(test, "event_type", idx).select("event_id", "event_type__ord")
+
+
+@register(
+    "one_hot",
+    """
+with idx as (select v, cast(row_number() over (order by v) - 1 as integer) as code
+             from (select distinct c_mktsegment as v from customer))
+select c.c_custkey, idx.code as c_mktsegment__slot, cast(1.0 as double) as value
+from customer c left join idx on c.c_mktsegment = idx.v""",
+)
+def one_hot_query(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 through pyspark.ml: StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast), exploded to (key, slot, value).
+
+    The dropped last slot is the "unknown" bucket, so unknown and NULL values are
+    all zeros and every real category keeps its own slot.
+    """
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    si = StringIndexer(inputCol="c_mktsegment", outputCol="_i", handleInvalid="keep", stringOrderType="alphabetAsc")
+    ohe = OneHotEncoder(inputCol="_i", outputCol="_v", dropLast=True)
+    m = si.fit(df)
+    enc = ohe.fit(m.transform(df)).transform(m.transform(df))
+    arr = enc.select("c_custkey", F.posexplode(vector_to_array("_v")).alias("c_mktsegment__slot", "value"))
+    return arr.where(F.col("value") != 0).select("c_custkey", F.col("c_mktsegment__slot").cast("int"), "value")
