@@ -1,0 +1,269 @@
+"""Registered queries: fold metrics, leaderboard, OOF predictions and model evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.exprs import threshold_label
+from ..operators import splits as sp
+from ..operators.ranking import hash_key_sql
+from ..session import scratch_path
+from ..sources.tables import fixture, table, with_views
+from . import evaluate as ev
+from .registry import register
+
+LKEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+_LK = ", ".join(LKEY)
+
+
+# ---------------------------------------------------------------- fold-complement baselines (Spark side)
+def _lineitem_folds(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(*LKEY, "l_quantity")
+    return sp.kfold(li, LKEY, 3).withColumn("label", F.col("l_extendedprice"))
+
+
+def complement_baselines(folded: DataFrame) -> DataFrame:
+    """Per fold: mean and mid-range of the label over the *other* folds (k-row aggregate)."""
+    per = folded.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    allw = Window.partitionBy()  # over the k-row fold table only
+    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("fold").rowsBetween(1, Window.unboundedFollowing)
+    return per.select(
+        "fold",
+        ((F.sum("s").over(allw) - F.col("s")) / (F.sum("n").over(allw) - F.col("n"))).alias("mean_baseline"),
+        ((F.least(F.min("lo").over(before), F.min("lo").over(after)) + F.greatest(F.max("hi").over(before), F.max("hi").over(after))) / 2).alias(
+            "midrange_baseline"
+        ),
+    )
+
+
+def baseline_oof(folded: DataFrame, key: list[str]) -> DataFrame:
+    """V7 for two constant predictors: (key..., candidate, fold, label, prediction)."""
+    base = complement_baselines(folded)
+    # k rows: a bounded broadcast
+    j = folded.join(F.broadcast(base), "fold")
+    parts = [
+        j.select(*key, F.lit(c).alias("candidate"), "fold", "label", F.col(c).alias("prediction"))
+        for c in ("mean_baseline", "midrange_baseline")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_KFOLD_CTE = f"""
+f as (select {_LK}, l_quantity, l_extendedprice as label,
+             cast((row_number() over (order by {hash_key_sql(LKEY)}, {_LK}) - 1) % 3 as integer) as fold from lineitem),
+per as (select fold, count(*) as n, sum(label) as s, min(label) as lo, max(label) as hi from f group by fold),
+base as (select p.fold,
+                ((select sum(s) from per) - p.s) / ((select sum(n) from per) - p.n) as mean_baseline,
+                ((select min(lo) from per o where o.fold <> p.fold) + (select max(hi) from per o where o.fold <> p.fold)) / 2 as midrange_baseline
+         from per p),
+oof as (select {_LK}, 'mean_baseline' as candidate, f.fold, label, base.mean_baseline as prediction from f join base on f.fold = base.fold
+        union all
+        select {_LK}, 'midrange_baseline', f.fold, label, base.midrange_baseline from f join base on f.fold = base.fold),
+fs as (select candidate, fold, -sqrt(avg(power(label - prediction, 2))) as score from oof group by candidate, fold),
+pos as (select 0 as position, 'mean_baseline' as candidate union all select 1, 'midrange_baseline'),
+board as (select pos.position, fs.candidate as name, avg(fs.score) as score from fs join pos on fs.candidate = pos.candidate
+          group by pos.position, fs.candidate)"""
+
+
+@register("fold_rmse", "with " + _KFOLD_CTE + "\nselect candidate, fold, round(score, 6) as score from fs")
+def fold_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    """-RMSE per (candidate, fold) of OOF predictions on lineitem (3 hash folds)."""
+    oof = baseline_oof(_lineitem_folds(spark, sf), LKEY)
+    return ev.fold_metric(oof, "regression").select("candidate", "fold", F.round("score", 6).alias("score"))
+
+
+@register("leaderboard", "with " + _KFOLD_CTE + "\nselect position, name, round(score, 6) as score from board")
+def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean fold score per candidate, sorted by score then position."""
+    oof = baseline_oof(_lineitem_folds(spark, sf), LKEY)
+    pos = spark.createDataFrame([(0, "mean_baseline"), (1, "midrange_baseline")], "position int, candidate string")
+    board = ev.leaderboard_from_folds(ev.fold_metric(oof, "regression"), pos)
+    return board.select("position", "name", F.round("score", 6).alias("score"))
+
+
+@register(
+    "best_candidate",
+    "with " + _KFOLD_CTE + "\nselect name, round(score, 6) as score, position from board order by score desc, position limit 1",
+)
+def best_candidate_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Best mean score; the earlier candidate wins ties."""
+    oof = baseline_oof(_lineitem_folds(spark, sf), LKEY)
+    pos = spark.createDataFrame([(0, "mean_baseline"), (1, "midrange_baseline")], "position int, candidate string")
+    board = ev.leaderboard_from_folds(ev.fold_metric(oof, "regression"), pos)
+    b = ev.best_candidate(board)
+    return b.select("name", F.round("score", 6).alias("score"), "position")
+
+
+@register(
+    "oof_predictions",
+    "with " + _KFOLD_CTE + f"\nselect {_LK}, fold, round(prediction, 6) as prediction from oof where candidate = 'mean_baseline'",
+)
+def oof_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """V7: every row gets exactly one out-of-fold prediction (mean of the other folds)."""
+    oof = baseline_oof(_lineitem_folds(spark, sf), LKEY).where(F.col("candidate") == "mean_baseline")
+    return oof.select(*LKEY, "fold", F.round("prediction", 6).alias("prediction"))
+
+
+@register(
+    "oof_store_roundtrip",
+    "with " + _KFOLD_CTE + f"\nselect {_LK}, fold, round(prediction, 6) as prediction from oof where candidate = 'midrange_baseline'",
+)
+def oof_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """OOF predictions written partitioned by candidate, one candidate read back (partition-pruned)."""
+    oof = baseline_oof(_lineitem_folds(spark, sf), LKEY)
+    path = ev.store_predictions(oof, scratch_path(spark, "oof"))
+    back = ev.load_predictions(spark, path, "midrange_baseline")
+    return back.select(*LKEY, "fold", F.round("prediction", 6).alias("prediction"))
+
+
+_STRAT_CTE = f"""
+c as (select o_orderstatus, count(*) as n from orders group by o_orderstatus),
+co as (select o_orderstatus,
+              coalesce(sum(n) over (order by o_orderstatus nulls first rows between unbounded preceding and 1 preceding), 0) as off
+       from c),
+r as (select o_orderkey, o_orderstatus,
+             row_number() over (partition by o_orderstatus order by {hash_key_sql(['o_orderkey'])}, o_orderkey) as rn from orders),
+f as (select r.o_orderkey, r.o_orderstatus, cast((co.off + r.rn - 1) % 3 as integer) as fold
+      from r join co on r.o_orderstatus is not distinct from co.o_orderstatus),
+fc as (select fold, o_orderstatus, count(*) as n from f group by fold, o_orderstatus),
+cc as (select fc.fold, fc.o_orderstatus, c.n - fc.n as comp from fc join c on fc.o_orderstatus = c.o_orderstatus),
+maj as (select fold, o_orderstatus as majority from (
+          select fold, o_orderstatus, row_number() over (partition by fold order by comp desc, o_orderstatus) as k from cc) where k = 1),
+pf as (select fold, p_f from (select fold, o_orderstatus, cast(comp as double) / sum(comp) over (partition by fold) as p_f from cc)
+       where o_orderstatus = 'F')"""
+
+
+def _majority(folded: DataFrame, target: str) -> DataFrame:
+    """Per fold: the most frequent class of the other folds (ties -> smallest)."""
+    fc = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n"))
+    comp = fc.withColumn("comp", F.sum("n").over(Window.partitionBy(target)) - F.col("n"))  # over the (fold, class) aggregate
+    best = comp.groupBy("fold").agg(F.min(F.struct((-F.col("comp")).alias("neg"), F.col(target).alias("cls"))).alias("b"))
+    return best.select("fold", F.col("b.cls").alias("majority")), comp
+
+
+@register(
+    "fold_accuracy",
+    "with " + _STRAT_CTE + """
+select 'majority_baseline' as candidate, f.fold, round(avg(case when f.o_orderstatus = maj.majority then 1.0 else 0.0 end), 6) as score
+from f join maj on f.fold = maj.fold group by f.fold""",
+)
+def fold_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy per fold of the majority-class predictor on orders (stratified folds)."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    folded = sp.stratified_kfold(df, "o_orderstatus", ["o_orderkey"], 3)
+    maj, _ = _majority(folded, "o_orderstatus")
+    oof = folded.join(F.broadcast(maj), "fold").select(
+        F.lit("majority_baseline").alias("candidate"), "fold", F.col("o_orderstatus").alias("label"), F.col("majority").alias("prediction")
+    )
+    return ev.fold_metric(oof, "classification").select("candidate", "fold", F.round("score", 6).alias("score"))
+
+
+@register(
+    "threshold_label",
+    "with " + _STRAT_CTE + """
+select f.o_orderkey, f.fold, round(pf.p_f, 9) as probability, cast(pf.p_f >= 0.5 as integer) as label
+from f join pf on f.fold = pf.fold""",
+)
+def threshold_label_query(spark: SparkSession, sf: str) -> DataFrame:
+    """P(status = 'F') from the other folds, label = probability >= 0.5 (inclusive)."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    folded = sp.stratified_kfold(df, "o_orderstatus", ["o_orderkey"], 3)
+    _, comp = _majority(folded, "o_orderstatus")
+    pf = comp.withColumn("p_f", F.col("comp").cast("double") / F.sum("comp").over(Window.partitionBy("fold"))).where(
+        F.col("o_orderstatus") == "F"
+    )
+    j = folded.join(F.broadcast(pf.select("fold", "p_f")), "fold")
+    return j.select("o_orderkey", "fold", F.round("p_f", 9).alias("probability"), threshold_label("p_f").alias("label"))
+
+
+@register(
+    "linreg_cv",
+    "with "
+    + _KFOLD_CTE
+    + """,
+st as (select fold, count(*) as n, sum(l_quantity) as sx, sum(label) as sy, sum(l_quantity * l_quantity) as sxx,
+              sum(l_quantity * label) as sxy from f group by fold),
+cm as (select fold, (select sum(n) from st) - n as cn, (select sum(sx) from st) - sx as csx, (select sum(sy) from st) - sy as csy,
+              (select sum(sxx) from st) - sxx as csxx, (select sum(sxy) from st) - sxy as csxy from st),
+co as (select fold, (cn * csxy - csx * csy) / (cn * csxx - csx * csx) as b, csy / cn, csx / cn, cn, csx, csy from cm),
+ab as (select fold, b, (csy - b * csx) / cn as a from co)
+select f.fold, round(sqrt(avg(power(f.label - (ab.a + ab.b * f.l_quantity), 2))), 4) as rmse
+from f join ab on f.fold = ab.fold group by f.fold""",
+)
+def linreg_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 check: pyspark.ml LinearRegression per fold on lineitem (price ~ quantity), RMSE per fold.
+
+    The oracle is the closed-form least-squares fit on each fold's complement.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    folded = _lineitem_folds(spark, sf)
+    va = VectorAssembler(inputCols=["l_quantity"], outputCol="features")
+    data = va.transform(folded).cache()
+    parts = []
+    for fold in range(3):
+        model = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal").fit(
+            data.where(F.col("fold") != fold)
+        )
+        parts.append(model.transform(data.where(F.col("fold") == fold)).select("fold", "label", "prediction"))
+    oof = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return oof.groupBy("fold").agg(F.round(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))), 4).alias("rmse"))
+
+
+# ---------------------------------------------------------------- full evaluations (rows-only check)
+def _board(res: ev.EvaluationResult) -> DataFrame:
+    return res.leaderboard.select("position", "name", "score", "fold_scores", "status", "error")
+
+
+@register("evaluate_regression")
+def evaluate_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 regression: o_totalprice of orders, linear + boosted-tree presets, time split (date column)."""
+    train = fixture(spark, sf, "v_orders_train")
+    test = fixture(spark, sf, "v_orders_test")
+    tmpl = test.select("o_orderkey", F.lit(0.5).alias("o_totalprice"))
+    res = ev.evaluate_candidates(train, test, tmpl, key="o_orderkey", candidates=["linear", "lgbm"])
+    return _board(res)
+
+
+@register("evaluate_binary")
+def evaluate_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 binary: document quality, logistic + boosted-tree presets, stratified folds."""
+    train = fixture(spark, sf, "v_docs_train").drop("text")
+    test = fixture(spark, sf, "v_docs_test").drop("text")
+    res = ev.evaluate_candidates(
+        train, test, None, target="quality", key="doc_id", validation_scheme="stratified_kfold",
+        candidates=["logistic_regression", {"model": "xgboost"}],
+    )
+    return _board(res)
+
+
+@register("evaluate_multiclass")
+def evaluate_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 multiclass: customer market segment from nation and balance, logistic regression, stratified folds."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    res = ev.evaluate_candidates(df, None, None, target="c_mktsegment", key="c_custkey", candidates=["logreg"])
+    return _board(res)
+
+
+@register("evaluate_text")
+def evaluate_text(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 text-heavy: TF-IDF + logistic regression on whole document texts (M9)."""
+    train = fixture(spark, sf, "v_docs_train").select("doc_id", "text", "quality")
+    test = fixture(spark, sf, "v_docs_test").select("doc_id", "text")
+    res = ev.evaluate_candidates(train, test, None, target="quality", key="doc_id", validation_scheme="stratified_kfold",
+                                 candidates=["tfidf"])
+    return _board(res)
+
+
+@register("predict_test")
+def predict_test(spark: SparkSession, sf: str) -> DataFrame:
+    """V8: refit on all evaluation rows, predict every test row."""
+    train = fixture(spark, sf, "v_orders_train")
+    test = fixture(spark, sf, "v_orders_test")
+    res = ev.evaluate_candidates(train, test, None, target="o_totalprice", key="o_orderkey", candidates=["linear_regression"])
+    return res.test_predictions.select("o_orderkey", "candidate", "prediction")
