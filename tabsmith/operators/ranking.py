@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +101,12 @@ def ordinal(df: DataFrame, order_cols: Sequence[str | Column], *, ordinal_col: s
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     sorted_df = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    # Pin partition ids and positions: a reliable checkpoint in the shared folder.
-    sorted_df = sorted_df.checkpoint(eager=True)
+    # Pin partition ids and positions: a reliable checkpoint in the shared folder
+    # (persisted first so the sort runs once, not again for the checkpoint write).
+    sorted_df.persist(StorageLevel.MEMORY_AND_DISK)
+    pinned = sorted_df.checkpoint(eager=True)
+    sorted_df.unpersist()
+    sorted_df = pinned
     part = F.shiftright(F.col("_mid"), 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted_df.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_pn"))

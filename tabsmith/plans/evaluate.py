@@ -104,7 +104,7 @@ def evaluate_candidates(
     candidates: Sequence[Any] | None = None,
     n_splits: int = 3,
     size_rule: sm.SizeRule = sm.SizeRule(),
-    parallelism: int = 4,
+    parallelism: int = 8,
     refit_on_full: bool = False,
     store_artifacts: bool = False,
     seed: int = 42,
@@ -155,7 +155,6 @@ def evaluate_candidates(
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     eval_rows = folded.count()
     large = sm.is_large(eval_rows, len(train.columns), size_rule)
-    k = sp.n_folds(n_splits)
     folds = [r["fold"] for r in folded.where(F.col("fold").isNotNull()).select("fold").distinct().orderBy("fold").collect()]
     pmode = "numeric" if ttype == "regression" else ("proba" if ttype == tk.BINARY else "label")
 
@@ -185,16 +184,27 @@ def evaluate_candidates(
         model = pipe.fit(tr_part)
         return predict(model, va_part, cand)
 
-    results: dict[str, Any] = {}
+    def refit(cand: str):
+        if te_feat is None:
+            return None
+        if refit_on_full:  # D9 option: refit on the whole training table, not the subsample
+            src = _label_frame(apply_feature_plan(train, None, plan, target)[0], target, ttype)[0]
+        else:
+            src = folded
+        pipe = md.build_pipeline(cand, ttype, cols, large=large, n_train=eval_rows, n_classes=n_classes)
+        return predict(pipe.fit(src), te_feat, cand)
+
+    results: dict[Any, Any] = {}
     errors: dict[str, str] = {}
-    jobs = [(c, f) for c in names for f in folds]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futs = {pool.submit(run_fold, c, f): (c, f) for c, f in jobs}
+    jobs = [(c, f) for c in names for f in folds] + [(c, "refit") for c in names]
+    # fold fits and refits are independent Spark jobs: run them concurrently
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        futs = {pool.submit(run_fold if f != "refit" else (lambda c, _f: refit(c)), c, f): (c, f) for c, f in jobs}
         for fut, (c, f) in futs.items():
             try:
                 results[(c, f)] = fut.result()
             except Exception as exc:  # D16: one failing candidate does not fail the rest
-                errors[c] = f"{type(exc).__name__}: {exc}"
+                errors.setdefault(c, f"{type(exc).__name__}: {exc}")
                 if not isinstance(exc, ValueError):
                     traceback.print_exc()
     oof = None
@@ -223,20 +233,13 @@ def evaluate_candidates(
     best = best_rows[0].asDict() if best_rows else None
 
     test_pred = None
-    if te_feat is not None:
-        fit_src = folded if not refit_on_full else _label_frame(apply_feature_plan(train, None, plan, target)[0], target, ttype)[0]
-        preds = []
-        for c in names:
-            if c in errors:
-                continue
-            pipe = md.build_pipeline(c, ttype, cols, large=large, n_train=eval_rows, n_classes=n_classes)
-            model = pipe.fit(fit_src)
-            preds.append(predict(model, te_feat, c))
-        for p in preds:
+    for c in names:
+        p = results.get((c, "refit")) if c not in errors else None
+        if p is not None:
             test_pred = p if test_pred is None else test_pred.unionByName(p)
-        if test_pred is not None and classes is not None:
-            back = classes.select(F.col("label").alias("prediction"), F.col("_cls").alias("predicted_label"))
-            test_pred = test_pred.join(F.broadcast(back), "prediction", "left")
+    if test_pred is not None and classes is not None:
+        back = classes.select(F.col("label").alias("prediction"), F.col("_cls").alias("predicted_label"))
+        test_pred = test_pred.join(F.broadcast(back), "prediction", "left")
 
     artifact = None
     if store_artifacts and oof is not None:

@@ -1,7 +1,8 @@
 """Candidate model presets on ``pyspark.ml`` (M1-M10, E1-E6, E7 ML form).
 
-Each preset is a ``Pipeline``: categorical indexing (+ one-hot when there are
-fewer than 8 categoricals and the table is not large, else ordinal codes) ->
+Each preset is a ``Pipeline``: categorical indexing (+ one-hot for the linear
+presets when there are fewer than 8 categoricals and the table is not large,
+else ordinal codes; tree presets always use ordinal codes) ->
 median imputation of numerics -> vector assembly -> optional scaling -> model.
 The reference's boosted-tree libraries are replaced by ``pyspark.ml`` trees with
 the same budget (trees, learning rate, depth, column sampling); scores are not
@@ -71,7 +72,7 @@ def check_candidate(name: str) -> None:
         raise ValueError(f"Unsupported candidate: {name}")
 
 
-def _tabular_stages(cols: Columns, *, scale: bool, large: bool) -> list:
+def _tabular_stages(cols: Columns, *, scale: bool, large: bool, one_hot: bool = True) -> list:
     stages: list = []
     vec_inputs: list[str] = []
     if cols.categorical:
@@ -83,24 +84,32 @@ def _tabular_stages(cols: Columns, *, scale: bool, large: bool) -> list:
         stages.append(
             StringIndexer(inputCols=str_cols, outputCols=idx_cols, handleInvalid="keep", stringOrderType="alphabetAsc")
         )
-        if not large and len(cols.categorical) < ONE_HOT_MAX_CATEGORICALS:
+        if one_hot and not large and len(cols.categorical) < ONE_HOT_MAX_CATEGORICALS:
             oh_cols = [f"{c}__oh" for c in cols.categorical]
             # dropLast drops the "keep" slot: unknown/NULL -> all zeros
             stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=oh_cols, dropLast=True, handleInvalid="keep"))
             vec_inputs += oh_cols
         else:
-            vec_inputs += idx_cols
+            # plain numeric codes: the cast drops the nominal metadata, so trees
+            # split on the code order instead of enumerating category subsets
+            ord_cols = [f"{c}__ord" for c in cols.categorical]
+            casts = ", ".join(f"cast(`{i}` as double) as `{o}`" for i, o in zip(idx_cols, ord_cols))
+            stages.append(SQLTransformer(statement=f"select *, {casts} from __THIS__"))
+            vec_inputs += ord_cols
     if cols.numeric:
         num_in = [f"{c}__num" for c in cols.numeric]
         casts = ", ".join(f"cast(`{c}` as double) as `{c}__num`" for c in cols.numeric)
         stages.append(SQLTransformer(statement=f"select *, {casts} from __THIS__"))
         imp_out = [f"{c}__imp" for c in cols.numeric]
         stages.append(Imputer(inputCols=num_in, outputCols=imp_out, strategy="median"))
-        vec_inputs += imp_out
-    assembled = FEATURES if not scale else "_raw_features"
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol=assembled, handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol=assembled, outputCol=FEATURES, withMean=True, withStd=True))
+        if scale:
+            # only the numeric block is centred and scaled, so one-hot blocks stay sparse
+            stages.append(VectorAssembler(inputCols=imp_out, outputCol="_num_vec", handleInvalid="keep"))
+            stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True))
+            vec_inputs.append("_num_scaled")
+        else:
+            vec_inputs += imp_out
+    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol=FEATURES, handleInvalid="keep"))
     return stages
 
 
@@ -152,7 +161,9 @@ def build_pipeline(name: str, task_type: str, cols: Columns, *, large: bool, n_t
         model = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL)
     else:
         model = GBTRegressor(**common)
-    return Pipeline(stages=_tabular_stages(cols, scale=False, large=large) + [model])
+    # Trees split on ordinal category codes: a one-hot block of thousands of sparse
+    # columns only multiplies the histogram work of every tree level.
+    return Pipeline(stages=_tabular_stages(cols, scale=False, large=large, one_hot=False) + [model])
 
 
 def split_columns(schema_fields: Sequence, exclude: Sequence[str]) -> Columns:

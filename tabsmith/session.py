@@ -20,6 +20,7 @@ from pyspark.sql import SparkSession
 # time zone (DuckDB timestamps are zone-less), no web UI.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
