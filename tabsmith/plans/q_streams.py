@@ -1,0 +1,83 @@
+"""Registered queries: per-context rules, batch twins and Structured Streaming runs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.tables import table
+from ..streaming import context as cx
+from .registry import register
+
+_FIRST_SQL = """
+select user_id, ts, event_id from (
+  select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as rn
+  from events where event_type <> 'error') where rn = 1"""
+
+_GUARD_SQL = """
+with ft as (select user_id, ts as fts, event_id as fid from (
+              select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as rn
+              from events where event_type = 'error') where rn = 1)
+select e.event_id, e.user_id, e.event_type,
+       coalesce(e.ts > ft.fts or (e.ts = ft.fts and e.event_id > ft.fid), false) as rejected
+from events e left join ft on e.user_id = ft.user_id"""
+
+
+@register("first_per_context", _FIRST_SQL)
+def first_per_context(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 batch twin: the first successful event of each user."""
+    return cx.first_success(table(spark, sf, "events"))
+
+
+@register("terminal_guard", _GUARD_SQL)
+def terminal_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 batch twin: events after the user's first terminal ('error') event are rejected."""
+    g = cx.terminal_guard(table(spark, sf, "events"))
+    return g.select("event_id", "user_id", "event_type", "rejected")
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    # a file stream reads a folder; the glob filter keeps only the events table
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+
+
+@register("first_per_context_stream", _FIRST_SQL.replace("select user_id, ts, event_id from (", "select user_id, event_id from (", 1))
+def first_per_context_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 as a stream: readStream over events -> per-user state -> memory sink (availableNow)."""
+    name = f"t1_{uuid.uuid4().hex[:8]}"
+    out = cx.run_available(spark, cx.stream_first_success(_event_stream(spark, sf)), name, scratch_path(spark, "t1-ckpt"))
+    return out.select("user_id", "event_id")
+
+
+@register("terminal_guard_stream", _GUARD_SQL)
+def terminal_guard_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 as a stateful stream (applyInPandasWithState per user) into a memory sink."""
+    name = f"t2_{uuid.uuid4().hex[:8]}"
+    out = cx.run_available(spark, cx.stream_terminal_guard(_event_stream(spark, sf)), name, scratch_path(spark, "t2-ckpt"), mode="append")
+    return out.select("event_id", "user_id", "event_type", "rejected")
+
+
+@register(
+    "streaming_qa",
+    """
+select 'no_nulls' as "check", 'o_orderkey' as "column", true as passed
+union all select 'no_nulls', 'o_totalprice', true
+union all select 'unique_id', 'o_orderkey', true
+union all select 'type_family', 'o_totalprice', true""",
+)
+def streaming_qa(spark: SparkSession, sf: str) -> DataFrame:
+    """Q3 per micro-batch over an arriving prediction table (foreachBatch -> Parquet report)."""
+    from ..sources.tables import fixture
+
+    src = scratch_path(spark, "preds")
+    fixture(spark, sf, "v_orders_submission").withColumnRenamed("prediction", "o_totalprice").write.parquet(src)
+    stream = spark.readStream.schema("o_orderkey long, o_totalprice double").option("maxFilesPerTrigger", 4).parquet(src)
+    out = scratch_path(spark, "qa-report")
+    cx.streaming_qa(spark, stream, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test"), out,
+                    scratch_path(spark, "qa-ckpt"))
+    rep = spark.read.parquet(out).where(F.col("check").isin("no_nulls", "unique_id", "type_family"))
+    return rep.groupBy("check", "column").agg(F.min("passed").alias("passed"))
