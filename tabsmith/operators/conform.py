@@ -88,7 +88,9 @@ def conform(
     """
     tmpl_cols = template.columns
     test_cols = test.columns if test is not None else None
-    renamed = rename_plan(submission.columns, tmpl_cols, test_cols)
+    # the submission's order columns only carry row positions: not candidates for renaming
+    aux = set(order_by.get("submission", [])) if order_by else set()
+    renamed = rename_plan([c for c in submission.columns if c not in aux], tmpl_cols, test_cols)
     sub = submission
     for old, new in renamed.items():
         sub = sub.withColumnRenamed(old, new)
