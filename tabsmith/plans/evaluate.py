@@ -9,6 +9,8 @@ distributed Spark job; nothing is collected except the per-fold scores.
 
 from __future__ import annotations
 
+import logging
+import time
 import traceback
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -31,6 +33,9 @@ from ..session import scratch_path
 from . import models as md
 from . import task as tk
 
+log = logging.getLogger(__name__)
+
+ROWS_PER_FIT_PARTITION = 100_000
 LEADERBOARD_SCHEMA = "position int, name string, score double, fold_scores string, status string, error string"
 
 
@@ -104,7 +109,7 @@ def evaluate_candidates(
     candidates: Sequence[Any] | None = None,
     n_splits: int = 3,
     size_rule: sm.SizeRule = sm.SizeRule(),
-    parallelism: int = 8,
+    parallelism: int = 4,
     refit_on_full: bool = False,
     store_artifacts: bool = False,
     seed: int = 42,
@@ -152,8 +157,13 @@ def evaluate_candidates(
         folded = sp.stratified_kfold(labelled, target, [key], n_splits, seed)
     else:
         folded = sp.kfold(labelled, [key], n_splits, seed)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    # The evaluation frame is bounded (<= the subsample size when the table is
+    # large): pack it into few partitions, because iterative fits run hundreds of
+    # small jobs whose cost grows with the task count, not with the rows.
     eval_rows = folded.count()
+    n_parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-eval_rows // ROWS_PER_FIT_PARTITION)))
+    folded = folded.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+    folded.count()
     large = sm.is_large(eval_rows, len(train.columns), size_rule)
     folds = [r["fold"] for r in folded.where(F.col("fold").isNotNull()).select("fold").distinct().orderBy("fold").collect()]
     pmode = "numeric" if ttype == "regression" else ("proba" if ttype == tk.BINARY else "label")
@@ -171,6 +181,8 @@ def evaluate_candidates(
         keep += [F.col("label")] if "label" in df.columns else []
         return out.select(*cols_out, *keep)
 
+    log.info("prepared %d rows, %d folds, candidates %s", eval_rows, len(folds), names)
+
     def run_fold(cand: str, fold: int):
         if scheme == "time_split":
             n = eval_rows
@@ -181,7 +193,9 @@ def evaluate_candidates(
         va_part = folded.where(F.col("fold") == F.lit(fold))
         n_train = tr_part.count()
         pipe = md.build_pipeline(cand, ttype, cols, large=large, n_train=n_train, n_classes=n_classes)
+        t0 = time.perf_counter()
         model = pipe.fit(tr_part)
+        log.info("fit %s fold %s: %.1fs", cand, fold, time.perf_counter() - t0)
         return predict(model, va_part, cand)
 
     def refit(cand: str):

@@ -155,7 +155,7 @@ def build_pipeline(name: str, task_type: str, cols: Columns, *, large: bool, n_t
     depth = {"lightgbm": 5, "xgboost": 4, "catboost": 5}[name.split("_")[0]]
     subsample = 0.8 if name.startswith("xgboost") else 1.0
     common = dict(featuresCol=FEATURES, labelCol=LABEL, maxIter=trees, stepSize=LEARNING_RATE, maxDepth=depth,
-                  subsamplingRate=subsample, featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=64, cacheNodeIds=True)
+                  subsamplingRate=subsample, featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=64, cacheNodeIds=False)
     if classification:
         gbt = GBTClassifier(**common)
         model = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL)
