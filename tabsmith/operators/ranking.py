@@ -5,7 +5,8 @@ window partitioned by a hot class) runs in one task.  Both helpers here compute
 the *same numbers* as that window, in two phases:
 
 ``hash_rank``  rank in md5(key || ':' || seed) order, optionally within groups.
-    The first hex digits of the hash define buckets that follow hash order, so a
+    The first hex digits of the hash (4 -> 65,536 buckets, enough parallel window
+    tasks for thousands of cores) define buckets that follow hash order, so a
     rank is  (rows in earlier buckets of the group) + (row_number inside the
     bucket).  The per-bucket counts are a small aggregate (groups x 16^digits
     rows) and buckets are uniform by construction, so a hot group is spread over
@@ -61,7 +62,7 @@ def hash_rank(
     seed: int | str = 42,
     within: Sequence[str] = (),
     rank_col: str = "rank",
-    digits: int = 3,
+    digits: int = 4,
     keep_hash: bool = False,
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based row_number() over (partition by within order by hash, key).
