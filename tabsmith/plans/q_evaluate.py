@@ -217,7 +217,17 @@ def linreg_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- full evaluations (rows-only check)
 def _board(res: ev.EvaluationResult) -> DataFrame:
-    return res.leaderboard.select("position", "name", "score", "fold_scores", "status", "error")
+    """The leaderboard with the evaluation report fields (V6/V9) on every row."""
+    return res.leaderboard.select(
+        "position", "name", "score", "fold_scores", "status", "error",
+        F.lit(res.task_type).alias("task_type"),
+        F.lit(res.validation_scheme).alias("validation_scheme"),
+        F.lit(res.metric_family).alias("metric_family"),
+        F.lit(res.prediction_mode).alias("prediction_mode"),
+        F.lit(res.used_subsample).alias("used_subsample"),
+        F.lit(res.eval_rows).cast("long").alias("eval_rows"),
+        F.lit((res.best or {}).get("name")).cast("string").alias("best_candidate"),
+    )
 
 
 @register("evaluate_regression")
