@@ -167,10 +167,12 @@ def standardize(df: DataFrame, stats: Mapping[str, tuple[float, float]]) -> Data
 def category_index(train: DataFrame, col: str) -> DataFrame:
     """E4/E5 fit: sorted distinct non-null training values -> 0-based code.
 
-    The window runs over the distinct-value aggregate (one row per category).
+    A categorical column can have as many values as rows, so the codes are a
+    distributed dense ordinal of the distinct values (range sort + partition
+    offsets), not a window over all categories in one task.
     """
     cats = train.where(q(col).isNotNull()).select(q(col).cast("string").alias("_cat")).distinct()
-    return cats.select("_cat", (F.row_number().over(Window.orderBy("_cat")) - 1).cast("int").alias("_code"))
+    return ordinal(cats, ["_cat"], ordinal_col="_code").select("_cat", F.col("_code").cast("int").alias("_code"))
 
 
 def ordinal_encode(df: DataFrame, col: str, index: DataFrame, out_col: str | None = None) -> DataFrame:

@@ -210,18 +210,13 @@ select c.c_custkey, idx.code as c_mktsegment__slot, cast(1.0 as double) as value
 from customer c left join idx on c.c_mktsegment = idx.v""",
 )
 def one_hot_query(spark: SparkSession, sf: str) -> DataFrame:
-    """E4 through pyspark.ml: StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast), exploded to (key, slot, value).
+    """E4 in sparse (key, slot, value) form: every known category keeps its own slot;
+    unknown and NULL values have no active slot (all zeros).
 
-    The dropped last slot is the "unknown" bucket, so unknown and NULL values are
-    all zeros and every real category keeps its own slot.
+    The relational form never materialises a dense row of width #categories; the
+    model presets use ``StringIndexer`` + ``OneHotEncoder(dropLast)`` with the same slots.
     """
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.functions import vector_to_array
-
     df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    si = StringIndexer(inputCol="c_mktsegment", outputCol="_i", handleInvalid="keep", stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCol="_i", outputCol="_v", dropLast=True)
-    m = si.fit(df)
-    enc = ohe.fit(m.transform(df)).transform(m.transform(df))
-    arr = enc.select("c_custkey", F.posexplode(vector_to_array("_v")).alias("c_mktsegment__slot", "value"))
-    return arr.where(F.col("value") != 0).select("c_custkey", F.col("c_mktsegment__slot").cast("int"), "value")
+    idx = fe.category_index(df, "c_mktsegment")
+    out = fe.one_hot_slots(df, "c_mktsegment", idx)
+    return out.select("c_custkey", "c_mktsegment__slot", F.when(F.col("c_mktsegment__slot").isNotNull(), F.lit(1.0)).alias("value"))
