@@ -188,3 +188,12 @@ def finalize_query(spark: SparkSession, sf: str) -> DataFrame:
     }
     _, summary = cf.finalize(tables, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test"))
     return summary
+
+
+@register("submission_summary")
+def submission_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Q7: a normalised submission written as one CSV file, then summarised (exists, size, preview)."""
+    sub = fixture(spark, sf, "v_orders_submission").withColumnRenamed("prediction", "o_totalprice")
+    out = cf.normalize(sub, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test"))
+    path = cs.write_csv(out, scratch_path(spark, "submission"), single_file=True, order_by=["o_orderkey"])
+    return fl.written_summary(spark, path)

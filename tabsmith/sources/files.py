@@ -119,3 +119,22 @@ def resolve_inside(root: str, path: str) -> str:
     if path.startswith("/"):
         raise ValueError(f"Path escapes root: {path}")
     return "/".join([_norm(root)] + parts)
+
+
+def written_summary(spark: SparkSession, path: str, preview_chars: int = 400) -> DataFrame:
+    """Q7: (exists, files, size_bytes, preview) of a written table folder or file.
+
+    Sizes come from file metadata; the preview is the first ``preview_chars``
+    characters of the first part file (by name), read on its own.
+    """
+    lst = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    lst = lst.where(~F.regexp_extract("path", "([^/]+)$", 1).rlike("^[._]"))
+    meta = lst.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("size_bytes"), F.min("path").alias("first"))
+    m = meta.first()
+    if not m["files"]:
+        return spark.createDataFrame([(False, 0, 0, None)], "exists boolean, files long, size_bytes long, preview string")
+    text = spark.read.text(m["first"], wholetext=True).select(F.substring("value", 1, preview_chars).alias("preview"))
+    return text.select(
+        F.lit(True).alias("exists"), F.lit(m["files"]).cast("long").alias("files"),
+        F.lit(m["size_bytes"]).cast("long").alias("size_bytes"), "preview"
+    )
