@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 MEMBER_SCHEMA = "archive_id long, member string, size long, content binary"
 
 
@@ -45,6 +47,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def archive_members(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """(archive_id, member, size, content) for every safe regular-file member."""
+    ship_package(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("archive_id"), F.col(payload_col).alias("payload_b64"))
     return src.mapInPandas(_members, MEMBER_SCHEMA)
 
@@ -73,5 +76,6 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pack_texts(df: DataFrame, id_col: str, name_col: str, text_col: str) -> DataFrame:
     """Test input for S6: one base64 tar.gz per row holding the text as a member (plus unsafe members)."""
+    ship_package(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("archive_id"), F.col(name_col).alias("name"), F.col(text_col).alias("text"))
     return src.mapInPandas(_pack, "archive_id long, payload_b64 string")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.quality import qa_report
+from ..session import ship_package
 
 # Fixed value: event types that end a task (the "terminal states").
 TERMINAL_EVENT_TYPES = ["error"]
@@ -73,6 +74,7 @@ def _guard_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 def stream_terminal_guard(stream: DataFrame) -> DataFrame:
     """T2 as a stateful stream: per task, the first terminal (ts, id) seen so far is the state."""
+    ship_package(stream.sparkSession)
     s = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return s.groupBy("user_id").applyInPandasWithState(
         _guard_state,
