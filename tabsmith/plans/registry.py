@@ -35,6 +35,7 @@ def load_all() -> None:
         q_evaluate,
         q_features,
         q_files,
+        q_lineitem,
         q_profile,
         q_quality,
         q_splits,
