@@ -95,19 +95,24 @@ def conform(
     for old, new in renamed.items():
         sub = sub.withColumnRenamed(old, new)
     attached: dict[str, str] = {}
-    for c in ordered_except(tmpl_cols, sub.columns):
-        if test is not None and c in test_cols:
-            src_name, src = "test", test
-        else:
-            src_name, src = "template", template
+    missing_now = ordered_except(tmpl_cols, sub.columns)
+    by_source: dict[str, list[str]] = {}
+    for c in missing_now:
+        by_source.setdefault("test" if test is not None and c in test_cols else "template", []).append(c)
+    # test first (it may bring the id the template join needs); one join per source table
+    for src_name in ("test", "template"):
+        cols = by_source.get(src_name)
+        if not cols:
+            continue
+        src = test if src_name == "test" else template
         key = _shared_key(sub.columns, src.columns, tmpl_cols)
         if key is not None:
-            sub = attach_by_key(sub, src, key, [c])
+            sub = attach_by_key(sub, src, key, cols)
         elif order_by and "submission" in order_by and src_name in order_by:
-            sub = attach_by_ordinal(sub, src, [c], order_by["submission"], order_by[src_name])
+            sub = attach_by_ordinal(sub, src, cols, order_by["submission"], order_by[src_name])
         else:
-            raise ValueError(f"cannot attach column {c!r}: no shared id column and no order_by for a positional attach")
-        attached[c] = src_name
+            raise ValueError(f"cannot attach columns {cols}: no shared id column and no order_by for a positional attach")
+        attached.update({c: src_name for c in cols})
     missing = ordered_except(tmpl_cols, sub.columns)
     if missing:
         raise ValueError(f"submission is still missing columns: {missing}")
