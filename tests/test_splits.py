@@ -75,3 +75,28 @@ def test_no_subsample_when_small(spark):
 def test_random_subsample_exact(spark):
     out = sm.random_subsample(_frame(spark), ["k"], 123)
     assert out.count() == 123 and out.select("k").distinct().count() == 123
+
+
+def test_hot_class_is_spread_over_buckets(spark):
+    # one class holds a third of all rows: ranks stay exact and the window is keyed by (class, bucket)
+    n = 30_000
+    df = spark.range(n).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("cls")
+    )
+    out = sp.stratified_kfold(df, "cls", ["k"], 3)
+    hot = out.where(F.col("cls") == "hot").groupBy("fold").count().collect()
+    sizes = sorted(r["count"] for r in hot)
+    assert sum(sizes) == n // 3 and sizes[-1] - sizes[0] <= 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cls" in plan and "_hb" in plan
+    ranks = hash_rank(df, ["k"], within=["cls"]).where(F.col("cls") == "hot").agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first()
+    assert tuple(ranks) == (1, n // 3, n // 3)
+
+
+def test_terminal_guard_with_hot_user(spark):
+    from tabsmith.streaming.context import terminal_guard
+
+    rows = [(i, i, 1 if i % 2 == 0 else i, "error" if i == 10 else "view") for i in range(200)]
+    ev = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string")
+    got = {r["event_id"]: r["rejected"] for r in terminal_guard(ev).collect()}
+    assert got[10] is False and got[12] is True and got[8] is False and got[11] is False
