@@ -36,6 +36,7 @@ from . import task as tk
 log = logging.getLogger(__name__)
 
 ROWS_PER_FIT_PARTITION = 100_000
+MAX_BROADCAST_CLASSES = 100_000
 LEADERBOARD_SCHEMA = "position int, name string, score double, fold_scores string, status string, error string"
 
 
@@ -90,8 +91,9 @@ def _label_frame(df: DataFrame, target: str, task_type: str) -> tuple[DataFrame,
         return df.withColumn("label", q(target).cast("double")), None, 0
     classes = tk.label_index(df, target).select(F.col("label").alias("_cls"), F.col("label_index").cast("double").alias("label"))
     n_classes = classes.count()
-    # one row per class (classification): bounded by the class count
-    out = df.join(F.broadcast(classes), q(target) == F.col("_cls"), "inner").drop("_cls")
+    # one row per class: broadcast only behind the measured class count
+    right = F.broadcast(classes) if n_classes <= MAX_BROADCAST_CLASSES else classes
+    out = df.join(right, q(target) == F.col("_cls"), "inner").drop("_cls")
     return out, classes, n_classes
 
 
@@ -253,7 +255,8 @@ def evaluate_candidates(
             test_pred = p if test_pred is None else test_pred.unionByName(p)
     if test_pred is not None and classes is not None:
         back = classes.select(F.col("label").alias("prediction"), F.col("_cls").alias("predicted_label"))
-        test_pred = test_pred.join(F.broadcast(back), "prediction", "left")
+        back = F.broadcast(back) if n_classes <= MAX_BROADCAST_CLASSES else back
+        test_pred = test_pred.join(back, "prediction", "left")
 
     artifact = None
     if store_artifacts and oof is not None:
