@@ -73,7 +73,7 @@ def qa_report(
             continue
         fam = type_family(template.schema[p].dataType)
         sdt = submission.schema[p].dataType
-        numeric = isinstance(sdt, T.NumericType)
+        numeric = isinstance(sdt, (T.NumericType, T.BooleanType))  # pandas counts bool as numeric
         bad = None
         if fam == "boolean":
             bad = f"bad_{j}"
@@ -125,7 +125,7 @@ def qa_report(
         sdt = submission.schema[p].dataType
         if fam == "boolean":
             row(5, "type_family", p, F.col(bad) == 0, txt("family=boolean bad=", F.col(bad)))
-        elif fam in ("integer", "float") and not isinstance(sdt, T.NumericType):
+        elif fam in ("integer", "float") and not isinstance(sdt, (T.NumericType, T.BooleanType)):
             row(5, "type_family", p, F.lit(False), F.lit(f"family={fam} not numeric"))
         elif fam == "integer":
             row(5, "type_family", p, F.col(bad) == 0, txt("family=integer bad=", F.col(bad)))

@@ -102,3 +102,9 @@ def test_choose_candidate_and_fill_template(spark):
     tmpl = spark.createDataFrame([(1, 0.0), (2, 0.0)], "id int, p double")
     filled = cf.fill_template(tmpl, a.withColumnRenamed("p", "v"), "id", "v")
     assert sorted(tuple(r) for r in filled.collect()) == [(1, 0.1), (2, 0.2)]
+
+
+def test_boolean_submission_counts_as_numeric(spark):
+    tmpl = spark.createDataFrame([(1, 0), (2, 0)], "id int, p int")
+    t = spark.createDataFrame([(1,), (2,)], "id int")
+    assert_quality(qa_report(spark.createDataFrame([(1, True), (2, False)], "id int, p boolean"), tmpl, t))

@@ -62,3 +62,10 @@ def test_bounded_read_rules(spark):
     got = {r["name"]: (r["status"], r["content"]) for r in tx.bounded_read(df, "name", "size", "text", max_chars=100).collect()}
     assert got["a.csv"][0] == "refused" and got["c.txt"][0] == "refused"
     assert got["b.txt"][0] == "ok" and got["b.txt"][1].startswith("[...180 chars truncated...]")  # limit clamps to 200
+
+
+def test_tool_call_arguments_as_object(spark):
+    resp = {"output": [{"type": "function_call", "call_id": "c9", "name": "inspect_csv", "arguments": {"path": "train.csv", "max_rows": 3}}]}
+    df = spark.createDataFrame([(1, json.dumps(resp))], "rid int, response string")
+    r = tr.extract_tool_calls(df, "response", ["rid"]).first()
+    assert r["call_id"] == "c9" and r["arguments"] == {"path": "train.csv", "max_rows": "3"}
