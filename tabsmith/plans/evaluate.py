@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aliases import candidate_name
+from ..functions.exprs import lenient_timestamp
 from ..operators import sampling as sm
 from ..operators import schema as sc
 from ..operators import splits as sp
@@ -151,7 +152,12 @@ def evaluate_candidates(
 
     labelled, classes, n_classes = _label_frame(tr_feat, target, ttype)
     if scheme == "time_split":
-        order = [feats.datetime_columns[0], key] if feats.datetime_columns else [key]  # D3: time order, not file order
+        # D3: time order (parsed, unparseable first), not file order; ties by key
+        if feats.datetime_columns:
+            dcol = feats.datetime_columns[0]
+            order = [lenient_timestamp(q(dcol), labelled.schema[dcol].dataType).asc_nulls_first(), F.col(key)]
+        else:
+            order = [F.col(key)]
         folded = sp.time_split(labelled, order, n_splits)
     elif scheme == "group_kfold" and ids:
         folded = sp.group_kfold(labelled, ids[0], n_splits, seed)

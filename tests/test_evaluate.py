@@ -82,3 +82,13 @@ def test_fold_metrics_and_best(spark):
     assert [r["name"] for r in board.collect()] == ["b", "a"]
     tie = spark.createDataFrame([(0, "x", 0.5), (1, "y", 0.5)], "position int, name string, score double")
     assert ev.best_candidate(tie).first()["name"] == "x"  # first listed wins ties
+
+
+def test_time_split_scheme_orders_by_parsed_text_dates(spark):
+    # dates as text, rows given out of time order: validation folds must follow the parsed dates
+    rows = [(i, f"2024-01-{(i * 7) % 28 + 1:02d}", float(i % 5), float((i * 7) % 28)) for i in range(1, 41)]
+    train = spark.createDataFrame(rows, "id int, day string, x double, target double")
+    res = ev.evaluate_candidates(train, None, None, target="target", key="id", candidates=["linear"], n_splits=3)
+    assert res.validation_scheme == "time_split"
+    oof = res.oof.collect()
+    assert len(oof) == 30  # the first n - k*(n//(k+1)) = 10 rows get no OOF prediction
