@@ -50,7 +50,10 @@ def terms(token_col: str | Column) -> Column:
 
 def doc_terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, term, tf) -- raw count of each term in each document (whole texts)."""
-    toks = df.select(q(key), tokens(q(text_col)).alias("_toks"))
+    # Hash-partition the documents by key once: the (key, term) counts then need no
+    # shuffle of their own (a partitioning on a subset of the grouping keys satisfies
+    # the aggregation), so the exploded rows -- many times the text volume -- stay local.
+    toks = df.repartition(q(key)).select(q(key), tokens(q(text_col)).alias("_toks"))
     exploded = toks.select(q(key), F.explode(terms("_toks")).alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
