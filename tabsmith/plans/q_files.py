@@ -28,7 +28,11 @@ def _write_bundle(spark: SparkSession, sf: str) -> str:
     return root
 
 
-@register("scan_csv", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+@register(
+    "scan_csv",
+    # CSV type inference reads the small keys back as 32-bit integers
+    "select cast(c_custkey as integer) as c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer",
+)
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Customer written as CSV, read back with header + inferred types + NA normalisation."""
     path = scratch_path(spark, "csv")

@@ -21,12 +21,21 @@ def con():
     return duck(SF)
 
 
+DUCK_TYPE = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+             "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_oracle(spark, con, name):
     from check_oracles import compare
 
     info = compare(spark, con, name, QUERIES[name], ORACLES[name], SF)
     assert info["status"] == "ok", info
+    # same column types on both sides, so a type-aware value hash agrees too
+    sdf = QUERIES[name](spark, SF)
+    duck_types = {d[0]: str(d[1]) for d in con.execute(ORACLES[name]).description}
+    spark_types = {f.name: DUCK_TYPE.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+    assert spark_types == duck_types
 
 
 def test_entry_smoke(spark):
