@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,18 +45,24 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("first_per_context_stream", _FIRST_SQL.replace("select user_id, ts, event_id from (", "select user_id, event_id from (", 1))
 def first_per_context_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """T1 as a stream: readStream over events -> per-user state -> memory sink (availableNow)."""
-    name = f"t1_{uuid.uuid4().hex[:8]}"
-    out = cx.run_available(spark, cx.stream_first_success(_event_stream(spark, sf)), name, scratch_path(spark, "t1-ckpt"))
-    return out.select("user_id", "event_id")
+    """T1 as a stream: readStream over events -> per-user state (update mode) -> Parquet changelog.
+
+    The changelog holds each user's updated first-success row per micro-batch;
+    the minimum per user is the current answer.
+    """
+    path = cx.run_to_parquet(cx.stream_first_success(_event_stream(spark, sf)), scratch_path(spark, "t1-out"),
+                             scratch_path(spark, "t1-ckpt"), mode="update")
+    log = spark.read.parquet(path)
+    best = log.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("b"))
+    return best.select("user_id", F.col("b.event_id").alias("event_id"))
 
 
 @register("terminal_guard_stream", _GUARD_SQL)
 def terminal_guard_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """T2 as a stateful stream (applyInPandasWithState per user) into a memory sink."""
-    name = f"t2_{uuid.uuid4().hex[:8]}"
-    out = cx.run_available(spark, cx.stream_terminal_guard(_event_stream(spark, sf)), name, scratch_path(spark, "t2-ckpt"), mode="append")
-    return out.select("event_id", "user_id", "event_type", "rejected")
+    """T2 as a stateful stream (applyInPandasWithState per user) into a Parquet file sink."""
+    path = cx.run_to_parquet(cx.stream_terminal_guard(_event_stream(spark, sf)), scratch_path(spark, "t2-out"),
+                             scratch_path(spark, "t2-ckpt"), mode="append")
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "rejected")
 
 
 @register(

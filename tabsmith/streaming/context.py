@@ -85,8 +85,26 @@ def stream_terminal_guard(stream: DataFrame) -> DataFrame:
     )
 
 
+def run_to_parquet(query_df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:
+    """Drive a streaming query over all available input (``availableNow``) into Parquet.
+
+    Append-mode output goes through the file sink (exactly-once via its commit
+    log).  Update-mode output (an aggregation's changed rows) is appended per
+    micro-batch as a changelog; readers keep the latest/minimum row per key.
+    Nothing is held on the driver.
+    """
+    w = query_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", path).outputMode("append").start()
+    else:
+        q = w.outputMode(mode).foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(path)).start()
+    q.awaitTermination()
+    return path
+
+
 def run_available(spark: SparkSession, query_df: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Drive a streaming query over all available input (``availableNow``) into a memory table."""
+    """Drive a streaming query over all available input into a memory table (tests and small outputs only:
+    the memory sink keeps every row on the driver)."""
     q = (
         query_df.writeStream.format("memory")
         .queryName(name)
