@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import conform as cf
 from ..operators import schema as sc
 from ..operators.quality import _missing, q, qa_report, type_family
-from ..sources.tables import fixture, table, with_views
+from ..sources.tables import fixture, sql_over_tables, table, with_views
 from .registry import register
 
 
@@ -229,9 +229,8 @@ union all select 'label', 'other', cast(0 as bigint)
 )
 def qa_type_family(spark: SparkSession, sf: str) -> DataFrame:
     """Q4 with F7-F9: per prediction column, rows that break the template's type family."""
-    table(spark, sf, "orders").createOrReplaceTempView("orders")
-    sub = spark.sql(_FAMILY_SUB)
-    tmpl = spark.sql(_FAMILY_TEMPLATE)
+    sub = sql_over_tables(spark, sf, _FAMILY_SUB)
+    tmpl = sql_over_tables(spark, sf, _FAMILY_TEMPLATE)
     from ..functions.exprs import boolean_like, integer_like
 
     aggs, rows = [], []
@@ -266,7 +265,7 @@ _TEMPLATE3 = "select o_orderkey, o_custkey, cast(0.5 as double) as o_totalprice
 def conform_query(spark: SparkSession, sf: str) -> DataFrame:
     """Q1: rename the unknown column, attach o_custkey from test by id, template order."""
     sub, _, test = _orders_bundle(spark, sf)
-    tmpl = spark.sql(_TEMPLATE3)
+    tmpl = sql_over_tables(spark, sf, _TEMPLATE3)
     return cf.conform(sub, tmpl, test).frame
 
 
@@ -381,7 +380,7 @@ def id_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
     """template/test shared columns, then test columns ending in id; first five."""
     train = fixture(spark, sf, "v_orders_train")
     test = fixture(spark, sf, "v_orders_test")
-    tmpl = spark.sql("select o_orderkey, cast(0.5 as double) as o_totalprice from orders")
+    tmpl = sql_over_tables(spark, sf, "select o_orderkey, cast(0.5 as double) as o_totalprice from orders")
     return _column_stats(test, sc.id_candidates(train.columns, test.columns, tmpl.columns), "id")
 
 

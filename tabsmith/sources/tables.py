@@ -100,16 +100,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    """Register base tables as temp views (lazy: no job runs)."""
-    for name in names or TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+def sql_over_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run SQL whose table names are the test tables, binding each name to its
+    DataFrame through ``spark.sql(..., name=df)`` (private views; the session's
+    own temp views are left untouched)."""
+    names = _base_tables(sql)
+    text = re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: "{" + m.group(1) + "}", sql) if names else sql
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = FIXTURE_SQL[name]
-    register_tables(spark, sf_dir, _base_tables(sql))
-    return spark.sql(sql)
+    return sql_over_tables(spark, sf_dir, FIXTURE_SQL[name])
 
 
 def with_views(body: str, *names: str) -> str:
