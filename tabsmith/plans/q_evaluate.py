@@ -9,7 +9,7 @@ from ..functions.exprs import threshold_label
 from ..operators import splits as sp
 from ..operators.ranking import hash_key_sql
 from ..session import scratch_path
-from ..sources.tables import fixture, table, with_views
+from ..sources.tables import fixture, table
 from . import evaluate as ev
 from .registry import register
 
