@@ -48,3 +48,9 @@ def test_entry_smoke(spark):
     df = mod.entry(spark)
     assert df.count() >= 1 and df.columns == ["check_order", "check", "column", "passed", "detail"]
     assert set(mod.oracle_sql()) <= set(mod.queries())
+
+
+@pytest.mark.parametrize("name", ["evaluate_multiclass", "predict_test", "submission_summary"])
+def test_rows_only_queries_run(spark, name):
+    assert name not in ORACLES
+    assert QUERIES[name](spark, SF).count() >= 1
