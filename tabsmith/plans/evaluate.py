@@ -111,6 +111,7 @@ def evaluate_candidates(
     feature_plan: Mapping[str, Any] | None = None,
     candidates: Sequence[Any] | None = None,
     n_splits: int = 3,
+    group_column: str | None = None,
     size_rule: sm.SizeRule = sm.SizeRule(),
     parallelism: int = 4,
     refit_on_full: bool = False,
@@ -159,8 +160,9 @@ def evaluate_candidates(
         else:
             order = [F.col(key)]
         folded = sp.time_split(labelled, order, n_splits)
-    elif scheme == "group_kfold" and ids:
-        folded = sp.group_kfold(labelled, ids[0], n_splits, seed)
+    elif scheme in ("group_kfold", "grouped_kfold") and (group_column or ids):
+        # Grouped folds actually run (no group on both sides of a split)
+        folded = sp.group_kfold(labelled, group_column or ids[0], n_splits, seed)
     elif classification:
         folded = sp.stratified_kfold(labelled, target, [key], n_splits, seed)
     else:

@@ -270,6 +270,15 @@ def evaluate_text(spark: SparkSession, sf: str) -> DataFrame:
     return _board(res)
 
 
+@register("evaluate_group_kfold")
+def evaluate_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 with W6: order totals evaluated with folds grouped by customer (D2: grouped folds are run)."""
+    train = fixture(spark, sf, "v_orders_train").drop("o_orderdate")
+    res = ev.evaluate_candidates(train, None, None, target="o_totalprice", key="o_orderkey", validation_scheme="group_kfold",
+                                 group_column="o_custkey", candidates=["linear_regression"])
+    return _board(res)
+
+
 @register("predict_test")
 def predict_test(spark: SparkSession, sf: str) -> DataFrame:
     """V8: refit on all evaluation rows, predict every test row."""

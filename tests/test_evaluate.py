@@ -92,3 +92,13 @@ def test_time_split_scheme_orders_by_parsed_text_dates(spark):
     assert res.validation_scheme == "time_split"
     oof = res.oof.collect()
     assert len(oof) == 30  # the first n - k*(n//(k+1)) = 10 rows get no OOF prediction
+
+
+def test_group_kfold_scheme_keeps_groups_apart(spark):
+    rows = [(i, i % 4, float(i % 5), float(i % 5) * 2.0) for i in range(40)]
+    train = spark.createDataFrame(rows, "id int, grp int, x double, target double")
+    res = ev.evaluate_candidates(train, None, None, target="target", key="id", validation_scheme="group_kfold",
+                                 group_column="grp", candidates=["linear"], n_splits=2)
+    assert res.validation_scheme == "group_kfold"
+    folds = res.oof.join(train.select("id", "grp"), "id").groupBy("grp").agg(F.count_distinct("fold").alias("d")).collect()
+    assert all(r["d"] == 1 for r in folds) and res.oof.count() == 40
