@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, secrets, spm_tokens
+from . import bagminhash, decontaminate, langid, secrets, spm_tokens
 from .common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicate_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_tokens.token_report(spark, read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op1_secret_scan": op1_secret_scan,
     "op5_language_id": op5_language_id,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }

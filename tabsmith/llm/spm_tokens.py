@@ -333,3 +333,17 @@ def token_report(spark: SparkSession, docs: DataFrame, model_path: str = DEFAULT
             yield pd.DataFrame(rows, columns=["n_tokens", "n_byte_tokens", "ids_sha256", "parity", "round_trip"])
 
     return docs.select("doc_id", report(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+    """All rows and columns of ``docs`` with ``token_ids``, ``n_tokens`` and ``token_parity`` (columns of these names are replaced)."""
+    mark = "__spm_codes"
+    coded = docs.withColumn(mark, encode_column(spark, F.col("text"), model_path))
+    coded = coded.withColumns(
+        {
+            "token_ids": F.col(mark)["ids"],
+            "n_tokens": F.when(F.col("text").isNotNull(), F.size(F.col(mark)["ids"])).cast("long"),
+            "token_parity": F.col(mark)["parity"],
+        }
+    )
+    return coded.drop(mark)
