@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, langid, secrets, spm_tokens
+from . import bagminhash, decontaminate, langid, licenses, main_text, quality_rules, secrets, sharding, spm_tokens
 from .common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.page_report(read_table(spark, sf_dir, "pages"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(spark, read_table(spark, sf_dir, "documents"))
 
@@ -36,13 +52,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_main_text": op2_main_text,
+    "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_license_scan": op7_license_scan,
+    "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.REPORT_SQL,
+    "op7_license_scan": licenses.REPORT_SQL,
     "op9_decontamination": decontaminate.REPORT_SQL,
 }
