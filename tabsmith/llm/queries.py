@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, langid, licenses, main_text, quality_rules, secrets, sharding, spm_tokens
+from . import bagminhash, context_tree, decontaminate, langid, licenses, main_text, quality_rules, secrets, sharding, spm_tokens
 from .common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.page_report(read_table(spark, sf_dir, "pages"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_main_text": op2_main_text,
+    "op3_context_tree": op3_context_tree,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_near_duplicates": op6_near_duplicates,

@@ -31,9 +31,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POW = _powers(_BASE, 256)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the hash of every lower-cased word between ASCII white space, text by text."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+def word_hashes(texts: list[str], ascii_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the hash of every lower-cased word between ASCII white space, text by text.
+
+    ``ascii_case``: lower-case A-Z only.
+    """
+    if ascii_case:
+        raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    else:
+        raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"".join([r + b"\n" for r in raw]), dtype=np.uint8)
     ends = np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64))
     if not len(buf):
