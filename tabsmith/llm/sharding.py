@@ -11,7 +11,7 @@ The slot of a row in its shard comes from counts: a shard is cut by a hash into
 CELL_ROWS rows, a window over the cells' counts gives each its first slot, and rows are numbered
 inside their cell, so that a shard with most of the rows is numbered by many tasks.
 
-Defined results: a null text has no bytes and all null texts are one group; repeated rows are
+Defined results: a null text has no bytes and is in one group with the empty texts; repeated rows are
 counted and numbered each; an empty table gives no rows; other columns are left alone.
 """
 
@@ -49,7 +49,7 @@ def row_size(text: Column) -> Column:
 def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of (doc_id, text)."""
     text = F.col("text")
-    group = F.coalesce(F.md5(text.cast("binary")), F.lit("null"))
+    group = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     rows = docs.select("doc_id", row_size(text).alias("size"), crc.alias("text_crc32"), group.alias("group"))
     rows = cut(spark, rows.withColumn("bundle", F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(bundles)))), "sizes")
