@@ -109,21 +109,80 @@ def apply_feature_plan(
 
 
 # ---------------------------------------------------------------- imputers / scaling stats
-def exact_median(df: DataFrame, col: str) -> DataFrame:
-    """Exact median of the non-missing values (mean of the middle two).
+# The values between two bounds that are looked at one by one on the driver; more are halved in further passes.
+MEDIAN_BRACKET = 20_000
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact median of the non-missing values (mean of the middle two) of every column with a value.
 
-    Distributed selection: the values are range-sorted (with a random tiebreak so
-    a hot value spreads over partitions), given dense ordinals, and the middle
-    one or two ordinals are averaged.  One row: (median).
+    Each round asks for approximate percentiles around the wanted ranks (all columns in one map-side combined
+    aggregation), counts what lies below the bounds, and goes on between them, until the distinct values left
+    are few; those come with their counts.  No value is sorted, shuffled or stored.
     """
-    dt = df.schema[col].dataType
-    vals = df.where(~is_missing(q(col), dt)).select(q(col).cast("double").alias("_v"), F.rand(17).alias("_t"))
-    n = vals.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([(None,)], "median double")
-    lo, hi = (n - 1) // 2, n // 2
-    ranked = ordinal(vals, ["_v", "_t"], ordinal_col="_o")
-    return ranked.where(F.col("_o").isin(lo, hi)).agg(F.avg("_v").alias("median"))
+    value = {c: F.when(~is_missing(q(c), df.schema[c].dataType), q(c).cast("double")) for c in cols}
+    ends = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(value.values()) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    state = {c: {"n": ends[f"n{i}"], "below": 0, "lo": ends[f"lo{i}"], "hi": ends[f"hi{i}"], "inside": ends[f"n{i}"]} for i, c in enumerate(cols)}
+    state = {c: s for c, s in state.items() if s["n"]}
+    between = {c: (value[c] >= F.lit(s["lo"])) & (value[c] <= F.lit(s["hi"])) for c, s in state.items()}
+    while wide := [c for c, s in state.items() if s["inside"] > MEDIAN_BRACKET and s["lo"] < s["hi"]]:
+        asks = []
+        for i, c in enumerate(wide):
+            s = state[c]
+            ranks = [((s["n"] - 1) // 2 - s["below"]) / s["inside"], (s["n"] // 2 + 1 - s["below"]) / s["inside"]]
+            shares = [min(max(r + d, 0.0), 1.0) for r, d in zip(ranks, (-3e-4, 3e-4))]
+            asks.append(F.percentile_approx(F.when(between[c], value[c]), F.array(*[F.lit(x) for x in shares]), 10_000).alias(f"b{i}"))
+        bounds = df.agg(*asks).first()
+        counts = []
+        for i, c in enumerate(wide):
+            lo, hi = bounds[f"b{i}"]
+            inside = between[c] & (value[c] >= F.lit(lo)) & (value[c] <= F.lit(hi))
+            counts += [F.count_if(value[c] < F.lit(lo)).alias(f"below{i}"), F.count_if(inside).alias(f"in{i}")]
+        seen = df.agg(*counts).first()
+        for i, c in enumerate(wide):
+            s, (lo, hi) = state[c], bounds[f"b{i}"]
+            holds = seen[f"below{i}"] <= (s["n"] - 1) // 2 and seen[f"below{i}"] + seen[f"in{i}"] > s["n"] // 2
+            if not holds or seen[f"in{i}"] == s["inside"]:  # no progress by percentiles: take half of the range that holds the ranks
+                lo, hi = s["lo"], s["hi"]
+                mid = lo + (hi - lo) / 2
+                left = df.agg(F.count_if(value[c] <= F.lit(mid)).alias("n"), F.max(F.when(value[c] <= F.lit(mid), value[c])).alias("l"),
+                              F.min(F.when(value[c] > F.lit(mid), value[c])).alias("r")).first()
+                if left["n"] > s["n"] // 2:
+                    hi = left["l"]
+                elif left["n"] <= (s["n"] - 1) // 2:
+                    lo = left["r"]
+                else:  # the two middle values lie on both sides
+                    lo, hi = left["l"], left["r"]
+                both = df.agg(F.count_if(value[c] < F.lit(lo)).alias("b"), F.count_if((value[c] >= F.lit(lo)) & (value[c] <= F.lit(hi))).alias("i")).first()
+                s.update(lo=lo, hi=hi, below=both["b"], inside=both["i"])
+                if left["n"] == s["n"] // 2 and s["n"] % 2 == 0:
+                    s.update(inside=0, found=(left["l"] + left["r"]) / 2)
+            else:
+                s.update(lo=lo, hi=hi, below=seen[f"below{i}"], inside=seen[f"in{i}"])
+            between[c] = (value[c] >= F.lit(s["lo"])) & (value[c] <= F.lit(s["hi"]))
+    out = {}
+    open_cols = [c for c, s in state.items() if "found" not in s and s["lo"] < s["hi"]]
+    rows = []
+    if open_cols:
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.when(between[c], value[c]).alias("v")) for c in open_cols])
+        rows = df.select(F.explode(pairs).alias("p")).where("p.v is not null").groupBy("p.c", "p.v").count().collect()
+    for c, s in state.items():
+        if "found" in s or s["lo"] == s["hi"]:
+            out[c] = s.get("found", s["lo"])
+            continue
+        at, picked = s["below"], {}
+        for r in sorted((r for r in rows if r["c"] == c), key=lambda r: r["v"]):
+            for rank in ((s["n"] - 1) // 2, s["n"] // 2):
+                if at <= rank < at + r["count"]:
+                    picked[rank] = r["v"]
+            at += r["count"]
+        out[c] = (picked[(s["n"] - 1) // 2] + picked[s["n"] // 2]) / 2
+    return out
+
+
+def exact_median(df: DataFrame, col: str) -> DataFrame:
+    """A6 as a one-row table (median); NULL without values."""
+    return df.sparkSession.createDataFrame([(exact_medians(df, [col]).get(col),)], "median double")
 
 
 def approx_median(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:

@@ -82,40 +82,44 @@ def preview(df: DataFrame, order_by: Sequence[str], max_rows: int = 5) -> DataFr
 
 
 def value_sample_stats(
-    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], *, sample: str = "head", head: int = HEAD_SAMPLE
+    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], *, sample: str = "all", head: int = HEAD_SAMPLE
 ) -> DataFrame:
-    """A4 + A5 (L2): per column (column, sample_rows, avg_len, datetime_share).
+    """A4 + A5: per column (column, sample_rows, avg_len, datetime_share).
 
-    sample="head": the first ``head`` non-null values by ``order_by`` (bounded
-    top-k per column, unioned); sample="all": every non-null value.
+    sample="all": every non-null value, all columns in one map-side combined aggregation of one scan;
+    sample="head" (L2): the first ``head`` non-null values by ``order_by`` (a bounded top-k per column).
     """
     schema = df.schema
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, sample_rows long, avg_len double, datetime_share double")
-    parts = []
+
+    def stats(base: DataFrame, names: Sequence[str]) -> DataFrame:
+        aggs, rows = [], []
+        for i, c in enumerate(names):
+            there = q(c).isNotNull()
+            parsed = lenient_timestamp(q(c), schema[c].dataType).isNotNull().cast("double")
+            aggs += [
+                F.count(q(c)).alias(f"n{i}"),
+                F.avg(F.when(there, F.char_length(q(c).cast("string")))).alias(f"l{i}"),
+                F.avg(F.when(there, parsed)).alias(f"d{i}"),
+            ]
+            rows.append(
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.col(f"n{i}").alias("sample_rows"),
+                    F.coalesce(f"l{i}", F.lit(0.0)).alias("avg_len"),
+                    F.coalesce(f"d{i}", F.lit(0.0)).alias("datetime_share"),
+                )
+            )
+        return base.agg(*aggs).select(F.inline(F.array(*rows)))
+
+    if sample == "all":
+        return stats(df, columns)
+    out = None
     for c in columns:
-        dt = schema[c].dataType
-        base = df.where(q(c).isNotNull())
-        if sample == "head":
-            base = base.orderBy(*[q(k) for k in order_by]).limit(head)
-        parsed = lenient_timestamp(q(c), dt).isNotNull().cast("double")
-        parts.append(base.select(F.lit(c).alias("column"), F.char_length(q(c).cast("string")).alias("_len"), parsed.alias("_dt")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    stats = u.groupBy("column").agg(
-        F.count(F.lit(1)).alias("sample_rows"),
-        F.avg("_len").alias("avg_len"),
-        F.avg("_dt").alias("datetime_share"),
-    )
-    # columns with no non-null value keep a row (0 rows, 0.0 / 0.0)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(stats, "column", "left").select(
-        "column",
-        F.coalesce("sample_rows", F.lit(0)).cast("long").alias("sample_rows"),
-        F.coalesce("avg_len", F.lit(0.0)).alias("avg_len"),
-        F.coalesce("datetime_share", F.lit(0.0)).alias("datetime_share"),
-    )
+        part = stats(df.where(q(c).isNotNull()).orderBy(*[q(k) for k in order_by]).limit(head), [c])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @dataclass
@@ -136,7 +140,7 @@ class FeatureSummary:
 
 
 def feature_summary(
-    df: DataFrame, exclude: Sequence[str], order_by: Sequence[str], *, sample: str = "head"
+    df: DataFrame, exclude: Sequence[str], order_by: Sequence[str], *, sample: str = "all"
 ) -> FeatureSummary:
     """P5: numeric / categorical split by type; text and datetime flags from A4/A5.
 

@@ -24,48 +24,38 @@ def ordered_intersect(left: Sequence[str], right: Sequence[str]) -> list[str]:
 
 
 def ordered_distinct(names: Sequence[str]) -> list[str]:
-    """U4: first occurrence wins."""
-    seen: set[str] = set()
-    out = []
-    for n in names:
-        if n not in seen:
-            seen.add(n)
-            out.append(n)
-    return out
+    """U4: first occurrence wins (dict keys keep their first position)."""
+    return list(dict.fromkeys(names))
+
+
+def _first_choice(*choices: Sequence[str]) -> list[str]:
+    """The first choice that has any name."""
+    return next((list(c) for c in choices if c), [])
+
+
+def _difference(left: Sequence[str] | None, right: Sequence[str] | None) -> list[str]:
+    """U2 of two schemas; nothing when one of the tables is not given."""
+    return [] if left is None or right is None else ordered_except(left, right)
 
 
 def target_candidates(train: Sequence[str], test: Sequence[str] | None, sample: Sequence[str] | None) -> list[str]:
     """Sample-only columns, else train-only columns, else the last train column."""
-    if sample is not None and test is not None:
-        only = ordered_except(sample, test)
-        if only:
-            return only
-    if test is not None:
-        only = ordered_except(train, test)
-        if only:
-            return only
-    return list(train[-1:])
+    return _first_choice(_difference(sample, test), _difference(train, test), train[-1:])
 
 
-def id_candidates(train: Sequence[str], test: Sequence[str] | None, sample: Sequence[str] | None, limit: int = 5) -> list[str]:
-    """Sample columns shared with test, then test columns ending in ``id``; first five."""
-    names: list[str] = []
-    if test is not None and sample is not None:
-        names.extend(ordered_intersect(sample, test))
-    if test is not None:
-        names.extend(c for c in test if str(c).lower().endswith("id"))
-    return ordered_distinct(names)[:limit]
+def id_candidates(train: Sequence[str], test: Sequence[str] | None, sample: Sequence[str] | None, limit: int | None = None) -> list[str]:
+    """Test columns that the sample shares or whose name ends in ``id``, the shared ones first and in the sample's order.
+
+    All of them are returned, so no id column can slip into the features; a report may show the
+    first ``limit`` (L7).
+    """
+    by_name = [c for c in test or [] if str(c)[-2:].lower() == "id"]
+    return ordered_distinct([*ordered_intersect(sample or [], test or []), *by_name])[:limit]
 
 
 def prediction_columns(template: Sequence[str], test: Sequence[str] | None) -> list[str]:
     """Template minus test; else all but the first; else all."""
-    if test is not None:
-        only = ordered_except(template, test)
-        if only:
-            return only
-    if len(template) > 1:
-        return list(template[1:])
-    return list(template)
+    return _first_choice(_difference(template, test), template[1:], template)
 
 
 def id_column_for_check(template: Sequence[str], test: Sequence[str] | None) -> str:

@@ -1,17 +1,17 @@
 """Out-of-fold evaluation and ranking of candidate models.
 
-Shape of the job: read -> (optional exact subsample) -> feature plan -> fold
-column -> persist once -> for each candidate x fold: ``Pipeline.fit`` on the
-other folds, ``transform`` the fold -> union of OOF rows -> one aggregation of
-fold metrics -> leaderboard.  Fits run from a small driver thread pool, each a
-distributed Spark job; nothing is collected except the per-fold scores.
+Shape of the job: feature plan -> fold column over all rows -> persist once -> for each fold
+one preprocessing fit, shared by all candidates, whose vectors are cached while the fold's
+candidates are fitted side by side -> out-of-fold rows in one Parquet table per candidate ->
+one aggregation of fold metrics -> leaderboard.  Every row gets a fold and an out-of-fold prediction (but for the
+first rows of a time split) and the final model sees every row.  ``fit_rows`` is an explicit bound on the rows a
+*classifier* is fitted on, for training sides only; nothing else depends on the size of the data.
 """
 
 from __future__ import annotations
 
 import logging
 import time
-import traceback
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aliases import candidate_name
-from ..functions.exprs import lenient_timestamp
+from ..functions.exprs import lenient_timestamp, threshold_label
 from ..operators import sampling as sm
 from ..operators import schema as sc
 from ..operators import splits as sp
@@ -32,13 +32,17 @@ from ..operators.profile import feature_summary
 from ..operators.quality import q
 from ..session import scratch_path
 from . import models as md
+from . import preprocess as pp
 from . import task as tk
 
 log = logging.getLogger(__name__)
 
 ROWS_PER_FIT_PARTITION = 100_000
 MAX_BROADCAST_CLASSES = 100_000
-LEADERBOARD_SCHEMA = "position int, name string, score double, fold_scores string, status string, error string"
+METRICS = ("accuracy", "neg_rmse")
+# Accepted spellings of a scheme; the recommended grouping needs a group column to become one.
+SCHEMES = {s: s for s in ("time_split", "group_kfold", "stratified_kfold", "kfold", "grouped_kfold_recommended")} | {"grouped_kfold": "group_kfold"}
+REFIT = "refit"
 
 
 @dataclass
@@ -51,15 +55,20 @@ class EvaluationResult:
     best: dict | None
     oof: DataFrame | None
     test_predictions: DataFrame | None
-    used_subsample: bool
     eval_rows: int
+    text_heavy: bool = False
+    datetime_heavy: bool = False
+    fit_notes: list[str] = field(default_factory=list)
     feature_plan: dict = field(default_factory=dict)
     artifact_path: str | None = None
 
 
-def fold_metric(oof: DataFrame, task_type: str) -> DataFrame:
-    """One score per (candidate, fold): -RMSE or accuracy."""
-    if task_type == "regression":
+def fold_metric(oof: DataFrame, task_type: str, metric: str | None = None) -> DataFrame:
+    """One score per (candidate, fold): -RMSE or accuracy; by default the task's own."""
+    metric = metric or tk.metric_family(tk.REGRESSION if task_type == tk.REGRESSION else tk.BINARY)
+    if metric not in METRICS:
+        raise ValueError(f"unsupported metric_family {metric!r}")
+    if metric == "neg_rmse":
         score = -F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)))
     else:
         score = F.avg((F.col("label") == F.col("prediction")).cast("double"))
@@ -67,35 +76,60 @@ def fold_metric(oof: DataFrame, task_type: str) -> DataFrame:
 
 
 def leaderboard_from_folds(fold_scores: DataFrame, positions: DataFrame) -> DataFrame:
-    """A14 + L3: mean over folds (unweighted), fold scores in fold order, sorted by score desc then position."""
-    agg = fold_scores.groupBy("candidate").agg(
-        F.avg("score").alias("score"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda s: F.format_number(s["score"], 6)), ",").alias("fold_scores"),
+    """A14 + L3: unweighted mean over folds, the scores in fold order, sorted by score and then position."""
+    in_order = F.array_sort(F.collect_list(F.struct("fold", "score")))  # k entries a candidate
+    agg = fold_scores.groupBy("candidate").agg(F.avg("score").alias("score"), F.transform(in_order, lambda s: s["score"]).alias("fold_scores"))
+    return positions.join(agg, "candidate").select("position", F.col("candidate").alias("name"), "score", "fold_scores").orderBy(
+        F.desc("score"), "position"
     )
-    # one row per candidate: tiny
-    return positions.join(agg, "candidate").select(
-        "position", F.col("candidate").alias("name"), "score", "fold_scores"
-    ).orderBy(F.desc("score"), "position")
 
 
 def best_candidate(board: DataFrame) -> DataFrame:
-    """Highest score; earlier position wins ties (strictly-greater rule)."""
+    """The highest score that is a number; the earlier position wins ties."""
+    scored = board.where(F.col("score").isNotNull() & ~F.isnan("score"))
     best = F.max(F.struct(F.col("score"), (-F.col("position")).alias("neg_pos"), F.col("name")))
-    return board.where(F.col("score").isNotNull()).agg(best.alias("b")).select(
+    return scored.agg(best.alias("b")).where("b is not null").select(
         F.col("b.name").alias("name"), F.col("b.score").alias("score"), (-F.col("b.neg_pos")).alias("position")
     )
 
 
 def _label_frame(df: DataFrame, target: str, task_type: str) -> tuple[DataFrame, DataFrame | None, int]:
-    """Add ``label``: the value for regression, else the class index."""
-    if task_type == "regression":
-        return df.withColumn("label", q(target).cast("double")), None, 0
+    """Add ``label``: the value for regression, else the class index (V10); rows without a target teach and score nothing."""
+    if task_type == tk.REGRESSION:
+        return df.withColumn("label", q(target).cast("double")).where("label is not null"), None, 0
     classes = tk.label_index(df, target).select(F.col("label").alias("_cls"), F.col("label_index").cast("double").alias("label"))
     n_classes = classes.count()
     # one row per class: broadcast only behind the measured class count
     right = F.broadcast(classes) if n_classes <= MAX_BROADCAST_CLASSES else classes
-    out = df.join(right, q(target) == F.col("_cls"), "inner").drop("_cls")
-    return out, classes, n_classes
+    return df.join(right, q(target) == F.col("_cls"), "inner").drop("_cls"), classes, n_classes
+
+
+def resolve_scheme(name: str, task_type: str, group_column: str | None) -> str:
+    """The scheme that runs: unknown names are refused, the recommended grouping falls back to plain folds without a group."""
+    if name not in SCHEMES:
+        raise ValueError(f"unsupported validation_scheme {name!r}")
+    scheme = SCHEMES[name]
+    if scheme == "grouped_kfold_recommended":
+        scheme = "group_kfold" if group_column else "kfold" if task_type == tk.REGRESSION else "stratified_kfold"
+    if scheme == "group_kfold" and not group_column:
+        raise ValueError("group_kfold needs group_column")
+    if scheme == "stratified_kfold" and task_type == tk.REGRESSION:
+        raise ValueError("stratified_kfold needs classes")
+    return scheme
+
+
+def _folded(df: DataFrame, scheme: str, key: str, target: str, group_column: str | None, datetime_columns: Sequence[str], n_splits: int, seed: int):
+    if scheme == "time_split":
+        order = [F.col(key)]
+        if datetime_columns:  # D3: time order (parsed, unparseable first), not file order; ties by key
+            first = datetime_columns[0]
+            order.insert(0, lenient_timestamp(q(first), df.schema[first].dataType).asc_nulls_first())
+        return sp.time_split(df, order, n_splits)
+    if scheme == "group_kfold":
+        return sp.group_kfold(df, group_column, n_splits, seed)
+    if scheme == "stratified_kfold":
+        return sp.stratified_kfold(df, target, [key], n_splits, seed)
+    return sp.kfold(df, [key], n_splits, seed)
 
 
 def evaluate_candidates(
@@ -112,22 +146,23 @@ def evaluate_candidates(
     candidates: Sequence[Any] | None = None,
     n_splits: int = 3,
     group_column: str | None = None,
-    size_rule: sm.SizeRule = sm.SizeRule(),
+    fit_rows: int | None = None,
+    trees: int = md.TREES,
+    one_hot: bool = True,
+    vocabulary: int = md.VOCABULARY,
     parallelism: int = 4,
-    refit_on_full: bool = False,
-    store_artifacts: bool = False,
     seed: int = 42,
 ) -> EvaluationResult:
     """V6: evaluate candidates out of fold and rank them.
 
-    ``key`` identifies rows (default: the first id candidate); it drives the
-    hash-based folds and samples and keys the OOF/test prediction tables.
+    ``key`` identifies rows (default: the first id candidate); it drives the hash-based folds and
+    keys the prediction tables.  ``fit_rows`` bounds the rows a classifier is fitted on (those of the least
+    key hash, stratified by class); regressions always use all rows.
     """
     spark: SparkSession = train.sparkSession
     test_cols = test.columns if test is not None else None
     tmpl_cols = template.columns if template is not None else None
-    targets = sc.target_candidates(train.columns, test_cols, tmpl_cols)
-    target = target or targets[0]
+    target = target or sc.target_candidates(train.columns, test_cols, tmpl_cols)[0]
     if target not in train.columns:
         target = sc.target_candidates(train.columns, test_cols, None)[0]
     ids = sc.id_candidates(train.columns, test_cols, tmpl_cols)
@@ -135,141 +170,115 @@ def evaluate_candidates(
     if key is None or key not in train.columns:
         raise ValueError("evaluation needs a row key column (pass key=...)")
     ttype = task_type or tk.infer_task_type(train, target)
-    classification = ttype != "regression"
-    eval_src, used_subsample, _ = sm.subsample_for_eval(train, target, [key], classification, size_rule, seed)
-    feats = feature_summary(eval_src, ids + [target], [key])
-    scheme = validation_scheme or tk.recommended_validation(ttype, feats.datetime_heavy, ids)
-    metric = metric_family or tk.metric_family(ttype)
-    if metric not in ("accuracy", "neg_rmse"):
-        raise ValueError(f"unsupported metric_family {metric!r}")  # D6: honoured, not just echoed
-    plan = FeaturePlan.from_spec(feature_plan)
-    tr_feat, te_feat = apply_feature_plan(eval_src, test, plan, target)
-    drop = [c for c in ids if c != key] + [target]
-    cols = md.split_columns([f for f in tr_feat.schema.fields if f.name not in set(drop + [key])], [])
-    cols.text = next((c for c in feats.text_columns if c not in feats.datetime_columns), None)  # D19
-    names = [candidate_name(c, ttype) for c in (candidates or tk.default_candidates(ttype, feats.text_heavy))]
+    if fit_rows is not None and ttype == tk.REGRESSION:
+        raise ValueError("fit_rows bounds the rows of classifiers only")
+    feats = feature_summary(train, list(dict.fromkeys([*ids, target])), [key])
+    names = list(dict.fromkeys(candidate_name(c, ttype) for c in (candidates or tk.default_candidates(ttype, feats.text_heavy))))
     for n in names:
         md.check_candidate(n)
+    metric = metric_family or tk.metric_family(ttype)
+    if metric not in METRICS:
+        raise ValueError(f"unsupported metric_family {metric!r}")
+    scheme = resolve_scheme(validation_scheme or tk.recommended_validation(ttype, feats.datetime_heavy, ids), ttype, group_column)
+    plan = FeaturePlan.from_spec(feature_plan)
+    tr_feat, te_feat = apply_feature_plan(train, test, plan, target)
+    text_columns = [c for c in feats.text_columns if c not in feats.datetime_columns]  # D19
+    kept_out = list(dict.fromkeys([*ids, key, target, *([group_column] if group_column else [])]))
+    cols = pp.split_columns(tr_feat.schema.fields, kept_out, text_columns)
+    cols.text = text_columns[0] if text_columns else None
+    notes = [f"rows of a fit bounded by fit_rows={fit_rows}"] if fit_rows is not None else []
 
     labelled, classes, n_classes = _label_frame(tr_feat, target, ttype)
-    if scheme == "time_split":
-        # D3: time order (parsed, unparseable first), not file order; ties by key
-        if feats.datetime_columns:
-            dcol = feats.datetime_columns[0]
-            order = [lenient_timestamp(q(dcol), labelled.schema[dcol].dataType).asc_nulls_first(), F.col(key)]
-        else:
-            order = [F.col(key)]
-        folded = sp.time_split(labelled, order, n_splits)
-    elif scheme in ("group_kfold", "grouped_kfold") and (group_column or ids):
-        # Grouped folds actually run (no group on both sides of a split)
-        folded = sp.group_kfold(labelled, group_column or ids[0], n_splits, seed)
-    elif classification:
-        folded = sp.stratified_kfold(labelled, target, [key], n_splits, seed)
-    else:
-        folded = sp.kfold(labelled, [key], n_splits, seed)
-    # The evaluation frame is bounded (<= the subsample size when the table is
-    # large): pack it into few partitions, because iterative fits run hundreds of
-    # small jobs whose cost grows with the task count, not with the rows.
-    eval_rows = folded.count()
-    n_parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-eval_rows // ROWS_PER_FIT_PARTITION)))
-    folded = folded.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
-    folded.count()
-    large = sm.is_large(eval_rows, len(train.columns), size_rule)
-    folds = [r["fold"] for r in folded.where(F.col("fold").isNotNull()).select("fold").distinct().orderBy("fold").collect()]
-    pmode = "numeric" if ttype == "regression" else ("proba" if ttype == tk.BINARY else "label")
-
-    def predict(model, df: DataFrame, cand: str) -> DataFrame:
+    folded = _folded(labelled, scheme, key, target, group_column, feats.datetime_columns, n_splits, seed)
+    # Iterative fits run many small jobs whose cost grows with the task count: pack the rows into partitions of a stated size.
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}  # k + 1 rows
+    eval_rows = sum(sizes.values())
+    folds = sorted(f for f in sizes if f is not None)
+    pmode = "numeric" if ttype == tk.REGRESSION else ("proba" if ttype == tk.BINARY else "label")
+    artifact = scratch_path(spark, "evaluation")
+    errors: dict[str, str] = {}
+
+    def predict(model, df: DataFrame, name: str) -> DataFrame:
         out = model.transform(df)
-        cols_out = [q(key), F.lit(cand).alias("candidate"), F.col("prediction").cast("double").alias("prediction")]
+        prediction, probability = F.col("prediction").cast("double"), F.lit(None).cast("double")
         if ttype == tk.BINARY and "probability" in out.columns:
-            p1 = vector_to_array("probability")[1]
-            cols_out[-1] = (p1 >= F.lit(0.5)).cast("double").alias("prediction")  # inclusive threshold
-            cols_out.append(p1.alias("probability"))
-        else:
-            cols_out.append(F.lit(None).cast("double").alias("probability"))
-        keep = [F.col("fold")] if "fold" in df.columns else []
-        keep += [F.col("label")] if "label" in df.columns else []
-        return out.select(*cols_out, *keep)
-
-    log.info("prepared %d rows, %d folds, candidates %s", eval_rows, len(folds), names)
-
-    def run_fold(cand: str, fold: int):
-        if scheme == "time_split":
-            n = eval_rows
-            train_mask = sp.time_split_train_mask(fold, n, n_splits)
-        else:
-            train_mask = F.col("fold") != F.lit(fold)
-        tr_part = folded.where(train_mask)
-        va_part = folded.where(F.col("fold") == F.lit(fold))
-        n_train = tr_part.count()
-        pipe = md.build_pipeline(cand, ttype, cols, large=large, n_train=n_train, n_classes=n_classes)
-        t0 = time.perf_counter()
-        model = pipe.fit(tr_part)
-        log.info("fit %s fold %s: %.1fs", cand, fold, time.perf_counter() - t0)
-        return predict(model, va_part, cand)
-
-    def refit(cand: str):
-        if te_feat is None:
-            return None
-        if refit_on_full:  # D9 option: refit on the whole training table, not the subsample
-            src = _label_frame(apply_feature_plan(train, None, plan, target)[0], target, ttype)[0]
-        else:
-            src = folded
-        pipe = md.build_pipeline(cand, ttype, cols, large=large, n_train=eval_rows, n_classes=n_classes)
-        return predict(pipe.fit(src), te_feat, cand)
-
-    results: dict[Any, Any] = {}
-    errors: dict[str, str] = {}
-    jobs = [(c, f) for c in names for f in folds] + [(c, "refit") for c in names]
-    # fold fits and refits are independent Spark jobs: run them concurrently
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        futs = {pool.submit(run_fold if f != "refit" else (lambda c, _f: refit(c)), c, f): (c, f) for c, f in jobs}
-        for fut, (c, f) in futs.items():
-            try:
-                results[(c, f)] = fut.result()
-            except Exception as exc:  # D16: one failing candidate does not fail the rest
-                errors.setdefault(c, f"{type(exc).__name__}: {exc}")
-                if not isinstance(exc, ValueError):
-                    traceback.print_exc()
-    oof = None
-    for c in names:
-        if c in errors:
-            continue
-        for f in folds:
-            part = results[(c, f)]
-            oof = part if oof is None else oof.unionByName(part)
+            probability = vector_to_array("probability")[1]
+            prediction = threshold_label(probability).cast("double")  # inclusive threshold
+        extra = [c for c in ("fold", "label") if c in df.columns]
+        return out.select(q(key), F.lit(name).alias("candidate"), prediction.alias("prediction"), probability.alias("probability"), *extra)
+
+    def run_side(fit_on: DataFrame, n_fit: int, apply_to: DataFrame, side: str) -> None:
+        """Fit every candidate on one side and store its predictions of the other."""
+        if fit_rows is not None and fit_rows < n_fit:
+            fit_on, n_fit = sm.stratified_subsample(fit_on, target, [key], fit_rows, seed), fit_rows
+        parts = max(1, -(-n_fit // ROWS_PER_FIT_PARTITION))
+        prep = pp.Preprocessor.fit(fit_on, cols, one_hot=one_hot)
+        wanted = [c for c in (key, "label", "fold", cols.text, pp.LINEAR, pp.TREE) if c]
+        ready = prep.transform(fit_on)
+        ready = ready.select(*[q(c) for c in wanted if c in ready.columns]).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        other = prep.transform(apply_to)
+        other = other.select(*[q(c) for c in wanted if c in other.columns])
+
+        def run(name: str) -> None:
+            started = time.perf_counter()
+            left, right = ready, other
+            if name == md.TEXT:
+                vectors = md.fit_text(ready, cols.text, vocabulary)
+                left, right = vectors(ready), vectors(other)
+            model = md.estimator(name, ttype, n_train=n_fit, n_classes=n_classes, trees=trees).fit(left)
+            predict(model, right, name).write.mode("overwrite").parquet(f"{artifact}/{side}/candidate={name}")
+            log.info("%s %s: %.1f s", name, side, time.perf_counter() - started)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:  # independent Spark jobs
+            for name, done in [(n, pool.submit(run, n)) for n in names if n not in errors]:
+                try:
+                    done.result()
+                except Exception as exc:  # D16: one failing candidate does not fail the rest
+                    errors.setdefault(name, f"{type(exc).__name__}: {exc}")
+                    log.warning("candidate %s failed on %s", name, side, exc_info=exc)
+        ready.unpersist()
+
+    for fold in folds:
+        mask = sp.time_split_train_mask(fold, eval_rows, n_splits) if scheme == "time_split" else sp.fold_masks(fold)[0]
+        before = sum(n for f, n in sizes.items() if f != fold and (scheme != "time_split" or f is None or f < fold))
+        run_side(folded.where(mask), before, folded.where(sp.fold_masks(fold)[1]), f"oof/fold={fold}")
+    if te_feat is not None:
+        run_side(folded, eval_rows, te_feat, "test")
+    folded.unpersist()
+
+    ok = [n for n in names if n not in errors]
+    oof = test_pred = None
+    if ok:
+        parts = [spark.read.parquet(*[f"{artifact}/oof/fold={f}/candidate={n}" for f in folds]).withColumn("candidate", F.lit(n)) for n in ok]
+        oof = parts[0]
+        for part in parts[1:]:
+            oof = oof.unionByName(part)
+        oof = oof.select(q(key), "candidate", "prediction", "probability", "fold", "label")
+    if ok and te_feat is not None:
+        test_pred = spark.read.option("basePath", f"{artifact}/test").parquet(*[f"{artifact}/test/candidate={n}" for n in ok])
+        test_pred = test_pred.select(q(key), "candidate", "prediction", "probability")
+        if classes is not None:
+            back = classes.select(F.col("label").alias("prediction"), F.col("_cls").alias("predicted_label"))
+            test_pred = test_pred.join(F.broadcast(back) if n_classes <= MAX_BROADCAST_CLASSES else back, "prediction", "left")
 
     positions = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, candidate string")
-    if oof is not None:
-        scores = fold_metric(oof, ttype)
-        board = leaderboard_from_folds(scores, positions)
-    else:
-        board = spark.createDataFrame([], "position int, name string, score double, fold_scores string")
-    status = spark.createDataFrame(
-        [(i, n, "error" if n in errors else "ok", errors.get(n)) for i, n in enumerate(names)],
-        "position int, name string, status string, error string",
-    )
-    board = status.join(board.drop("name"), "position", "left").select(
-        "position", "name", "score", "fold_scores", "status", "error"
+    scores = fold_metric(oof, ttype, metric) if oof is not None else spark.createDataFrame([], "candidate string, fold int, score double")
+    ranked = [r.asDict() for r in leaderboard_from_folds(scores, positions).collect()]  # one row per candidate
+    by_name = {r["name"]: r for r in ranked}
+    rows = [
+        (i, n, by_name.get(n, {}).get("score"), by_name.get(n, {}).get("fold_scores"), "error" if n in errors else "ok", errors.get(n),
+         None if n in errors else artifact_ref(artifact, n))
+        for i, n in enumerate(names)
+    ]
+    board = spark.createDataFrame(
+        rows, "position int, name string, score double, fold_scores array<double>, status string, error string, artifact_ref string"
     ).orderBy(F.desc_nulls_last("score"), "position")
-    board = board.cache()  # one row per candidate
-    best_rows = best_candidate(board).collect()
-    best = best_rows[0].asDict() if best_rows else None
-
-    test_pred = None
-    for c in names:
-        p = results.get((c, "refit")) if c not in errors else None
-        if p is not None:
-            test_pred = p if test_pred is None else test_pred.unionByName(p)
-    if test_pred is not None and classes is not None:
-        back = classes.select(F.col("label").alias("prediction"), F.col("_cls").alias("predicted_label"))
-        back = F.broadcast(back) if n_classes <= MAX_BROADCAST_CLASSES else back
-        test_pred = test_pred.join(back, "prediction", "left")
-
-    artifact = None
-    if store_artifacts and oof is not None:
-        artifact = scratch_path(spark, "oof")
-        oof.write.mode("overwrite").partitionBy("candidate").parquet(artifact)
+    won = best_candidate(board).collect()
+    best = None
+    if won:
+        i = names.index(won[0]["name"])
+        best = won[0].asDict() | {"fold_scores": rows[i][3], "artifact_ref": rows[i][6]}
     return EvaluationResult(
         task_type=ttype,
         validation_scheme=scheme,
@@ -279,19 +288,47 @@ def evaluate_candidates(
         best=best,
         oof=oof,
         test_predictions=test_pred,
-        used_subsample=used_subsample,
         eval_rows=eval_rows,
+        text_heavy=feats.text_heavy,
+        datetime_heavy=feats.datetime_heavy,
+        fit_notes=notes,
         feature_plan=dict(feature_plan or {}),
         artifact_path=artifact,
     )
 
 
+def artifact_ref(path: str, candidate: str) -> str:
+    """The name under which a candidate's stored predictions are found again."""
+    return f"{path}#{candidate}"
+
+
+def load_artifact(spark: SparkSession, ref: str) -> dict[str, DataFrame | None]:
+    """The stored tables of one candidate: out-of-fold rows with their labels, and test predictions if there were any."""
+    path, _, candidate = ref.rpartition("#")
+
+    def side(pattern: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{path}/{pattern}/candidate={candidate}")
+        except Exception as exc:
+            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+                return None
+            raise
+
+    oof = side("oof/fold=*") if path and candidate else None
+    if oof is None:
+        raise ValueError(f"Unknown artifact_ref: {ref}")
+    return {"oof": oof, "test": side("test")}
+
+
 def store_predictions(df: DataFrame, path: str) -> str:
-    """Persist predictions partitioned by candidate (the artifact ref is the path)."""
+    """Persist predictions partitioned by candidate."""
     df.write.mode("overwrite").partitionBy("candidate").parquet(path)
     return path
 
 
 def load_predictions(spark: SparkSession, path: str, candidate: str) -> DataFrame:
-    """Read one candidate back; the partition filter prunes the other candidates' files."""
-    return spark.read.parquet(path).where(F.col("candidate") == F.lit(candidate))
+    """Read one candidate back; the partition filter prunes the other candidates' files.  An unknown name is an error."""
+    found = spark.read.parquet(path).where(F.col("candidate") == F.lit(candidate))
+    if found.isEmpty():
+        raise ValueError(f"no stored predictions of {candidate!r} in {path}")
+    return found

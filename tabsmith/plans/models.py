@@ -1,181 +1,92 @@
-"""Candidate model presets on ``pyspark.ml`` (M1-M10, E1-E6, E7 ML form).
+"""Candidate models on ``pyspark.ml`` (M1-M10, E7 in ML form).
 
-Each preset is a ``Pipeline``: categorical indexing (+ one-hot for the linear
-presets when there are fewer than 8 categoricals and the table is not large,
-else ordinal codes; tree presets always use ordinal codes) ->
-median imputation of numerics -> vector assembly -> optional scaling -> model.
-The reference's boosted-tree libraries are replaced by ``pyspark.ml`` trees with
-the same budget (trees, learning rate, depth, column sampling); scores are not
-expected to equal those libraries'.
+Tabular models read the vectors of ``preprocess``: the linear ones the scaled and one-hot form, the
+boosted trees the form with ordinal codes.  The reference's boosted-tree libraries are replaced by ``pyspark.ml``
+trees with the same budget (trees, learning rate, depth, column sampling) under the names they are asked for
+by; scores are not expected to equal those libraries'.  Budgets are parameters with fixed defaults: no
+parameter follows the size of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    Imputer,
-    NGram,
-    Normalizer,
-    OneHotEncoder,
-    RegexTokenizer,
-    SQLTransformer,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame
 
 from ..functions.exprs import TOKEN_PATTERN
+from .preprocess import LINEAR, TREE, Columns, split_columns  # noqa: F401
 
 # Preset budgets of the reference.
 TREES = 120
-TREES_LARGE = 80
 LEARNING_RATE = 0.07
 COLSAMPLE = "0.8"
 LOGREG_MAX_ITER = 250
 TFIDF_LOGREG_MAX_ITER = 500
-ONE_HOT_MAX_CATEGORICALS = 8
+VOCABULARY = 5_000
+DEPTH = {"lightgbm": 5, "xgboost": 4, "catboost": 5}
+ROW_SAMPLE = {"xgboost": 0.8}
 SEED = 42
+# Histogram memory of one pass over the data: a tree level of these depths fits in one job.
+HISTOGRAM_MB = 512
 
-KNOWN = {
-    "logistic_regression",
-    "linear_regression",
-    "lightgbm_classifier",
-    "lightgbm_regressor",
-    "xgboost_classifier",
-    "xgboost_regressor",
-    "catboost_classifier",
-    "catboost_regressor",
-    "tfidf_linear",
-}
+TEXT = "tfidf_linear"
+KNOWN = {"logistic_regression", "linear_regression", TEXT} | {f"{f}_{kind}" for f in DEPTH for kind in ("classifier", "regressor")}
 
 FEATURES = "features"
 LABEL = "label"
 
 
-@dataclass
-class Columns:
-    numeric: list[str]
-    categorical: list[str]
-    text: str | None = None
-
-
 def check_candidate(name: str) -> None:
     """Unknown names fail before any job starts."""
     if name not in KNOWN:
         raise ValueError(f"Unsupported candidate: {name}")
 
 
-def _tabular_stages(cols: Columns, *, scale: bool, large: bool, one_hot: bool = True) -> list:
-    stages: list = []
-    vec_inputs: list[str] = []
-    if cols.categorical:
-        idx_cols = [f"{c}__idx" for c in cols.categorical]
-        str_cols = [f"{c}__str" for c in cols.categorical]
-        casts = ", ".join(f"cast(`{c}` as string) as `{c}__str`" for c in cols.categorical)
-        stages.append(SQLTransformer(statement=f"select *, {casts} from __THIS__"))
-        # unknown and NULL categories go to the extra "keep" slot
-        stages.append(
-            StringIndexer(inputCols=str_cols, outputCols=idx_cols, handleInvalid="keep", stringOrderType="alphabetAsc")
-        )
-        if one_hot and not large and len(cols.categorical) < ONE_HOT_MAX_CATEGORICALS:
-            oh_cols = [f"{c}__oh" for c in cols.categorical]
-            # dropLast drops the "keep" slot: unknown/NULL -> all zeros
-            stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=oh_cols, dropLast=True, handleInvalid="keep"))
-            vec_inputs += oh_cols
-        else:
-            # plain numeric codes: the cast drops the nominal metadata, so trees
-            # split on the code order instead of enumerating category subsets
-            ord_cols = [f"{c}__ord" for c in cols.categorical]
-            casts = ", ".join(f"cast(`{i}` as double) as `{o}`" for i, o in zip(idx_cols, ord_cols))
-            stages.append(SQLTransformer(statement=f"select *, {casts} from __THIS__"))
-            vec_inputs += ord_cols
-    if cols.numeric:
-        num_in = [f"{c}__num" for c in cols.numeric]
-        casts = ", ".join(f"cast(`{c}` as double) as `{c}__num`" for c in cols.numeric)
-        stages.append(SQLTransformer(statement=f"select *, {casts} from __THIS__"))
-        imp_out = [f"{c}__imp" for c in cols.numeric]
-        stages.append(Imputer(inputCols=num_in, outputCols=imp_out, strategy="median"))
-        if scale:
-            # only the numeric block is centred and scaled, so one-hot blocks stay sparse
-            stages.append(VectorAssembler(inputCols=imp_out, outputCol="_num_vec", handleInvalid="keep"))
-            stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True))
-            vec_inputs.append("_num_scaled")
-        else:
-            vec_inputs += imp_out
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol=FEATURES, handleInvalid="keep"))
-    return stages
-
-
-def _text_stages(text_col: str) -> list:
-    """E7 ML form: tokens -> unigrams + bigrams -> top-5,000 counts -> idf -> L2.
-
-    Spark's IDF is ln((n+1)/(df+1)) without the reference's +1; the exact
-    reference weights are the relational form in ``operators.text``.
-    """
-    return [
-        SQLTransformer(statement=f"select *, coalesce(cast(`{text_col}` as string), '') as _text from __THIS__"),
-        RegexTokenizer(inputCol="_text", outputCol="_uni", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True, minTokenLength=2),
-        NGram(n=2, inputCol="_uni", outputCol="_bi"),
-        SQLTransformer(statement="select *, concat(_uni, _bi) as _terms from __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=5000),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol=FEATURES, p=2.0),
-    ]
-
-
-def build_pipeline(name: str, task_type: str, cols: Columns, *, large: bool, n_train: int, n_classes: int = 2) -> Pipeline:
-    """A preset as an unfitted Pipeline reading ``label`` (class index or target value)."""
+def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, trees: int = TREES):
+    """The unfitted model of a candidate; it reads ``label`` (class index or target value) and its own features column."""
     check_candidate(name)
-    trees = TREES_LARGE if large else TREES
     classification = task_type != "regression"
-    if name == "tfidf_linear":
-        if cols.text is None:
-            raise ValueError("tfidf_linear requires a text column")
-        if classification:
-            model = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, maxIter=TFIDF_LOGREG_MAX_ITER,
-                                       regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
-        else:
-            model = LinearRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=0.0, solver="auto")
-        return Pipeline(stages=_text_stages(cols.text) + [model])
-    if name == "logistic_regression":
+    family = name.split("_")[0]
+    if family not in DEPTH:
+        features = FEATURES if name == TEXT else LINEAR
+        if name == "linear_regression" or not classification:
+            return LinearRegression(featuresCol=features, labelCol=LABEL, regParam=0.0, solver="auto")
         # C = 1 in the reference's objective == regParam 1/n in Spark's averaged loss
-        model = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, maxIter=LOGREG_MAX_ITER,
-                                   regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
-        return Pipeline(stages=_tabular_stages(cols, scale=True, large=large) + [model])
-    if name == "linear_regression":
-        model = LinearRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=0.0, solver="auto")
-        return Pipeline(stages=_tabular_stages(cols, scale=True, large=large) + [model])
-    depth = {"lightgbm": 5, "xgboost": 4, "catboost": 5}[name.split("_")[0]]
-    subsample = 0.8 if name.startswith("xgboost") else 1.0
-    common = dict(featuresCol=FEATURES, labelCol=LABEL, maxIter=trees, stepSize=LEARNING_RATE, maxDepth=depth,
-                  subsamplingRate=subsample, featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=64, cacheNodeIds=False)
-    if classification:
-        gbt = GBTClassifier(**common)
-        model = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL)
-    else:
-        model = GBTRegressor(**common)
-    # Trees split on ordinal category codes: a one-hot block of thousands of sparse
-    # columns only multiplies the histogram work of every tree level.
-    return Pipeline(stages=_tabular_stages(cols, scale=False, large=large, one_hot=False) + [model])
-
-
-def split_columns(schema_fields: Sequence, exclude: Sequence[str]) -> Columns:
-    from pyspark.sql import types as T
-
-    ex = set(exclude)
-    num, cat = [], []
-    for f in schema_fields:
-        if f.name in ex:
-            continue
-        if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-            num.append(f.name)
-        elif isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
-            cat.append(f.name)
-    return Columns(num, cat)
+        rounds = TFIDF_LOGREG_MAX_ITER if name == TEXT else LOGREG_MAX_ITER
+        return LogisticRegression(
+            featuresCol=features, labelCol=LABEL, maxIter=rounds, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False
+        )
+    budget = dict(
+        featuresCol=TREE, labelCol=LABEL, maxIter=trees, stepSize=LEARNING_RATE, maxDepth=DEPTH[family], subsamplingRate=ROW_SAMPLE.get(family, 1.0),
+        featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=64, cacheNodeIds=False, maxMemoryInMB=HISTOGRAM_MB,
+    )
+    if not classification:
+        return GBTRegressor(**budget)
+    boosted = GBTClassifier(**budget)
+    return boosted if n_classes <= 2 else OneVsRest(classifier=boosted, featuresCol=TREE, labelCol=LABEL)
+
+
+def fit_text(train: DataFrame, text_col: str | None, vocabulary: int = VOCABULARY) -> Callable[[DataFrame], DataFrame]:
+    """E7 in ML form: tokens -> unigrams and bigrams -> counts of the top terms -> smoothed idf + 1 -> L2 length 1."""
+    if text_col is None:
+        raise ValueError("tfidf_linear requires a text column")
+    counted = Pipeline(
+        stages=[
+            SQLTransformer(statement=f"select *, coalesce(cast(`{text_col}` as string), '') as _text from __THIS__"),
+            RegexTokenizer(inputCol="_text", outputCol="_uni", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True, minTokenLength=2),
+            NGram(n=2, inputCol="_uni", outputCol="_bi"),
+            SQLTransformer(statement="select *, concat(_uni, _bi) as _terms from __THIS__"),
+            CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary),
+        ]
+    ).fit(train)
+    # Spark's idf is ln((n + 1) / (df + 1)): the same smoothing without the + 1, which joins its fitted vector here.
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.transform(train)).idf.toArray()
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(np.asarray(idf) + 1.0), inputCol="_tf", outputCol="_idf")
+    unit = Normalizer(inputCol="_idf", outputCol=FEATURES, p=2.0)
+    return lambda df: unit.transform(weigh.transform(counted.transform(df)))

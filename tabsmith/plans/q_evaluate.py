@@ -9,8 +9,9 @@ from ..functions.exprs import threshold_label
 from ..operators import splits as sp
 from ..operators.ranking import hash_key_sql
 from ..session import scratch_path
-from ..sources.tables import fixture, table
+from ..sources.tables import fixture, table, with_views
 from . import evaluate as ev
+from . import preprocess as pp
 from .registry import register
 
 LKEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
@@ -85,6 +86,15 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return board.select("position", "name", F.round("score", 6).alias("score"))
 
 
+@register("leaderboard_folds", "with " + _KFOLD_CTE + "\nselect candidate as name, fold, round(score, 6) as score from fs")
+def leaderboard_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """The fold scores of the leaderboard are numbers in fold order."""
+    oof = baseline_oof(_lineitem_folds(spark, sf), LKEY)
+    pos = spark.createDataFrame([(0, "mean_baseline"), (1, "midrange_baseline")], "position int, candidate string")
+    board = ev.leaderboard_from_folds(ev.fold_metric(oof, "regression"), pos)
+    return board.select("name", F.posexplode("fold_scores").alias("fold", "s")).select("name", "fold", F.round("s", 6).alias("score"))
+
+
 @register(
     "best_candidate",
     "with " + _KFOLD_CTE + "\nselect name, round(score, 6) as score, position from board order by score desc, position limit 1",
@@ -215,6 +225,152 @@ def linreg_cv(spark: SparkSession, sf: str) -> DataFrame:
     return oof.groupBy("fold").agg(F.round(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))), 4).alias("rmse"))
 
 
+# ---------------------------------------------------------------- the whole evaluation against closed forms
+def _least_squares(rows: str, fold: str = "fold") -> str:
+    """CTEs: the line ``a + b * x`` fitted to (fold, x, label) of ``rows`` outside each fold."""
+    return f"""
+st as (select {fold} as fold, cast(count(*) as double) as n, sum(x) as sx, sum(label) as sy, sum(x * x) as sxx, sum(x * label) as sxy
+       from {rows} group by {fold}),
+cm as (select fold, (select sum(n) from st) - n as n, (select sum(sx) from st) - sx as sx, (select sum(sy) from st) - sy as sy,
+              (select sum(sxx) from st) - sxx as sxx, (select sum(sxy) from st) - sxy as sxy from st),
+co as (select *, (n * sxy - sx * sy) / (n * sxx - sx * sx) as b from cm),
+ab as (select fold, b, (sy - b * sx) / n as a from co)"""
+
+
+_ORDER_FOLDS = f"""
+f as (select o_orderkey, cast(o_custkey as double) as x, o_totalprice as label,
+             cast((row_number() over (order by {hash_key_sql(['o_orderkey'])}, o_orderkey) - 1) % 3 as integer) as fold from orders)"""
+
+
+def _linear_evaluation(spark: SparkSession, sf: str) -> ev.EvaluationResult:
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ev.evaluate_candidates(df, target="o_totalprice", key="o_orderkey", task_type="regression", validation_scheme="kfold",
+                                  candidates=["linear", "linear_regression"])
+
+
+@register(
+    "evaluate_linear",
+    "with " + _ORDER_FOLDS + "," + _least_squares("f") + """
+select 'linear_regression' as name, f.fold, round(-sqrt(avg(power(label - (a + b * x), 2))), 3) as score, 'kfold' as validation_scheme,
+       (select count(*) from orders) as eval_rows
+from f join ab on f.fold = ab.fold group by f.fold""",
+)
+def evaluate_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 end to end through preprocessing and model: fold scores of the report, least squares on all rows of orders."""
+    res = _linear_evaluation(spark, sf)
+    scores = res.leaderboard.select("name", F.posexplode("fold_scores").alias("fold", "score"))
+    return scores.select(
+        "name", "fold", F.round("score", 3).alias("score"), F.lit(res.validation_scheme).alias("validation_scheme"),
+        F.lit(res.eval_rows).cast("long").alias("eval_rows"),
+    )
+
+
+@register(
+    "evaluate_linear_oof",
+    "with " + _ORDER_FOLDS + "," + _least_squares("f") + """
+select o_orderkey, f.fold, round(a + b * x, 3) as prediction, round(label, 6) as label from f join ab on f.fold = ab.fold""",
+)
+def evaluate_linear_oof(spark: SparkSession, sf: str) -> DataFrame:
+    """V7 + S10: the stored artifact of the best candidate has one out-of-fold row with its label for every order."""
+    res = _linear_evaluation(spark, sf)
+    oof = ev.load_artifact(spark, res.best["artifact_ref"])["oof"]
+    return oof.select("o_orderkey", "fold", F.round("prediction", 3).alias("prediction"), F.round("label", 6).alias("label"))
+
+
+@register(
+    "predict_test_linear",
+    with_views(
+        """
+select o_orderkey, 'linear_regression' as candidate, round(regr_intercept + regr_slope * o_custkey, 3) as prediction
+from v_orders_test cross join (select regr_slope(o_totalprice, o_custkey) as regr_slope,
+                                      regr_intercept(o_totalprice, o_custkey) as regr_intercept from v_orders_train)""",
+        "v_orders_train",
+        "v_orders_test",
+    ),
+)
+def predict_test_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """V8: refit on every training row, predict every test row (one number: closed-form least squares)."""
+    train = fixture(spark, sf, "v_orders_train").select("o_orderkey", "o_custkey", "o_totalprice")
+    test = fixture(spark, sf, "v_orders_test").select("o_orderkey", "o_custkey")
+    res = ev.evaluate_candidates(train, test, target="o_totalprice", key="o_orderkey", validation_scheme="kfold", candidates=["linear"])
+    return res.test_predictions.select("o_orderkey", "candidate", F.round("prediction", 3).alias("prediction"))
+
+
+@register(
+    "evaluate_fit_rows",
+    "select doc_id, cast(1 as bigint) as oof_rows, (select count(*) from labels join documents using (doc_id)) as eval_rows "
+    "from labels join documents using (doc_id)",
+)
+def evaluate_fit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 with an explicit bound on the rows a classifier is fitted on: every labelled document is still scored once."""
+    df = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").drop("toxic")
+    res = ev.evaluate_candidates(df, target="quality", key="doc_id", task_type="binary_classification", validation_scheme="stratified_kfold",
+                                 candidates=["logreg"], fit_rows=100)
+    return res.oof.groupBy("doc_id").agg(F.count(F.lit(1)).alias("oof_rows")).withColumn("eval_rows", F.lit(res.eval_rows).cast("long"))
+
+
+def _preset_sql(names: list[str], rows: str) -> str:
+    return "\nunion all ".join(
+        f"select {i} as position, '{n}' as name, 'ok' as status, 3 as folds, count(*) as oof_rows, count(*) as test_rows from {rows}"
+        for i, n in enumerate(names)
+    )
+
+
+def _presets(df: DataFrame, names: list[str], **kw) -> DataFrame:
+    """Boosted presets with few trees: status, folds, out-of-fold rows and test predictions of each."""
+    res = ev.evaluate_candidates(df, df.drop(kw["target"]), candidates=names, trees=3, **kw)
+    count = lambda part, name: part.groupBy("candidate").agg(F.count("prediction").alias(name))
+    board = res.leaderboard.select("position", F.col("name").alias("candidate"), "status", F.size("fold_scores").alias("folds"))
+    both = board.join(count(res.oof, "oof_rows"), "candidate").join(count(res.test_predictions, "test_rows"), "candidate")
+    return both.select("position", F.col("candidate").alias("name"), "status", "folds", "oof_rows", "test_rows")
+
+
+_CLASSIFIERS = ["lightgbm_classifier", "xgboost_classifier", "catboost_classifier"]
+_REGRESSORS = ["lightgbm_regressor", "xgboost_regressor", "catboost_regressor"]
+
+
+@register("evaluate_boosted_classifiers", _preset_sql(_CLASSIFIERS, "labels join documents using (doc_id)"))
+def evaluate_boosted_classifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """M3, M5, M7 on document quality: every preset fits all folds and predicts every row."""
+    df = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").drop("toxic")
+    return _presets(df, _CLASSIFIERS, target="quality", key="doc_id", task_type="binary_classification", validation_scheme="stratified_kfold")
+
+
+@register("evaluate_boosted_regressors", _preset_sql(_REGRESSORS, "customer"))
+def evaluate_boosted_regressors(spark: SparkSession, sf: str) -> DataFrame:
+    """M4, M6, M8 on customer balances: every preset fits all folds and predicts every row."""
+    df = table(spark, sf, "customer")
+    return _presets(df, _REGRESSORS, target="c_acctbal", key="c_custkey", task_type="regression", validation_scheme="kfold")
+
+
+@register(
+    "preset_vectors",
+    """
+with s as (select median(case when c_custkey % 7 = 0 then null else c_acctbal end) as med from customer),
+x as (select c_custkey, coalesce(case when c_custkey % 7 = 0 then null else c_acctbal end, med) as v,
+             case when c_custkey % 5 = 0 then null else c_mktsegment end as seg from customer cross join s),
+m as (select seg from (select seg, row_number() over (order by count(*) desc, seg) as k from x where seg is not null group by seg) where k = 1),
+c as (select seg, row_number() over (order by seg) - 1 as code from (select distinct seg from x where seg is not null)),
+t as (select avg(v) as mean, stddev_pop(v) as std from x)
+select c_custkey, round(v, 6) as filled, round((v - mean) / std, 6) as scaled, cast(code as integer) as code
+from x cross join t cross join m join c on c.seg = coalesce(x.seg, m.seg)""",
+)
+def preset_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """E1-E6 as the models see them: median and mode filled, scaled by the population deviation, coded, one-hot."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("balance"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"),
+    )
+    prep = pp.Preprocessor.fit(df, pp.Columns(["balance"], ["segment"]))
+    out = prep.transform(df).select("c_custkey", vector_to_array(pp.LINEAR).alias("l"), vector_to_array(pp.TREE).alias("t"))
+    slot = (F.array_position(F.slice("l", 2, prep.sizes["segment"]), F.lit(1.0)) - 1).cast("int")  # the one-hot slot, which is the code
+    code = F.when(slot == F.col("t")[1].cast("int"), slot)
+    return out.select("c_custkey", F.round(F.col("t")[0], 6).alias("filled"), F.round(F.col("l")[0], 6).alias("scaled"), code.alias("code"))
+
+
 # ---------------------------------------------------------------- full evaluations (rows-only check)
 def _board(res: ev.EvaluationResult) -> DataFrame:
     """The leaderboard with the evaluation report fields (V6/V9) on every row."""
@@ -224,10 +380,9 @@ def _board(res: ev.EvaluationResult) -> DataFrame:
         F.lit(res.validation_scheme).alias("validation_scheme"),
         F.lit(res.metric_family).alias("metric_family"),
         F.lit(res.prediction_mode).alias("prediction_mode"),
-        F.lit(res.used_subsample).alias("used_subsample"),
         F.lit(res.eval_rows).cast("long").alias("eval_rows"),
         F.lit((res.best or {}).get("name")).cast("string").alias("best_candidate"),
-    )
+    )
 
 
 @register("evaluate_regression")
@@ -243,8 +398,8 @@ def evaluate_regression(spark: SparkSession, sf: str) -> DataFrame:
 @register("evaluate_binary")
 def evaluate_binary(spark: SparkSession, sf: str) -> DataFrame:
     """V6 binary: document quality, logistic + boosted-tree presets, stratified folds."""
-    train = fixture(spark, sf, "v_docs_train").drop("text")
-    test = fixture(spark, sf, "v_docs_test").drop("text")
+    train = fixture(spark, sf, "v_docs_train")
+    test = fixture(spark, sf, "v_docs_test")
     res = ev.evaluate_candidates(
         train, test, None, target="quality", key="doc_id", validation_scheme="stratified_kfold",
         candidates=["logistic_regression", {"model": "xgboost"}],
@@ -273,7 +428,7 @@ def evaluate_text(spark: SparkSession, sf: str) -> DataFrame:
 @register("evaluate_group_kfold")
 def evaluate_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
     """V6 with W6: order totals evaluated with folds grouped by customer (D2: grouped folds are run)."""
-    train = fixture(spark, sf, "v_orders_train").drop("o_orderdate")
+    train = fixture(spark, sf, "v_orders_train")
     res = ev.evaluate_candidates(train, None, None, target="o_totalprice", key="o_orderkey", validation_scheme="group_kfold",
                                  group_column="o_custkey", candidates=["linear_regression"])
     return _board(res)

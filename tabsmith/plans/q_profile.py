@@ -111,7 +111,7 @@ def target_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _head_sql(src: str, col: str, key: str, expr: str) -> str:
-    return f"(select '{col}' as \"column\", {expr} from (select {col} from {src} where {col} is not null order by {key} limit 100))"
+    return f"(select '{col}' as \"column\", {expr} from (select {col} from {src} where {col} is not null))"
 
 
 @register(
@@ -122,7 +122,7 @@ def _head_sql(src: str, col: str, key: str, expr: str) -> str:
     ),
 )
 def text_columns_query(spark: SparkSession, sf: str) -> DataFrame:
-    """A4: mean length of the first 100 non-null values by doc_id; text when >= 20."""
+    """A4: mean length of all non-null values; text when >= 20."""
     df = table(spark, sf, "documents")
     s = pf.value_sample_stats(df, ["text", "lang", "source"], ["doc_id"])
     return s.select("column", "sample_rows", "avg_len", (F.col("avg_len") >= pf.TEXT_MIN_AVG_LEN).alias("is_text"))
@@ -142,7 +142,7 @@ _DT = "avg(case when try_cast({c} as timestamp) is not null then 1.0 else 0.0 en
     ),
 )
 def datetime_columns_query(spark: SparkSession, sf: str) -> DataFrame:
-    """A5: share of the first 100 non-null values that parse as datetimes; datetime when >= 0.8."""
+    """A5: share of all non-null values that parse as datetimes; datetime when >= 0.8."""
     df = fixture(spark, sf, "v_events")
     s = pf.value_sample_stats(df, ["ts_text", "event_type", "props"], ["event_id"])
     return s.select("column", "sample_rows", "datetime_share", (F.col("datetime_share") >= pf.DATETIME_MIN_SHARE).alias("is_datetime"))
@@ -152,8 +152,8 @@ def datetime_columns_query(spark: SparkSession, sf: str) -> DataFrame:
     "feature_summary",
     with_views(
         """
-with h_ts as (select ts_text from v_events_train where ts_text is not null order by event_id limit 100),
-     h_p as (select props from v_events_train where props is not null order by event_id limit 100)
+with h_ts as (select ts_text from v_events_train where ts_text is not null),
+     h_p as (select props from v_events_train where props is not null)
 select 'value' as "column", 'numeric' as family, false as is_text, false as is_datetime
 union all select 'ts_text', 'categorical', (select avg(length(ts_text)) >= 20 from h_ts),
        (select avg(case when try_cast(ts_text as timestamp) is not null then 1.0 else 0.0 end) >= 0.8 from h_ts)
@@ -163,7 +163,7 @@ union all select 'props', 'categorical', (select avg(length(props)) >= 20 from h
     ).replace(")\n\nwith h_ts", "),\nh_ts", 1),
 )
 def feature_summary_query(spark: SparkSession, sf: str) -> DataFrame:
-    """P5: numeric/categorical by type, text and datetime flags from the head sample."""
+    """P5: numeric/categorical by type, text and datetime flags from all values."""
     df = fixture(spark, sf, "v_events_train")
     fs = pf.feature_summary(df, ["event_id", "user_id", "event_type"], ["event_id"])
     rows = [(c, "numeric", False, False) for c in fs.numeric_columns]
@@ -214,9 +214,9 @@ def _report_sql(body: str, *views: str) -> str:
         """
 select 'regression' as task_type, 'o_totalprice' as target, 'o_totalprice' as target_candidates,
        'o_orderkey' as id_candidates, 'time_split' as validation, 'neg_rmse' as metric_family,
-       (select max(l) >= 20 from (select avg(length(o_orderstatus)) as l from (select o_orderstatus from v_orders_train order by o_orderkey limit 100)
-                                   union all select avg(length(o_orderpriority)) from (select o_orderpriority from v_orders_train order by o_orderkey limit 100)
-                                   union all select avg(length(cast(o_orderdate as varchar))) from (select o_orderdate from v_orders_train order by o_orderkey limit 100))) as text_heavy,
+       (select max(l) >= 20 from (select avg(length(o_orderstatus)) as l from (select o_orderstatus from v_orders_train)
+                                   union all select avg(length(o_orderpriority)) from (select o_orderpriority from v_orders_train)
+                                   union all select avg(length(cast(o_orderdate as varchar))) from (select o_orderdate from v_orders_train))) as text_heavy,
        true as datetime_heavy, 'o_custkey' as numeric_columns,
        'o_orderstatus,o_orderpriority,o_orderdate' as categorical_columns, '' as text_columns,
        'o_orderdate' as datetime_columns, 4 as column_count
@@ -236,7 +236,7 @@ def infer_task_orders(spark: SparkSession, sf: str) -> DataFrame:
     "infer_task_docs",
     with_views(
         """
-with h as (select text, lang, source from v_docs_train order by doc_id limit 100)
+with h as (select text, lang, source from v_docs_train)
 select case when (select count(quality) from v_docs_train) < (select count(*) from v_docs_train) then 'regression'
             when (select count(distinct quality) from v_docs_train) <= 2 then 'binary_classification'
             when (select count(distinct quality) from v_docs_train) <= 20 then 'multiclass_classification'
@@ -264,7 +264,7 @@ def infer_task_docs(spark: SparkSession, sf: str) -> DataFrame:
     "infer_task_events",
     with_views(
         """
-with h as (select ts_text, props from v_events_train order by event_id limit 100)
+with h as (select ts_text, props from v_events_train)
 select case when (select count(distinct event_type) from v_events_train) <= 2 then 'binary_classification'
             else 'multiclass_classification' end as task_type,
        'event_type' as target, 'props' as target_candidates, 'event_id,user_id' as id_candidates,

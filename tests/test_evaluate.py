@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.plans import evaluate as ev
 from tabsmith.plans import models as md
+from tabsmith.plans import preprocess as pp
 
 
 def _fx_a5(spark):
@@ -58,17 +59,72 @@ def test_unknown_candidate_rejected_before_jobs(spark):
 
 
 def test_presets_parameters():
-    cols = md.Columns(["a"], ["b"])
-    p = md.build_pipeline("lightgbm_classifier", "binary_classification", cols, large=False, n_train=100)
-    gbt = p.getStages()[-1]
-    assert gbt.getMaxIter() == 120 and gbt.getStepSize() == 0.07 and gbt.getMaxDepth() == 5
-    p = md.build_pipeline("xgboost_regressor", "regression", cols, large=True, n_train=100)
-    gbt = p.getStages()[-1]
+    gbt = md.estimator("lightgbm_classifier", "binary_classification", n_train=100)
+    assert gbt.getMaxIter() == 120 and gbt.getStepSize() == 0.07 and gbt.getMaxDepth() == 5 and gbt.getSubsamplingRate() == 1.0
+    gbt = md.estimator("xgboost_regressor", "regression", n_train=10**9, trees=80)
     assert gbt.getMaxIter() == 80 and gbt.getMaxDepth() == 4 and gbt.getSubsamplingRate() == 0.8
-    lr = md.build_pipeline("logistic_regression", "binary_classification", cols, large=False, n_train=100).getStages()[-1]
+    lr = md.estimator("logistic_regression", "binary_classification", n_train=100)
     assert lr.getMaxIter() == 250 and abs(lr.getRegParam() - 0.01) < 1e-12
+    assert md.estimator("tfidf_linear", "binary_classification", n_train=10).getFeaturesCol() == "features"
     with pytest.raises(ValueError, match="text column"):
-        md.build_pipeline("tfidf_linear", "binary_classification", cols, large=False, n_train=10)
+        md.fit_text(None, None)
+
+
+def test_every_row_is_scored_and_the_fit_bound_is_explicit(spark):
+    rows = [(i, float(i % 7), "ab"[i % 2], i % 2) for i in range(90)] + [(90, None, None, 0)]
+    train = spark.createDataFrame(rows, "id int, x double, c string, target int")
+    res = ev.evaluate_candidates(train, None, None, target="target", key="id", candidates=["logreg", "logistic"], n_splits=3, fit_rows=20,
+                                 validation_scheme="stratified_kfold")
+    assert [r["name"] for r in res.leaderboard.collect()] == ["logistic_regression"]  # aliases of one model run once
+    assert res.eval_rows == 91 and sorted(r["id"] for r in res.oof.collect()) == list(range(91)) and res.fit_notes
+    with pytest.raises(ValueError, match="classifiers"):
+        ev.evaluate_candidates(train, None, None, target="x", key="id", candidates=["linear"], fit_rows=20, validation_scheme="kfold")
+
+
+def test_metric_scheme_and_artifacts(spark):
+    rows = [(i, float(i), float(2 * i) * 1e5) for i in range(30)]
+    train = spark.createDataFrame(rows, "id int, x double, target double")
+    test = spark.createDataFrame([(100, 5.0)], "id int, x double")
+    res = ev.evaluate_candidates(train, test, None, target="target", key="id", candidates=["linear"], validation_scheme="grouped_kfold_recommended")
+    assert res.validation_scheme == "kfold"  # the scheme that ran
+    assert len(res.best["fold_scores"]) == 3 and all(isinstance(x, float) for x in res.best["fold_scores"])
+    stored = ev.load_artifact(spark, res.best["artifact_ref"])
+    assert stored["oof"].count() == 30 and "label" in stored["oof"].columns
+    assert abs(stored["test"].first()["prediction"] - 1e6) < 1e-3
+    with pytest.raises(ValueError, match="Unknown artifact_ref"):
+        ev.load_artifact(spark, res.artifact_path + "#nope")
+    for bad in ({"validation_scheme": "nope"}, {"metric_family": "auc"}, {"validation_scheme": "group_kfold"}):
+        with pytest.raises(ValueError):
+            ev.evaluate_candidates(train, test, None, target="target", key="id", candidates=["linear"], **bad)
+    # the metric asked for is the one computed: class indexes 0/1 give -sqrt(error rate)
+    cls = spark.createDataFrame([(i, float(i % 5), i % 2) for i in range(60)], "id int, x double, target int")
+    args = dict(target="target", key="id", candidates=["logreg"], validation_scheme="stratified_kfold")
+    acc, rmse = (ev.evaluate_candidates(cls, None, None, metric_family=m, **args).leaderboard.first() for m in ("accuracy", "neg_rmse"))
+    assert all(abs(b + (1 - a) ** 0.5) < 1e-12 for a, b in zip(acc["fold_scores"], rmse["fold_scores"]))
+
+
+def test_fold_scores_are_numbers_and_nan_does_not_win(spark):
+    scores = spark.createDataFrame([("a", 0, -54321.123456), ("a", 1, -1234567.5)], "candidate string, fold int, score double")
+    pos = spark.createDataFrame([(0, "a")], "position int, candidate string")
+    assert ev.leaderboard_from_folds(scores, pos).first()["fold_scores"] == [-54321.123456, -1234567.5]
+    board = spark.createDataFrame([(0, "x", float("nan")), (1, "y", 0.9), (2, "z", None)], "position int, name string, score double")
+    assert ev.best_candidate(board).first()["name"] == "y"
+    assert ev.best_candidate(board.where("name <> 'y'")).count() == 0
+
+
+def test_preprocessing_follows_the_training_side(spark):
+    train = spark.createDataFrame([(1.0, "b"), (None, "a"), (3.0, "b"), (8.0, None)], "x double, c string")
+    new = spark.createDataFrame([(None, None), (3.0, "new"), (5.0, "a")], "x double, c string")
+    prep = pp.Preprocessor.fit(train, pp.Columns(["x"], ["c"]))
+    assert prep.medians == {"x": 3.0} and prep.modes == {"c": "b"}
+    rows = prep.transform(new).select(pp.LINEAR, pp.TREE).collect()
+    mean, std = 15 / 4, (sum((v - 15 / 4) ** 2 for v in (1, 3, 3, 8)) / 4) ** 0.5
+    want = [([(3 - mean) / std, 0, 1], [3, 1]), ([(3 - mean) / std, 0, 0], [3, -1]), ([(5 - mean) / std, 1, 0], [5, 0])]
+    got = sorted(([float(x) for x in r[0]], [float(x) for x in r[1]]) for r in rows)
+    assert all(abs(a - b) < 1e-12 for g, w in zip(got, sorted(want)) for a, b in zip(g[0] + g[1], w[0] + w[1]))
+    wide = pp.Preprocessor.fit(train, pp.Columns(["x"], ["c"]), one_hot_max=1).transform(new).first()
+    assert len(wide[pp.LINEAR]) == 2  # beyond the bound a category enters by its code
+    assert pp.split_columns(spark.createDataFrame([("t", 1)], "t string, n int").schema.fields, [], ["t"]).categorical == []
 
 
 def test_fold_metrics_and_best(spark):
