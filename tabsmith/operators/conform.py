@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import assert_quality, q, qa_report
 from .ranking import ordinal
-from .schema import ordered_except, rename_plan
+from .schema import id_candidates, id_column_for_check, ordered_except, prediction_columns, rename_plan
 
 # Table names never picked as a prediction table, and the
 # preferred names searched first.
@@ -40,11 +40,20 @@ class ConformResult:
     changed: bool = False
 
 
+def _check_key(left: DataFrame, right: DataFrame, key: str) -> None:
+    """A join on ``key`` keeps the left rows as they are: the right side has each key once and every left key."""
+    if not right.groupBy(q(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"cannot join on {key!r}: it is not unique")
+    if not left.select(q(key)).join(right.select(q(key)), key, "left_anti").isEmpty():
+        raise ValueError(f"cannot join on {key!r}: some rows have no match")
+
+
 def attach_by_key(left: DataFrame, source: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """J1 (key form): take ``cols`` from ``source`` by an equi-join on ``key``."""
+    """J1 (key form): take ``cols`` from ``source`` by an equi-join on ``key``; raises where rows would multiply or go unmatched."""
     if not cols:
         return left
     right = source.select(q(key), *[q(c) for c in cols])
+    _check_key(left, right, key)
     # Both sides are id-keyed tables of similar size: a shuffle join; AQE splits
     # a skewed key partition and broadcasts the right side when it is small.
     return left.join(right, on=key, how="left")
@@ -67,11 +76,11 @@ def attach_by_ordinal(
     return lo.join(so.select("_pos", *keep), "_pos", "left").drop("_pos")
 
 
-def _shared_key(sub_cols: Sequence[str], src_cols: Sequence[str], template_cols: Sequence[str]) -> str | None:
-    for c in template_cols:
-        if c in sub_cols and c in src_cols:
-            return c
-    return None
+def _shared_key(sub_cols: Sequence[str], src_cols: Sequence[str], template_cols: Sequence[str], test_cols: Sequence[str] | None) -> str | None:
+    """An id column that both sides have: the one the quality gate checks, or an id candidate; never a prediction."""
+    preds = set(prediction_columns(template_cols, test_cols))
+    ids = [c for c in [id_column_for_check(template_cols, test_cols), *id_candidates(template_cols, test_cols, template_cols)] if c not in preds]
+    return next((c for c in ids if c in sub_cols and c in src_cols), None)
 
 
 def conform(
@@ -105,7 +114,7 @@ def conform(
         if not cols:
             continue
         src = test if src_name == "test" else template
-        key = _shared_key(sub.columns, src.columns, tmpl_cols)
+        key = _shared_key(sub.columns, src.columns, tmpl_cols, test_cols)
         if key is not None:
             sub = attach_by_key(sub, src, key, cols)
         elif order_by and "submission" in order_by and src_name in order_by:
@@ -167,6 +176,7 @@ def fill_template(template: DataFrame, predictions: DataFrame, key: str, value_c
         return template
     last = cols[-1]
     preds = predictions.select(q(key), q(value_col).alias("_pred"))
+    _check_key(template, preds, key)
     joined = template.join(preds, key, "left")
     return joined.select(*[q(c) if c != last else F.col("_pred").alias(last) for c in cols])
 
@@ -207,21 +217,36 @@ def finalize(
     tables: Mapping[str, DataFrame],
     template: DataFrame | None,
     test: DataFrame | None = None,
+    *,
+    predictions: DataFrame | None = None,
+    fallback: DataFrame | None = None,
     **kw,
 ) -> tuple[DataFrame | None, DataFrame]:
-    """Q6: pick a table (P10), repair it (Q1) and summarise it (exists, rows, columns)."""
-    spark = next(iter(tables.values())).sparkSession
-    expected = None
-    if template is not None:
-        expected = (test if test is not None else template).count()
-    chosen = choose_candidate(tables, expected).collect()
-    if not chosen:
-        summary = spark.createDataFrame([(False, None, None, None)], "exists boolean, name string, rows long, columns string")
-        return None, summary
-    name = chosen[0]["name"]
-    frame = tables[name]
-    if template is not None:
+    """Q6: the first of three sources that gives a table, and its summary (exists, name, rows, columns).
+
+    1. a prediction table of the expected size (P10), repaired (Q1); 2. the template filled from
+    ``predictions``, a table (id, value) (J3); 3. ``fallback``, a candidate file, repaired likewise.
+    """
+    spark = next(df for df in (*tables.values(), template, predictions, fallback) if df is not None).sparkSession
+    expected = None if template is None else (test if test is not None else template).count()
+    name, frame = None, None
+    named = {n: df for n, df in tables.items() if n not in RESERVED_TABLE_NAMES}
+    chosen = choose_candidate(named, expected).collect() if named else []
+    if chosen:
+        name, frame = chosen[0]["name"], tables[chosen[0]["name"]]
+    elif predictions is not None and template is not None and len(template.columns) > 1:
+        key, value = predictions.columns
+        return _summarised(spark, "predictions", fill_template(template, predictions, key, value))
+    elif fallback is not None:
+        name, frame = "fallback", fallback
+    if frame is not None and template is not None:
         frame = repair(frame, template, test, **kw)
+    return _summarised(spark, name, frame)
+
+
+def _summarised(spark: SparkSession, name: str | None, frame: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    if frame is None:
+        return None, spark.createDataFrame([(False, None, None, None)], "exists boolean, name string, rows long, columns string")
     summary = frame.agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(True).alias("exists"), F.lit(name).alias("name"), "rows", F.lit(",".join(frame.columns)).alias("columns")
     )

@@ -65,8 +65,6 @@ def qa_report(
     for i, c in enumerate(sub_cols):
         null_idx[c] = f"nulls_{i}"
         aggs.append(F.sum(_missing(submission, c).cast("long")).alias(null_idx[c]))
-    if id_col in sub_cols:
-        aggs.append(F.count_distinct(q(id_col)).alias("id_distinct"))
     fam_info: dict[str, tuple[str, str | None]] = {}
     for j, p in enumerate(preds):
         if p not in sub_cols:
@@ -86,7 +84,11 @@ def qa_report(
         v = F.when(~_missing(submission, p), q(p))
         aggs.append(F.min(v).alias(f"min_{j}"))
         aggs.append(F.max(v).alias(f"max_{j}"))
+    # Everything but the ids is one map-side combined aggregation; only the ids themselves are shuffled for their count.
     stats = submission.agg(*aggs)
+    if id_col in sub_cols:
+        ids = submission.select(q(id_col).alias("id")).where("id is not null").distinct().agg(F.count(F.lit(1)).alias("id_distinct"))
+        stats = stats.withColumn("one", F.lit(1)).join(ids.withColumn("one", F.lit(1)), "one")  # two one-row tables
 
     n = F.col("n")
     rows: list[Column] = []
@@ -139,7 +141,7 @@ def qa_report(
         n_const = sum([f.cast("int") for f in constant_flags], F.lit(0)) if constant_flags else F.lit(0)
         applies = (n >= F.lit(constant_min_rows)) & F.lit(len(constant_flags) == len(preds))
         all_const = n_const == F.lit(len(preds))
-        row(6, "not_constant", None, ~(applies & all_const), txt("constant_columns=", n_const))
+        row(6, "not_constant", None, ~(applies & all_const), txt("constant_columns=", n_const, f" min_rows={constant_min_rows}"))
     return stats.select(F.inline(F.array(*rows)))
 
 

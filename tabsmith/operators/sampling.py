@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_rank, null_safe_join
+from .quality import q
+from .ranking import hash_key, hash_rank
 
 # Size rules of the reference.
 LARGE_TABULAR_ROWS = 200_000
@@ -54,6 +55,25 @@ def class_quota(df: DataFrame, target: str, n_max: int = EVAL_SUBSAMPLE_ROWS) ->
     return counts.select(target, "class_rows", F.least(quota, F.col("class_rows")).alias("quota"))
 
 
+# The rows a hash threshold lets through beyond the wanted number: six deviations, so a second try is next to never.
+MARGIN = 6.0
+_SPACE = 16**8
+
+
+def _near(share: Column, rows: Column) -> Column:
+    """The bound on the first 32 bits of the hash below which at least ``share`` of ``rows`` rows are expected to lie."""
+    return F.least(F.lit(1.0), share + F.lit(MARGIN) * F.sqrt(share / rows) + F.lit(MARGIN**2) / rows) * F.lit(float(_SPACE))
+
+
+def _head(key_cols: Sequence[str], seed: int) -> Column:
+    return F.conv(F.substring(hash_key(key_cols, seed), 1, 8), 16, 10).cast("double")
+
+
+def _class_key(target: str) -> Column:
+    """A class as text that keeps NULL apart."""
+    return F.coalesce(F.concat(F.lit("="), q(target).cast("string")), F.lit("null"))
+
+
 def stratified_subsample(
     df: DataFrame,
     target: str,
@@ -61,18 +81,33 @@ def stratified_subsample(
     n_max: int = EVAL_SUBSAMPLE_ROWS,
     seed: int = 42,
 ) -> DataFrame:
-    """Per class the quota rows with the smallest hash, then the N smallest overall."""
-    quotas = class_quota(df, target, n_max).select(target, "quota")
-    ranked = hash_rank(df, key_cols, seed=seed, within=[target], rank_col="_crk")
-    kept = null_safe_join(ranked, quotas, [target]).where(F.col("_crk") <= F.col("quota")).drop("_crk", "quota")
-    capped = hash_rank(kept, key_cols, seed=seed, rank_col="_grk")
-    return capped.where(F.col("_grk") <= F.lit(n_max)).drop("_grk")
+    """Per class the quota rows with the smallest hash, then the N smallest overall.
+
+    The class counts give each class a hash threshold; rows above it are filtered out before any shuffle, and only the
+    survivors (the sample and a small margin) are ranked.
+    """
+    quotas = class_quota(df, target, n_max)
+    bounds = quotas.select(_class_key(target).alias("_cls"), _near(F.col("quota") / F.col("class_rows"), F.col("class_rows")).alias("_bound"), "quota")
+    marked = df.withColumn("_cls", _class_key(target)).withColumn("_head", _head(key_cols, seed))
+    near = marked.join(bounds, "_cls").where(F.col("_head") < F.col("_bound"))  # one row per class: AQE broadcasts it when small
+    short = near.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).join(bounds, "_cls", "right").where(F.coalesce("n", F.lit(0)) < F.col("quota"))
+    if not short.isEmpty():
+        near = marked.join(bounds, "_cls")
+    near = near.drop("_bound", "_head")
+    ranked = hash_rank(near, key_cols, seed=seed, within=["_cls"], rank_col="_crk")
+    kept = ranked.where(F.col("_crk") <= F.col("quota")).drop("_crk", "quota", "_cls")
+    return hash_rank(kept, key_cols, seed=seed, rank_col="_grk").where(F.col("_grk") <= F.lit(n_max)).drop("_grk")
 
 
 def random_subsample(df: DataFrame, key_cols: Sequence[str], n_max: int = EVAL_SUBSAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """Exactly min(n, N) rows, the N smallest hashes (``df.sample`` is not exact)."""
-    ranked = hash_rank(df, key_cols, seed=seed, rank_col="_grk")
-    return ranked.where(F.col("_grk") <= F.lit(n_max)).drop("_grk")
+    """Exactly min(n, N) rows, the N smallest hashes (``df.sample`` is not exact); only rows near the threshold are ranked."""
+    n = df.count()
+    if n <= n_max:
+        return df
+    near = df.where(_head(key_cols, seed) < _near(F.lit(n_max / n), F.lit(float(n))))
+    if near.count() < n_max:
+        near = df
+    return hash_rank(near, key_cols, seed=seed, rank_col="_grk").where(F.col("_grk") <= F.lit(n_max)).drop("_grk")
 
 
 def subsample_for_eval(

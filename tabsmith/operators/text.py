@@ -37,32 +37,37 @@ def tokens(text: str | Column) -> Column:
 
 
 def terms(token_col: str | Column) -> Column:
-    """Unigrams followed by bigrams of an (already materialised) token array column.
+    """Unigrams followed by bigrams of a token array.
 
-    The argument must be a column reference, not the regex expression itself:
-    Spark does not share subexpressions inside lambdas, so ``t[i]`` on an
-    expression would re-tokenise the text once per token.
+    The neighbours are paired by ``zip_with`` over two slices: an index into the array inside a lambda
+    would evaluate the array's own expression once per token.
     """
     t = F.col(token_col) if isinstance(token_col, str) else token_col
-    bigrams = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(t[i], F.lit(" "), x))
-    return F.concat(t, bigrams)
+    pairs = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.concat(t, F.zip_with(F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _term_rows(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    return df.select(q(key), tokens(q(text_col)).alias("_toks")).select(q(key), terms("_toks").alias("_terms"))
 
 
 def doc_terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, term, tf) -- raw count of each term in each document (whole texts)."""
-    # Hash-partition the documents by key once: the (key, term) counts then need no
-    # shuffle of their own (a partitioning on a subset of the grouping keys satisfies
-    # the aggregation), so the exploded rows -- many times the text volume -- stay local.
-    toks = df.repartition(q(key)).select(q(key), tokens(q(text_col)).alias("_toks"))
-    exploded = toks.select(q(key), F.explode(terms("_toks")).alias("term"))
+    """(key, term, tf) -- raw count of each term in each document (whole texts), combined before the shuffle."""
+    exploded = _term_rows(df, key, text_col).select(q(key), F.explode("_terms").alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_vocabulary(df: DataFrame, key: str, text_col: str, max_features: int = MAX_FEATURES) -> DataFrame:
-    """A17 + L8: (term, corpus_tf, doc_freq, idf, term_index) for the top ``max_features`` terms."""
+    """A17 + L8: (term, corpus_tf, doc_freq, idf, term_index) for the top ``max_features`` terms.
+
+    Each row gives its terms once for every use and once for the document: one shuffle by term, combined
+    map-side, and no text is moved.
+    """
     n_docs = df.count()
-    dt = doc_terms(df, key, text_col)
-    stats = dt.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.count(F.lit(1)).alias("doc_freq"))
+    uses = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    rows = _term_rows(df, key, text_col).select(F.inline(F.concat(uses, once)))
+    stats = rows.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("doc_freq"))
     top = stats.orderBy(F.desc("corpus_tf"), F.asc("term")).limit(max_features)
     idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("doc_freq"))) + F.lit(1.0)
     # the vocabulary is at most max_features rows: the window and later broadcasts are bounded.
@@ -76,9 +81,13 @@ def tfidf_vocabulary(df: DataFrame, key: str, text_col: str, max_features: int =
 
 
 def tfidf_weights(df: DataFrame, key: str, text_col: str, vocab: DataFrame) -> DataFrame:
-    """E7 transform: (key, term, term_index, weight) with L2-normalised tf * idf per document."""
-    dt = doc_terms(df, key, text_col)
-    w = dt.join(F.broadcast(vocab.select("term", "idf", "term_index")), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    """E7 transform: (key, term, term_index, weight) with L2-normalised tf * idf per document.
+
+    Terms outside the vocabulary go before the shuffle (it is broadcast, ``max_features`` rows).
+    """
+    rows = _term_rows(df, key, text_col).select(q(key), F.explode("_terms").alias("term"))
+    known = rows.join(F.broadcast(vocab.select("term", "idf", "term_index")), "term")
+    w = known.groupBy(key, "term", "idf", "term_index").agg(F.count(F.lit(1)).alias("tf")).withColumn("w", F.col("tf") * F.col("idf"))
     norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return w.join(norms, key).select(q(key), "term", "term_index", (F.col("w") / F.col("_norm")).alias("weight"))
 

@@ -42,7 +42,7 @@ union all select 3, 'unique_id', 'line_id', n - dk - (case when nk > 0 then 1 el
 union all select 4, 'prediction_present', 'l_price', true, 'present'
 union all select 5, 'type_family', 'l_price', np = 0, 'family=float bad=' || cast(np as varchar) from st
 union all select 6, 'not_constant', null, not (n >= 20 and (np = n or (np = 0 and mn = mx))),
-       'constant_columns=' || cast(case when np = n or (np = 0 and mn = mx) then 1 else 0 end as varchar) from st""",
+       'constant_columns=' || cast(case when np = n or (np = 0 and mn = mx) then 1 else 0 end as varchar) || ' min_rows=20' from st""",
 )
 def qa_report_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     """Q3 over every lineitem row: id = the composite line key, prediction = a price column."""

@@ -55,7 +55,7 @@ union all select 4, 'prediction_present', 'o_totalprice', true, 'present'
 union all select 5, 'type_family', 'o_totalprice', np = 0, 'family=float bad=' || cast(np as varchar) from st
 union all select 6, 'not_constant', null,
        not (n >= 20 and (np = n or (np = 0 and mn = mx))),
-       'constant_columns=' || cast(case when np = n or (np = 0 and mn = mx) then 1 else 0 end as varchar) from st
+       'constant_columns=' || cast(case when np = n or (np = 0 and mn = mx) then 1 else 0 end as varchar) || ' min_rows=20' from st
 """,
     "v_orders_submission",
     "v_orders_all_test",
@@ -92,7 +92,7 @@ union all select 4, 'prediction_present', 'o_totalprice', true, 'present'
 union all select 5, 'type_family', 'o_totalprice', np = 0, 'family=float bad=' || cast(np as varchar) from st
 union all select 6, 'not_constant', null,
        not (n >= 20 and (np = n or (np = 0 and mn = mx))),
-       'constant_columns=' || cast(case when np = n or (np = 0 and mn = mx) then 1 else 0 end as varchar) from st
+       'constant_columns=' || cast(case when np = n or (np = 0 and mn = mx) then 1 else 0 end as varchar) || ' min_rows=20' from st
 """,
     "v_orders_bad",
     "v_orders_all_test",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.tables import table
+from ..sources.tables import fixture, table
 from ..streaming import context as cx
+from .q_quality import _QA_BAD_SQL
 from .registry import register
 
 _FIRST_SQL = """
@@ -52,36 +53,39 @@ def first_per_context_stream(spark: SparkSession, sf: str) -> DataFrame:
     """
     path = cx.run_to_parquet(cx.stream_first_success(_event_stream(spark, sf)), scratch_path(spark, "t1-out"),
                              scratch_path(spark, "t1-ckpt"), mode="update")
-    log = spark.read.parquet(path)
+    log = spark.read.schema("user_id long, ts timestamp, event_id long").parquet(path)
     best = log.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("b"))
     return best.select("user_id", F.col("b.event_id").alias("event_id"))
 
 
+def _shuffled_files(spark: SparkSession, df: DataFrame, key: str, name: str, files: int = 6) -> str:
+    """The table as several files in an order unlike that of its rows, with one row in 16 delivered in two of them."""
+    order = F.md5(F.col(key).cast("string"))
+    again = df.where(F.substring(order, 1, 1) == "0")
+    path = scratch_path(spark, name)
+    for k in range(files):
+        share = F.pmod(F.crc32(order.cast("binary")), F.lit(files))
+        part = df.where(share == k).union(again.where(share == (k + 1) % files))
+        part.orderBy(F.desc("ts") if "ts" in df.columns else F.desc(key)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @register("terminal_guard_stream", _GUARD_SQL)
 def terminal_guard_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """T2 as a stateful stream (applyInPandasWithState per user) into a Parquet file sink."""
-    path = cx.run_to_parquet(cx.stream_terminal_guard(_event_stream(spark, sf)), scratch_path(spark, "t2-out"),
-                             scratch_path(spark, "t2-ckpt"), mode="append")
-    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "rejected")
+    """T2 as streams (first-terminal state and event log) over several files out of order with redelivered events."""
+    events = table(spark, sf, "events")
+    src = _shuffled_files(spark, events, "event_id", "t2-in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = cx.stream_terminal_guard(stream, scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ckpt"))
+    return out.select("event_id", "user_id", "event_type", "rejected")
 
 
-@register(
-    "streaming_qa",
-    """
-select 'no_nulls' as "check", 'o_orderkey' as "column", true as passed
-union all select 'no_nulls', 'o_totalprice', true
-union all select 'unique_id', 'o_orderkey', true
-union all select 'type_family', 'o_totalprice', true""",
-)
+@register("streaming_qa", _QA_BAD_SQL)
 def streaming_qa(spark: SparkSession, sf: str) -> DataFrame:
-    """Q3 per micro-batch over an arriving prediction table (foreachBatch -> Parquet report)."""
-    from ..sources.tables import fixture
-
+    """Q3 over a broken prediction table that arrives in many small batches: ids repeat across batches, the report is the batch one's."""
     src = scratch_path(spark, "preds")
-    fixture(spark, sf, "v_orders_submission").withColumnRenamed("prediction", "o_totalprice").write.parquet(src)
-    stream = spark.readStream.schema("o_orderkey long, o_totalprice double").option("maxFilesPerTrigger", 4).parquet(src)
-    out = scratch_path(spark, "qa-report")
-    cx.streaming_qa(spark, stream, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test"), out,
-                    scratch_path(spark, "qa-ckpt"))
-    rep = spark.read.parquet(out).where(F.col("check").isin("no_nulls", "unique_id", "type_family"))
-    return rep.groupBy("check", "column").agg(F.min("passed").alias("passed"))
+    bad = fixture(spark, sf, "v_orders_bad")
+    bad.repartition(8, F.md5(F.col("o_orderkey").cast("string")), F.rand(3)).write.parquet(src)
+    stream = spark.readStream.schema(bad.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return cx.streaming_qa(spark, stream, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test"),
+                           scratch_path(spark, "qa-rows"), scratch_path(spark, "qa-ckpt"))

@@ -1,7 +1,7 @@
 """Archive source (S6): base64 gzip tar payloads -> member rows, parallel over archives.
 
-Each archive is decoded inside the task that holds its row (``mapInPandas``,
-Arrow batches); members that could escape an extraction folder (absolute
+Each archive is decoded inside the task that holds its row (``mapInPandas``), member by
+member; members that could escape an extraction folder (absolute
 paths, ``..`` components, links, devices, FIFOs) are skipped, as a
 ``filter="data"`` extraction would refuse them.  Nothing is written to disk.
 """
@@ -32,17 +32,16 @@ def _safe(m: tarfile.TarInfo) -> bool:
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One output batch per archive member, so a task holds one archive and one member at a time."""
     for pdf in batches:
-        rows = []
         for aid, payload in zip(pdf["archive_id"], pdf["payload_b64"]):
-            raw = base64.b64decode(payload)
-            with tarfile.open(fileobj=io.BytesIO(raw), mode="r:gz") as tar:
-                for m in tar.getmembers():
-                    if not _safe(m) or m.isdir():
-                        continue
-                    data = tar.extractfile(m).read()
-                    rows.append((int(aid), m.name, len(data), data))
-        yield pd.DataFrame(rows, columns=["archive_id", "member", "size", "content"])
+            # "r|gz" walks the stream once and keeps no list of contents
+            with tarfile.open(fileobj=io.BytesIO(base64.b64decode(payload)), mode="r|gz") as tar:
+                for m in tar:
+                    if _safe(m) and not m.isdir():
+                        data = tar.extractfile(m).read()
+                        yield pd.DataFrame({"archive_id": [int(aid)], "member": [m.name], "size": [len(data)], "content": [data]})
+                    tar.members = []
 
 
 def archive_members(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:

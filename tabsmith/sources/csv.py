@@ -1,8 +1,8 @@
 """CSV scan and sink (S1, S7) with pandas-like missing-value handling.
 
-Reading: header row, inferred types, quoted multi-line fields.  The extra NA
-spellings pandas recognises are turned into NULL in one projection over the
-string columns, and NaN in floating columns becomes NULL (Spark, unlike pandas,
+Reading: header row, inferred types.  The extra NA spellings pandas recognises are
+turned into NULL in one projection over the string columns, a column whose other
+values are all numbers is a double column, and NaN in floating columns becomes NULL (Spark, unlike pandas,
 tells them apart; H5).  Inference needs a pass over the file: pass ``schema=``
 for large inputs.
 """
@@ -41,23 +41,44 @@ NA_TOKENS = [
 ]
 
 
+# A number as the NA rule sees it: decimal notation with an optional exponent, blanks around it allowed.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     *,
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
+    multi_line: bool = False,
 ) -> DataFrame:
+    """S1.  ``multi_line``: quoted fields may hold line ends; each file is then read by one task, so it is off by default."""
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("nanValue", "NaN")
     )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return normalize_missing(df, na_tokens)
+    df = normalize_missing(reader.csv(path), na_tokens)
+    return df if schema is not None else numbers_among_missing(df)
+
+
+def numbers_among_missing(df: DataFrame) -> DataFrame:
+    """Columns that inference left as text only for their NA spellings become double: all other values are numbers.
+
+    One aggregation over the text columns decides.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    asks = [F.count(q(c)).alias(f"n{i}") for i, c in enumerate(texts)]
+    asks += [F.count_if(~q(c).rlike(NUMBER)).alias(f"other{i}") for i, c in enumerate(texts)]
+    seen = df.agg(*asks).first()
+    numeric = [c for i, c in enumerate(texts) if seen[f"n{i}"] and not seen[f"other{i}"]]
+    return df.withColumns({c: F.trim(q(c)).cast("double") for c in numeric}) if numeric else df
 
 
 def normalize_missing(df: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:

@@ -133,8 +133,9 @@ def written_summary(spark: SparkSession, path: str, preview_chars: int = 400) ->
     m = meta.first()
     if not m["files"]:
         return spark.createDataFrame([(False, 0, 0, None)], "exists boolean, files long, size_bytes long, preview string")
-    text = spark.read.text(m["first"], wholetext=True).select(F.substring("value", 1, preview_chars).alias("preview"))
-    return text.select(
-        F.lit(True).alias("exists"), F.lit(m["files"]).cast("long").alias("files"),
-        F.lit(m["size_bytes"]).cast("long").alias("size_bytes"), "preview"
+    # A preview needs no more lines than characters: the scan stops there, whatever the file's size.
+    lines = spark.read.text(m["first"]).select(F.substring("value", 1, preview_chars).alias("line")).limit(preview_chars).collect()
+    preview = "".join(r["line"] + "\n" for r in lines)[:preview_chars]
+    return spark.createDataFrame(
+        [(True, m["files"], m["size_bytes"], preview)], "exists boolean, files long, size_bytes long, preview string"
     )

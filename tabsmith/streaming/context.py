@@ -6,20 +6,15 @@ T2  a message that arrives after its task reached a terminal state is rejected.
 
 Batch twins use aggregations (map-side partial ``min`` per key) and a join with
 one row per key, never a window per key, so a hot key does not pin one task.
-The streaming versions keep the same per-key state in the state store.
+The streaming versions keep the same minimum per key in the state store and as a changelog.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.quality import qa_report
-from ..session import ship_package
 
 # Fixed value: event types that end a task (the "terminal states").
 TERMINAL_EVENT_TYPES = ["error"]
@@ -57,32 +52,37 @@ def stream_first_success(stream: DataFrame, context: str = "user_id", watermark:
     return first_success(s, context)
 
 
-def _guard_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    term_ts, term_id = (state.get if state.exists else (None, None))
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        rejected = []
-        for ts, eid, et in zip(pdf["ts"], pdf["event_id"], pdf["event_type"]):
-            pos = (pd.Timestamp(ts).value, int(eid))
-            rejected.append(term_ts is not None and pos > (term_ts, term_id))
-            if et in TERMINAL_EVENT_TYPES and (term_ts is None or pos < (term_ts, term_id)):
-                term_ts, term_id = pos
-        yield pdf.assign(rejected=rejected)[["event_id", "user_id", "ts", "event_type", "rejected"]]
-    if term_ts is not None:
-        state.update((term_ts, term_id))
-
-
-def stream_terminal_guard(stream: DataFrame) -> DataFrame:
-    """T2 as a stateful stream: per task, the first terminal (ts, id) seen so far is the state."""
-    ship_package(stream.sparkSession)
-    s = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return s.groupBy("user_id").applyInPandasWithState(
-        _guard_state,
-        outputStructType="event_id long, user_id long, ts timestamp, event_type string, rejected boolean",
-        stateStructType="term_ts long, term_id long",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+def stream_first_terminal(stream: DataFrame, task: str = "user_id", order=("ts", "event_id")) -> DataFrame:
+    """The first terminal event of each task as a streaming aggregation (update mode): the state is one row per task.
+
+    A later batch may bring an earlier terminal event; its row then replaces the old one in the changelog.
+    """
+    term = stream.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("event_type").isin(TERMINAL_EVENT_TYPES))
+    first = F.min(F.struct(*[F.col(c) for c in order])).alias("first")
+    return term.groupBy(task).agg(first).select(task, *[F.col(f"first.{c}").alias(c) for c in order])
+
+
+def stream_terminal_guard(stream: DataFrame, out_path: str, checkpoint: str, task: str = "user_id", order=("ts", "event_id")) -> DataFrame:
+    """T2 over all input there is: the events log with ``rejected``, right for any batching, order and redelivery.
+
+    Two streaming queries run: one keeps the first terminal event per task and appends its changes to a changelog, the other
+    appends the events to a log.  The answer joins both: the least entry of a task's changelog against its events.  So an
+    event already stored is judged anew when an earlier terminal event arrives late.  Redelivered events are one row.
+    """
+    cols = ["event_id", "user_id", "ts", "event_type"]
+    events = stream.select(*cols).withColumn("ts", F.col("ts").cast("timestamp"))
+    log = run_to_parquet(events, f"{out_path}/events", f"{checkpoint}/events")
+    changes = run_to_parquet(stream_first_terminal(events, task, order), f"{out_path}/terminal", f"{checkpoint}/terminal", mode="update")
+    return read_terminal_guard(stream.sparkSession, log, changes, task, order)
+
+
+def read_terminal_guard(spark: SparkSession, log: str, changes: str, task: str = "user_id", order=("ts", "event_id")) -> DataFrame:
+    events = spark.read.parquet(log).dropDuplicates(["event_id"])
+    schema = events.select(task, *order).schema
+    first = spark.read.schema(schema).parquet(changes).groupBy(task).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_ft"))
+    pos = F.struct(*[F.col(c) for c in order])
+    both = events.join(first, task, "left")  # one row per task: a hot task's events are split by AQE
+    return both.select(*events.columns, (F.col("_ft").isNotNull() & (pos > F.col("_ft"))).alias("rejected"))
 
 
 def run_to_parquet(query_df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:
@@ -90,14 +90,14 @@ def run_to_parquet(query_df: DataFrame, path: str, checkpoint: str, mode: str =
 
     Append-mode output goes through the file sink (exactly-once via its commit
     log).  Update-mode output (an aggregation's changed rows) is appended per
-    micro-batch as a changelog; readers keep the latest/minimum row per key.
+    micro-batch as a changelog in a folder of its own; readers keep the minimum row per key.
     Nothing is held on the driver.
     """
     w = query_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", path).outputMode("append").start()
-    else:
-        q = w.outputMode(mode).foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(path)).start()
+    else:  # a batch that is run again writes over its own folder
+        q = w.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
     q.awaitTermination()
     return path
 
@@ -124,15 +124,17 @@ def streaming_qa(
     test: DataFrame | None,
     out_path: str,
     checkpoint: str,
-) -> None:
-    """Streaming QA: every micro-batch of arriving prediction rows gets the one-pass
-    quality report (Q3), appended to a Parquet table with its batch id."""
+) -> DataFrame:
+    """Streaming QA of an arriving prediction table: the report (Q3) of all rows that have arrived.
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # a micro-batch is a slice of the submission: the row-count rule applies to the
-        # whole table, so each batch is checked against its own size
-        rep = qa_report(batch, template, test, expected_rows=batch.count())
-        rep.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+    Every micro-batch is stored under its own id (written over if the batch is run again), so the stored rows
+    are the table so far; whole-table rules (row count, unique ids, constant predictions) hold over all of
+    it, whatever the batches were.
+    """
 
-    q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return qa_report(spark.read.schema(stream.schema).parquet(f"{out_path}/batch=*"), template, test)

@@ -25,6 +25,34 @@ def test_csv_na_tokens_and_roundtrip(spark):
     assert back.count() == 3
 
 
+def test_csv_numbers_with_na_spellings_and_splits(spark):
+    d = tempfile.mkdtemp(prefix="tabsmith-test-")
+    with open(f"{d}/n.csv", "w") as fh:
+        fh.write("id,x,y,z,w\n1,1.5,NA,NA,2024-01-01\n2,N/A,7,b,NA\n3,-2e3,n/a,1,2024-01-02\n")
+    df = cs.read_csv(spark, f"{d}/n.csv")
+    assert dict(df.dtypes)["x"] == dict(df.dtypes)["y"] == "double" and dict(df.dtypes)["z"] == "string" and dict(df.dtypes)["w"] != "double"
+    assert [(r["x"], r["y"]) for r in df.orderBy("id").collect()] == [(1.5, None), (None, 7.0), (-2000.0, None)]
+    with open(f"{d}/m.csv", "w") as fh:
+        fh.write('id,s\n1,"a\nb"\n')
+    assert cs.read_csv(spark, f"{d}/m.csv", multi_line=True).first()["s"] == "a\nb"
+    with open(f"{d}/long.csv", "w") as fh:
+        fh.write("id,s\n" + "".join(f"{i},{'x' * 50}\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        assert cs.read_csv(spark, f"{d}/long.csv", schema="id long, s string").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_written_summary_reads_a_prefix(spark):
+    d = tempfile.mkdtemp(prefix="tabsmith-test-")
+    spark.range(5000).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{d}/out")
+    got = fl.written_summary(spark, f"{d}/out").first()
+    text = "id\n" + "".join(f"{i}\n" for i in range(5000))
+    assert got["exists"] and got["files"] == 1 and got["size_bytes"] == len(text) and got["preview"] == text[:400]
+
+
 def test_bundle_discovery_and_catalog(spark):
     root = tempfile.mkdtemp(prefix="tabsmith-test-")
     df = spark.createDataFrame([(1, 0)], "id int, target int")
