@@ -116,11 +116,6 @@ def threshold_label(probability: str | Column, threshold: float = 0.5) -> Column
     return (_c(probability) >= F.lit(threshold)).cast("int")
 
 
-def id_suffix(name_col: str | Column) -> Column:
-    """a column name that ends in ``id`` (case-insensitive)."""
-    return F.lower(_c(name_col)).endswith("id")
-
-
 def strip_warnings(col: str | Column) -> Column:
     """drop warning blocks, then strip surrounding whitespace."""
     return F.btrim(F.regexp_replace(_c(col), WARNING_BLOCK_PATTERN, ""), F.lit(" \t\r\n"))

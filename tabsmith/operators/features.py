@@ -185,13 +185,6 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(exact_medians(df, [col]).get(col),)], "median double")
 
 
-def approx_median(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
-    """A6 at scale: ``percentile_approx`` (rank error <= n / accuracy)."""
-    dt = df.schema[col].dataType
-    vals = df.where(~is_missing(q(col), dt))
-    return vals.agg(F.percentile_approx(q(col).cast("double"), 0.5, accuracy).alias("median"))
-
-
 def most_frequent(df: DataFrame, col: str) -> DataFrame:
     """The most frequent non-missing value, ties -> smallest.  One row: (value, rows).
 

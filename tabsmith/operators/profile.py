@@ -167,3 +167,9 @@ def feature_summary(
             if is_temporal_type(df.schema[c].dataType) or (r["sample_rows"] > 0 and r["datetime_share"] >= DATETIME_MIN_SHARE):
                 out.datetime_columns.append(c)
     return out
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A2: (column, distinct_values), NULL not counted: one map-side combined distinct of (column, value as text) pairs."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).where("value is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))

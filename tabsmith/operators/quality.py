@@ -10,6 +10,8 @@ gate does.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,3 +154,40 @@ def assert_quality(report: DataFrame) -> None:
         r = failed[0]
         where = f" in column {r['column']!r}" if r["column"] is not None else ""
         raise ValueError(f"submission failed check {r['check']}{where}: {r['detail']}")
+
+
+def null_report(df: DataFrame) -> DataFrame:
+    """(column, nulls, has_nulls) of every column in one aggregation; NaN counts as missing."""
+    aggs = [F.coalesce(F.sum(_missing(df, c).cast("long")), F.lit(0)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"), (F.col(f"n{i}") > 0).alias("has_nulls")) for i, c in enumerate(df.columns)]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """A10: (id, copies) of the ids that occur more than once: map-side counts, one shuffle of ids."""
+    return df.groupBy(q(id_col)).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def constant_report(df: DataFrame) -> DataFrame:
+    """(column, is_constant) by the least and greatest value, NULL being a value too; one aggregation, no distinct."""
+    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    for i, c in enumerate(df.columns):
+        aggs += [F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"), F.count(q(c)).alias(f"k{i}")]
+        some, all_there = F.col(f"k{i}") > 0, F.col(f"k{i}") == F.col("n")
+        rows.append(F.struct(F.lit(c).alias("column"), (~some | (all_there & (F.col(f"lo{i}") == F.col(f"hi{i}")))).alias("is_constant")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def family_report(submission: DataFrame, template: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Q4 with F7-F9: (column, family, bad_rows) against the template's type families, in one aggregation."""
+    aggs, rows = [], []
+    for i, c in enumerate(columns):
+        family = type_family(template.schema[c].dataType)
+        rule = {
+            "boolean": lambda: ~_missing(submission, c) & ~boolean_like(q(c)),
+            "integer": lambda: ~integer_like(q(c)),
+            "float": lambda: _missing(submission, c),
+        }
+        aggs.append(F.sum(rule.get(family, lambda: F.lit(False))().cast("long")).alias(f"b{i}"))
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(family).alias("family"), F.col(f"b{i}").alias("bad_rows")))
+    return submission.agg(*aggs).select(F.inline(F.array(*rows)))

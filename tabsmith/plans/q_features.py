@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import date_parts, lenient_double, log1p_clipped, missing_indicator
+from ..functions.aliases import CANDIDATE_ALIASES, alias_column
+from ..functions.exprs import clamp, date_parts, lenient_double, log1p_clipped, missing_indicator
 from ..operators import features as fe
+from ..operators import sampling as sm
 from ..operators.quality import q
 from ..sources.tables import fixture, table, with_views
 from .registry import register
@@ -220,3 +222,84 @@ def one_hot_query(spark: SparkSession, sf: str) -> DataFrame:
     idx = fe.category_index(df, "c_mktsegment")
     out = fe.one_hot_slots(df, "c_mktsegment", idx)
     return out.select("c_custkey", "c_mktsegment__slot", F.when(F.col("c_mktsegment__slot").isNotNull(), F.lit(1.0)).alias("value"))
+
+
+# ---------------------------------------------------------------- F16, F17, L6, P8, E1-E3 applied
+_SPELLINGS = sorted(CANDIDATE_ALIASES)
+_ALIAS_CASES = " ".join(f"when '{k}' then '{v}'" for k, v in sorted(CANDIDATE_ALIASES.items()))
+_SPELLED = "case cast(l_orderkey % {n} as integer) " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(_SPELLINGS)) + " else 'other' end"
+
+
+@register(
+    "alias_map",
+    f"select l_orderkey, l_linenumber, case x {_ALIAS_CASES} else x end as candidate from "
+    f"(select l_orderkey, l_linenumber, {_SPELLED.format(n=len(_SPELLINGS) + 1)} as x from lineitem)",
+)
+def alias_map(spark: SparkSession, sf: str) -> DataFrame:
+    """F16: a column of spellings becomes canonical names; unknown ones pass through."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_SPELLED.format(n=len(_SPELLINGS) + 1)).alias("x"))
+    return li.select("l_orderkey", "l_linenumber", alias_column("x").alias("candidate"))
+
+
+@register("clamp", "select o_orderkey, greatest(1000.0, least(o_totalprice, 200000.0)) as price from orders")
+def clamp_query(spark: SparkSession, sf: str) -> DataFrame:
+    """values outside the range take its ends."""
+    return table(spark, sf, "orders").select("o_orderkey", clamp("o_totalprice", 1000.0, 200000.0).alias("price"))
+
+
+@register(
+    "subsample_rule",
+    """
+select 'default rule' as rule, count(*) as rows_before, count(*) >= 200000 or count(*) * 6 >= 5000000 as used, count(*) as rows_after from orders
+  having not (count(*) >= 200000 or count(*) * 6 >= 5000000) or count(*) <= 120000
+union all
+select 'small rule', count(*), true, least(100, count(*)) from orders""",
+)
+def subsample_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """The size rule decides whether a sample is taken; with the rule's own limits a small one, taken exactly."""
+    df = table(spark, sf, "orders")
+    parts = []
+    for name, rule in (("default rule", sm.SizeRule()), ("small rule", sm.SizeRule(large_rows=200, sample_rows=100))):
+        out, used, before = sm.subsample_for_eval(df, "o_totalprice", ["o_orderkey"], False, rule)
+        parts.append(
+            out.agg(F.count(F.lit(1)).alias("rows_after")).select(
+                F.lit(name).alias("rule"), F.lit(before).cast("long").alias("rows_before"), F.lit(used).alias("used"), "rows_after"
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+@register(
+    "feature_plan_target",
+    "select c_custkey, c_acctbal, ln(1 + greatest(c_nationkey, 0)) as c_nationkey__log1p from customer",
+)
+def feature_plan_target(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan that names the target leaves it as it is and adds nothing for it."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    plan = fe.FeaturePlan(log1p_columns=["c_acctbal", "c_nationkey"], frequency_encode=["c_acctbal"], missing_indicators=["c_acctbal"])
+    out, _ = fe.apply_feature_plan(df, None, plan, "c_acctbal")
+    return out.drop("c_nationkey")
+
+
+@register(
+    "impute_applied",
+    """
+with t as (select c_custkey, case when c_custkey % 4 <> 0 then c_acctbal end as balance, case when c_custkey % 3 <> 0 then c_mktsegment end as segment
+           from customer),
+m as (select median(balance) as med from t),
+s as (select segment as seg from t where segment is not null group by segment order by count(*) desc, segment limit 1),
+x as (select avg(coalesce(balance, med)) as mean, stddev_pop(coalesce(balance, med)) as std from t cross join m)
+select c_custkey, round((coalesce(balance, med) - mean) / std, 6) as balance, coalesce(segment, seg) as segment
+from t cross join m cross join s cross join x""",
+)
+def impute_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """E1-E3 applied: median and most frequent value filled in, then scaled."""
+    df = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("balance"),
+        F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment"),
+    )
+    values = {"balance": fe.exact_medians(df, ["balance"])["balance"], "segment": fe.most_frequent(df, "segment").first()["value"]}
+    filled = fe.fill_missing(df, values)
+    stats = {r["column"]: (r["mean"], r["std_pop"]) for r in fe.mean_std(filled, ["balance"]).collect()}
+    return fe.standardize(filled, stats).select("c_custkey", F.round("balance", 6).alias("balance"), "segment")

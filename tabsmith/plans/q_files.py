@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import compact_json
 from ..operators import conform as cf
 from ..session import scratch_path
 from ..sources import archives as ar
@@ -133,8 +134,8 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for name in ("orders", "lineitem", "events"):
         df = table(spark, sf, name)
-        rep = F.to_json(F.struct(F.lit("ok").alias("status"), F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
-                                 F.lit(len(df.columns)).alias("columns")))
+        rep = compact_json(F.struct(F.lit("ok").alias("status"), F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
+                                    F.lit(len(df.columns)).alias("columns")))
         parts.append(df.agg(rep.alias("report")).select(F.lit(name).alias("tbl"), "report"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -194,10 +195,37 @@ def finalize_query(spark: SparkSession, sf: str) -> DataFrame:
     return summary
 
 
-@register("submission_summary")
+@register(
+    "submission_summary",
+    """
+with t as (select o_orderkey, o_totalprice * 0.9 + 1.0 as p from orders)
+select true as exists, count(*) as rows, true as has_size, 'o_orderkey,o_totalprice' as header, min(o_orderkey) as first_key from t""",
+)
 def submission_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Q7: a normalised submission written as one CSV file, then summarised (exists, size, preview)."""
+    """Q7: a normalised submission written as CSV, then summarised: existence, size, preview (its header and first key), rows."""
     sub = fixture(spark, sf, "v_orders_submission").withColumnRenamed("prediction", "o_totalprice")
     out = cf.normalize(sub, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test"))
-    path = cs.write_csv(out, scratch_path(spark, "submission"), single_file=True, order_by=["o_orderkey"])
-    return fl.written_summary(spark, path)
+    path = cs.write_csv(out, scratch_path(spark, "submission"), order_by=["o_orderkey"])
+    got = fl.written_summary(spark, path)
+    rows = cs.read_csv(spark, path, schema="o_orderkey long, o_totalprice double").agg(F.count(F.lit(1)).alias("rows"))
+    lines = F.split("preview", "\n")
+    return got.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").select(  # two one-row tables
+        "exists", "rows", (F.col("size_bytes") > 0).alias("has_size"), lines[0].alias("header"), F.split(lines[1], ",")[0].cast("long").alias("first_key")
+    )
+
+
+@register("finalize_from_predictions", "select true as exists, 'predictions' as name, count(*) as rows, 'o_orderkey,o_totalprice' as columns from orders")
+def finalize_from_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6, second choice: no table fits, the template is filled from a prediction vector."""
+    preds = fixture(spark, sf, "v_orders_submission")
+    tmpl, test = fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test")
+    return cf.finalize({"scratch": table(spark, sf, "customer")}, tmpl, test, predictions=preds)[1]
+
+
+@register("finalize_from_file", "select true as exists, 'fallback' as name, count(*) as rows, 'o_orderkey,o_totalprice' as columns from orders")
+def finalize_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6, third choice: a candidate file is repaired."""
+    tmpl, test = fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test")
+    path = cs.write_csv(fixture(spark, sf, "v_orders_submission"), scratch_path(spark, "candidate"))
+    fallback = cs.read_csv(spark, path, schema="o_orderkey long, prediction double")
+    return cf.finalize({"scratch": table(spark, sf, "customer")}, tmpl, test, fallback=fallback)[1]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import string_form
 from ..operators import profile as pf
+from ..operators.features import frequency_table
 from ..operators.quality import q
 from ..operators.sampling import size_report
 from ..sources.tables import fixture, table, with_views
@@ -85,9 +85,8 @@ def is_large_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def value_counts_query(spark: SparkSession, sf: str) -> DataFrame:
     """A3: value counts on the string form, NULL counted as 'nan'."""
-    df = fixture(spark, sf, "v_events")
-    v = string_form(q("event_type"), df.schema["event_type"].dataType).alias("value")
-    return df.groupBy(v).agg(F.count(F.lit(1)).alias("rows"))
+    counts = frequency_table(fixture(spark, sf, "v_events"), "event_type")
+    return counts.select(F.col("_fv").alias("value"), F.col("_fc").cast("long").alias("rows"))
 
 
 @register(
@@ -98,16 +97,8 @@ union all select 'o_orderpriority', count(distinct o_orderpriority) from orders
 union all select 'o_custkey', count(distinct o_custkey) from orders""",
 )
 def target_cardinality(spark: SparkSession, sf: str) -> DataFrame:
-    """A2: exact distinct non-null values, one aggregation per column."""
-    df = table(spark, sf, "orders")
-    parts = [
-        df.agg(F.count_distinct(q(c)).alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values")
-        for c in ["o_orderstatus", "o_orderpriority", "o_custkey"]
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A2: exact distinct non-null values of several columns in one aggregation."""
+    return pf.distinct_counts(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
 def _head_sql(src: str, col: str, key: str, expr: str) -> str:

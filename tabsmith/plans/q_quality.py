@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conform as cf
 from ..operators import schema as sc
-from ..operators.quality import _missing, q, qa_report, type_family
+from ..operators.quality import constant_report, duplicate_ids, family_report, null_report, q, qa_report
 from ..sources.tables import fixture, sql_over_tables, table, with_views
 from .registry import register
 
@@ -123,13 +123,7 @@ select 'o_totalprice', cast(sum(case when o_totalprice is null or isnan(o_totalp
 )
 def qa_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """NULL/NaN count per column in one aggregation, unpivoted."""
-    df = fixture(spark, sf, "v_orders_bad")
-    aggs = [F.sum(_missing(df, c).cast("long")).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"), (F.col(f"n{i}") > 0).alias("has_nulls"))
-        for i, c in enumerate(df.columns)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return null_report(fixture(spark, sf, "v_orders_bad"))
 
 
 @register(
@@ -141,41 +135,25 @@ def qa_nulls(spark: SparkSession, sf: str) -> DataFrame:
 )
 def qa_duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
     """A10: ids that occur more than once (map-side partial counts, then one shuffle)."""
-    df = fixture(spark, sf, "v_orders_bad")
-    return df.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    return duplicate_ids(fixture(spark, sf, "v_orders_bad"), "o_orderkey")
 
 
 @register(
     "qa_constant",
     with_views(
         """
-select 'o_orderkey' as "column",
-       cast(count(distinct o_orderkey) + max(case when o_orderkey is null then 1 else 0 end) as bigint) as distinct_with_null,
-       count(distinct o_orderkey) + max(case when o_orderkey is null then 1 else 0 end) <= 1 as is_constant
+select 'o_orderkey' as "column", count(distinct o_orderkey) + max(case when o_orderkey is null then 1 else 0 end) <= 1 as is_constant
 from v_orders_bad
 union all
-select 'o_totalprice',
-       cast(count(distinct o_totalprice) + max(case when o_totalprice is null then 1 else 0 end) as bigint),
-       count(distinct o_totalprice) + max(case when o_totalprice is null then 1 else 0 end) <= 1
-from v_orders_bad""",
+select 'o_totalprice', count(distinct o_totalprice) + max(case when o_totalprice is null then 1 else 0 end) <= 1 from v_orders_bad
+union all
+select 'fixed', count(distinct 7) <= 1 from v_orders_bad""",
         "v_orders_bad",
     ),
 )
 def qa_constant(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct values counting NULL as a value; constant when <= 1.
-
-    Exact per-column distinct counts are computed one column per aggregation and
-    unioned (a multi-column exact distinct would expand every row per column).
-    """
-    df = fixture(spark, sf, "v_orders_bad")
-    parts = []
-    for c in df.columns:
-        d = (F.count_distinct(q(c)) + F.max(q(c).isNull().cast("long"))).alias("distinct_with_null")
-        parts.append(df.agg(d).select(F.lit(c).alias("column"), "distinct_with_null", (F.col("distinct_with_null") <= 1).alias("is_constant")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A column of one value, NULL counted as a value."""
+    return constant_report(fixture(spark, sf, "v_orders_bad").withColumn("fixed", F.lit(7)))
 
 
 @register(
@@ -231,22 +209,7 @@ def qa_type_family(spark: SparkSession, sf: str) -> DataFrame:
     """Q4 with F7-F9: per prediction column, rows that break the template's type family."""
     sub = sql_over_tables(spark, sf, _FAMILY_SUB)
     tmpl = sql_over_tables(spark, sf, _FAMILY_TEMPLATE)
-    from ..functions.exprs import boolean_like, integer_like
-
-    aggs, rows = [], []
-    for i, c in enumerate(sc.prediction_columns(tmpl.columns, None)):
-        fam = type_family(tmpl.schema[c].dataType)
-        if fam == "boolean":
-            bad = ~_missing(sub, c) & ~boolean_like(q(c))
-        elif fam == "integer":
-            bad = ~integer_like(q(c))
-        elif fam == "float":
-            bad = _missing(sub, c)
-        else:
-            bad = F.lit(False)
-        aggs.append(F.sum(bad.cast("long")).alias(f"b{i}"))
-        rows.append(F.struct(F.lit(c).alias("column"), F.lit(fam).alias("family"), F.col(f"b{i}").alias("bad_rows")))
-    return sub.agg(*aggs).select(F.inline(F.array(*rows)))
+    return family_report(sub, tmpl, sc.prediction_columns(tmpl.columns, None))
 
 
 # ---------------------------------------------------------------- Q1 / P6 / P7 / J1 / Q2
@@ -277,8 +240,7 @@ def conform_select(spark: SparkSession, sf: str) -> DataFrame:
     """Extra columns dropped, template column order restored."""
     orders = table(spark, sf, "orders")
     sub = orders.select((F.col("o_totalprice") * 0.9 + 1.0).alias("o_totalprice"), "o_orderdate", "o_orderkey")
-    tmpl = fixture(spark, sf, "v_orders_template")
-    return sub.select(*[q(c) for c in tmpl.columns])
+    return cf.conform(sub, fixture(spark, sf, "v_orders_template"), fixture(spark, sf, "v_orders_all_test")).frame
 
 
 @register(
