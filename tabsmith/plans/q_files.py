@@ -97,15 +97,27 @@ def discover_part(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "file_catalog",
-    """
-select * from (values ('home/data/sample_submission.csv/', true), ('home/data/test.csv/', true),
-                      ('home/data/train.csv/', true)) as t(entry, is_dir)
-where (select count(*) from orders) > 0""",
+    with_views(
+        """
+select 'home/data/sample_submission.csv/' as entry, true as is_dir, count(*) as rows from v_orders_test
+union all select 'home/data/test.csv/', true, count(*) from v_orders_test
+union all select 'home/data/train.csv/', true, count(*) from v_orders_train""",
+        "v_orders_train",
+        "v_orders_test",
+    ),
 )
 def file_catalog_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Listing of a bundle folder, directories first, case-insensitive name order."""
+    """Listing of a bundle folder, directories first, case-insensitive name order, with the rows found under each entry."""
     root = _write_bundle(spark, sf)
-    return fl.file_catalog(spark, root, "home/data").select("entry", "is_dir")
+    listed = [(r["entry"], r["is_dir"]) for r in fl.file_catalog(spark, root, "home/data").collect()]  # one row per table of the bundle
+    parts = [
+        cs.read_csv(spark, f"{root}/{entry}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(entry).alias("entry"), F.lit(is_dir).alias("is_dir"), "rows")
+        for entry, is_dir in listed
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register(
