@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 
 from ..functions.exprs import TOKEN_PATTERN
-from .preprocess import LINEAR, TREE, Columns, split_columns  # noqa: F401
+from .preprocess import LINEAR, TREE
 
 # Preset budgets of the reference.
 TREES = 120

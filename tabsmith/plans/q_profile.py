@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as pf
 from ..operators.features import frequency_table
-from ..operators.quality import q
 from ..operators.sampling import size_report
 from ..sources.tables import fixture, table, with_views
 from . import task as tk

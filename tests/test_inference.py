@@ -1,7 +1,5 @@
 """Task inference rules on small in-test frames (FX-A1..A3, A9)."""
 
-import datetime as dt
-
 from tabsmith.operators import schema as sc
 from tabsmith.operators.profile import feature_summary, preview, table_profile
 from tabsmith.plans import task as tk
