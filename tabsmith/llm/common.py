@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..session import scratch_path
 # The six ASCII white-space characters \x20 \x09-\x0D that separate words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 CHUNK_CHARS = 2_000_000
+BATCH_ROWS = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let at most ``rows`` rows at a time go to Python workers, so that batches of whole texts stay small in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Consecutive runs of texts of about ``limit`` characters (a longer text stands alone), in order."""
     out, size = [], 0
@@ -47,8 +55,3 @@ def crc_fold(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
-
-def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of ``values[bounds[i]:bounds[i+1]]``, 0 for empty segments."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return total[bounds[1:]] - total[bounds[:-1]]

@@ -9,9 +9,9 @@ a context never seen predicts one half.  Texts begin and end with the byte 0xFF,
 has, so the probabilities of all texts add up.
 
 As Spark jobs: one pass counts hashed words and byte runs of DEPTH + 1 bytes (by held-out side) and one
-shuffle sums them.  From the runs, grouping level by level from the longest contexts to none gives
-the weighted probabilities, and joining level by level back gives the mixed probability of each node, hence
-of each run of bytes in the corpus.  A second pass over the texts adds up what a bounded
+shuffle sums them.  The runs of a context of UNIT bytes go to one task, which builds the levels below it as
+arrays; the levels above are grouped as tables, up to the root, and their mixes joined on the way back.
+That gives the mixed probability of each run of bytes in the corpus.  A second pass over the texts adds up what a bounded
 table of the most frequent words and runs gives (TOP of each, broadcast) and writes the rest of each text as pairs
 of key and count; these meet the full tables in a shuffled join.  Keys beyond the table are rare by
 construction, so no join key is hot.  The model is exact: no context and no word is dropped.
@@ -31,11 +31,12 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, text_chunks
+from .common import crc_fold, cut, small_batches, text_chunks
 from .shingles import word_hashes
 
 DEPTH = 5
-TOP = 500_000
+UNIT = 3
+TOP = 1_000_000
 BINS = 8  # bins a doubling, when the least count of the most frequent keys is sought
 CHUNK = 400_000
 FLUSH = 3_000_000
@@ -105,69 +106,125 @@ def _counter(depth: int):
 
 def count_keys(spark: SparkSession, docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
     """(kind, key, n_train, n_all): how often each word, byte run and the end occur, in training texts and in all."""
+    small_batches(spark)
     rows = docs.select("text", train.alias("train")).mapInPandas(_counter(depth), COUNT_SCHEMA)
     return cut(spark, rows.groupBy("kind", "key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")), "counts")
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series after seven steps of the recurrence; x is a half at least."""
+def _log_gamma(x, log):
+    """Stirling's series after seven steps of the recurrence; x is a half at least.  ``log``: numpy's for arrays, Spark's for columns."""
     steps = x
     for k in range(1, 7):
         steps = steps * (x + k)
     y = x + 7
     series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(steps)
-
-
-def _kt(n0: str = "n0", n1: str = "n1") -> Column:
-    """Log of the Krichevsky-Trofimov estimate of the counts."""
-    a, b = F.col(n0).cast("double"), F.col(n1).cast("double")
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - float(np.log(np.pi))
-
-
-def _decisions(runs: DataFrame, *keep: str) -> DataFrame:
-    """Eight rows for each run: the node (contexts and bit prefix in one number) and the bit taken there."""
-    out = runs.select("key", *keep, F.explode(F.array(*(F.lit(k) for k in range(8)))).alias("k"))
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    prefix = F.expr("shiftleft(1L, k)").bitwiseOR(F.call_function("shiftright", byte, F.lit(8) - F.col("k")))
-    node = (F.col("key") - byte).bitwiseOR(prefix)
-    bit = F.call_function("shiftright", byte, F.lit(7) - F.col("k")).bitwiseAND(F.lit(1))
-    return out.select("key", *keep, node.alias("node"), bit.alias("bit"))
-
-
-def _mask(depth: int) -> Column:
-    return F.lit((1 << (8 * (depth + 1))) - 1).cast("long")
+    return (y - 0.5) * log(y) - y + 0.9189385332046727 + series - log(steps)
+
+
+def _kt(a, b, log):
+    """Log of the Krichevsky-Trofimov estimate of ``a`` zeros and ``b`` ones."""
+    return _log_gamma(a + 0.5, log) + _log_gamma(b + 0.5, log) - _log_gamma(a + b + 1, log) - float(np.log(np.pi))
+
+
+def _mask(depth: int) -> int:
+    """The bits of a node's number that name it at ``depth``: that many context bytes and the bit prefix."""
+    return (1 << (8 * (depth + 1))) - 1
+
+
+class Subtrees:
+    """The nodes below whole contexts of ``unit`` bytes, from runs that are all of those contexts', as arrays level by level."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, unit: int):
+        byte, k = keys & 255, np.arange(8)[:, None]
+        node = (keys - byte) | (1 << k) | (byte >> (8 - k))  # eight decisions a run
+        self.bit = (byte >> (7 - k)) & 1
+        self.leaf, where = np.unique(node, return_inverse=True)
+        self.where = where.reshape(node.shape)
+        count = lambda bit: np.bincount(self.where.ravel(), weights=(n * (self.bit == bit)).ravel(), minlength=len(self.leaf))
+        n0, n1 = count(0), count(1)
+        log_w = _kt(n0, n1, np.log)
+        self.mixed = (n1 + 0.5) / (n0 + n1 + 1)  # the chance of a one, by all contexts from ``unit`` bytes on
+        own, nodes, path = self.mixed, self.leaf, []
+        for d in range(depth - 1, unit - 1, -1):
+            nodes, up = np.unique(nodes & _mask(d), return_inverse=True)
+            n0, n1, below = (np.bincount(up, weights=x, minlength=len(nodes)) for x in (n0, n1, log_w))
+            kt = _kt(n0, n1, np.log)
+            log_w = np.logaddexp(kt, below) - np.log(2)
+            path.append((up, 1 / (1 + np.exp(below - kt)), (n1 + 0.5) / (n0 + n1 + 1)))
+        at = np.arange(len(self.leaf))
+        for up, stay, own in path:
+            at = up[at]
+            self.mixed = stay[at] * own[at] + (1 - stay[at]) * self.mixed
+        self.top = nodes, n0, n1, log_w
+
+    def log10_p(self, p: np.ndarray) -> np.ndarray:
+        """The log probability of each run's byte, from the chance of a one at each leaf node."""
+        one = p[self.where]
+        return np.log10(np.where(self.bit == 1, one, 1 - one)).sum(axis=0)
+
+
+GROUP_ROWS = 100_000
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows, sorted by ``unit``, in tables of about GROUP_ROWS rows that hold all rows of their units."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= GROUP_ROWS:
+            table = pd.concat(held, ignore_index=True)
+            end = int(np.searchsorted(table["unit"].to_numpy(), table["unit"].iloc[-1]))  # the last unit may go on
+            if end:
+                yield table.iloc[:end]
+            held, rows = [table.iloc[end:]], len(table) - end
+    if rows:
+        yield pd.concat(held, ignore_index=True)
 
 
 def run_probabilities(spark: SparkSession, runs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, log10_p, n_all) for every run (key, n_train, n_all): the weighted probability of its last byte after the others."""
-    each = _decisions(runs, "n_train")
-    level = each.groupBy("node").agg(
-        F.sum(F.col("n_train") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n_train") * F.col("bit")).alias("n1")
-    )
-    level = level.withColumn("log_w", _kt())
-    levels = [cut(spark, level.withColumn("stay", F.lit(1.0)), f"level{depth}")]
-    for d in range(depth - 1, -1, -1):
-        up = levels[0].groupBy(F.col("node").bitwiseAND(_mask(d)).alias("node"))
-        up = up.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below")).withColumn("kt", _kt())
+    """(key, log10_p, n_all) for every run (key, n_train, n_all): the weighted probability of its last byte after the others.
+
+    Runs of one context of ``unit`` bytes meet in one task, where the levels from DEPTH to ``unit`` are arrays; such a group
+    has 256 ** (depth - unit + 1) rows at most, whatever the corpus.  The levels above are grouped and
+    joined as tables; what of them goes back by broadcast has 255 * 256 ** (unit - 1) rows at most.
+    """
+    unit = min(UNIT, depth)
+    by_unit = runs.withColumn("unit", F.call_function("shiftright", F.col("key"), F.lit(8)).bitwiseAND(F.lit((1 << (8 * unit)) - 1)))
+    by_unit = by_unit.repartition("unit").sortWithinPartitions("unit", "key")
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in _whole_groups(batches):
+            yield pd.DataFrame(dict(zip(("node", "n0", "n1", "log_w"), Subtrees(t["key"].to_numpy(), t["n_train"].to_numpy(), depth, unit).top)))
+
+    level = cut(spark, by_unit.drop("n_all").mapInPandas(top, "node long, n0 double, n1 double, log_w double"), "level")
+    levels = []
+    for d in range(unit - 1, -1, -1):
+        up = level.groupBy(F.col("node").bitwiseAND(F.lit(_mask(d)).cast("long")).alias("node"))
+        up = up.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below")).withColumn("kt", _kt(F.col("n0"), F.col("n1"), F.log))
         more = F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below"))))
         stay = 1 / (1 + F.exp(F.col("below") - F.col("kt")))
-        level = up.select("node", "n0", "n1", (more - float(np.log(2))).alias("log_w"), stay.alias("stay"))
-        levels.insert(0, cut(spark, level, f"level{d}"))
+        level = cut(spark, up.select("node", "n0", "n1", (more - float(np.log(2))).alias("log_w"), stay.alias("stay")), "level")
+        levels.insert(0, level)
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
     path = levels[0].select("node", (F.col("stay") * one).alias("p"), (1 - F.col("stay")).alias("rest"))
-    for d in range(1, depth + 1):
+    for d in range(1, unit):
         above = path.select(F.col("node").alias("up"), F.col("p").alias("up_p"), F.col("rest").alias("up_rest"))
-        above = F.broadcast(above) if d <= 2 else above  # 255 * 256 ** (d - 1) nodes at most
-        level = levels[d].withColumn("up", F.col("node").bitwiseAND(_mask(d - 1))).join(above, "up")
-        path = level.select(
-            "node",
-            (F.col("up_p") + F.col("up_rest") * F.col("stay") * one).alias("p"),
-            (F.col("up_rest") * (1 - F.col("stay"))).alias("rest"),
+        each = levels[d].withColumn("up", F.col("node").bitwiseAND(F.lit(_mask(d - 1)).cast("long"))).join(F.broadcast(above), "up")
+        path = each.select(
+            "node", (F.col("up_p") + F.col("up_rest") * F.col("stay") * one).alias("p"), (F.col("up_rest") * (1 - F.col("stay"))).alias("rest")
         )
-    taken = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    met = _decisions(runs, "n_all").join(path.select("node", "p"), "node")
-    return cut(spark, met.groupBy("key").agg(F.sum(F.log10(taken)).alias("log10_p"), F.first("n_all").alias("n_all")), "runs")
+    got = path.toArrow()
+    shared = spark.sparkContext.broadcast(Scores(*(got.column(c).to_numpy() for c in ("node", "p", "rest"))))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in _whole_groups(batches):
+            tree = Subtrees(t["key"].to_numpy(), t["n_train"].to_numpy(), depth, unit)
+            _, (p, rest) = shared.value.of(tree.leaf & _mask(unit - 1))
+            yield pd.DataFrame({"key": t["key"].to_numpy(), "log10_p": tree.log10_p(p + rest * tree.mixed), "n_all": t["n_all"].to_numpy()})
+
+    return cut(spark, by_unit.mapInPandas(score, "key long, log10_p double, n_all long"), "runs")
 
 
 def _most_frequent(rows: DataFrame, top: int) -> DataFrame:
