@@ -11,9 +11,11 @@ later than the latest component of the text, so most shingles make one or two po
 
 Signatures are cut into bands.  In a bucket (texts equal in a band) every member is first compared
 with one pivot; links of similarity ``threshold`` or more, verified on the multisets, form components.
-Then only members of different components of a bucket are compared, and the components of
-all links are the classes.  Members that are linked already need no comparison: the classes
-are those of all pairs in all buckets, without making all pairs of a group of copies.
+Then only members of different components of a bucket are compared: those outside its largest component
+are probes, sent in chunks to blocks of the bucket's members, where a task looks up the probes' shingles
+in the block's and gives a link for each component met; pairs never become rows.  The components of all links are
+the classes.  Members that are linked already need no comparison, so the classes are those of all pairs
+in all buckets, with blocks of bounded size however large a bucket is.
 
 Defined results: equal texts are one class, the empty text included; a null text is a class
 of its own (with rows that repeat its id); a class is named by its least doc_id; rows without words have no
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import cut, text_chunks
+from .common import cut, small_batches, text_chunks
 from .components import components
 from .shingles import MAX_TEXTS, mix64, pack, shingles, weighted_jaccard
 
@@ -40,6 +42,8 @@ ROWS = 5
 SIZE = BANDS * ROWS
 THRESHOLD = 0.8
 CHUNK = 1_000_000
+BLOCK = 512  # members of a bucket that a task holds
+PROBES = 1_024  # probes that a task compares with them
 
 _U = np.uint64
 
@@ -129,8 +133,58 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _units(profile: bytes) -> tuple[np.ndarray, int]:
+    """A packed multiset as a sorted set: the k-th copy of a shingle is a unit of its own; and its size."""
+    packed = np.frombuffer(profile, _U)
+    count = (packed & _U(0xFFFF)).astype(np.int64)
+    if (count > 1).any():
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        packed = np.sort((np.repeat(packed >> _U(16), count) << _U(16)) + nth.astype(_U))
+    else:
+        packed = (packed >> _U(16)) << _U(16)
+    return packed, int(count.sum())
+
+
+def _compare(threshold: float):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links from the probes to the residents of other components, one for each component that a probe meets.
+
+        A pair is looked at in the first band that the two share, so it is compared once.
+        """
+        band = rows["band"].iloc[0]
+        home, probes = rows[~rows["probe"]].reset_index(drop=True), rows[rows["probe"]]
+        links = []
+        if len(home) and len(probes):
+            units = [_units(p) for p in home["profile"]]
+            unit, owner = np.concatenate([u for u, _ in units]), np.repeat(np.arange(len(home)), [len(u) for u, _ in units])
+            order = np.argsort(unit, kind="stable")
+            unit, owner = unit[order], owner[order]
+            sizes = np.array([n for _, n in units])
+            bands = np.array(home["bands"].tolist())
+            comp, _ = pd.factorize(home["comp"])
+            code = dict(zip(home["comp"], comp.tolist()))
+            for node, own, profile, keys in zip(probes["node"], probes["comp"], probes["profile"], probes["bands"]):
+                first = (bands == np.asarray(keys)).argmax(axis=1) == band
+                first &= comp != code.get(own, -1)
+                if not first.any():
+                    continue
+                mine, n = _units(profile)
+                lo, hi = np.searchsorted(unit, mine), np.searchsorted(unit, mine, side="right")
+                k = hi - lo
+                at = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                both = np.bincount(owner[at], minlength=len(home))
+                close = np.flatnonzero(first & (both >= threshold * (n + sizes - both)))
+                if len(close):
+                    _, one = np.unique(comp[close], return_index=True)
+                    links += [(node, home["node"][i]) for i in close[one]]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return compare
+
+
 def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, comp): the texts (128-bit digests) that have verified links, and the least text of their class."""
+    small_batches(spark)
     texts = docs.select("text").where("text is not null")
     signed = texts.mapInPandas(_sign, "node binary, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
     signed = cut(spark, signed, "signatures")
@@ -141,23 +195,27 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     first = cut(spark, members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     found = members.select("node").distinct()
     profiles = texts.select(node_of(F.col("text"), F.lit("")).alias("node"), "text").join(found, "node", "left_semi").dropDuplicates(["node"])
-    profiles = cut(spark, profiles.mapInPandas(_profile, "node binary, profile binary"), "profiles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = profiles.select(F.col("node").alias("a"), F.col("profile").alias("pa"))
-        right = profiles.select(F.col("node").alias("b"), F.col("profile").alias("pb"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(_similarity("pa", "pb") >= threshold).select("a", "b")
-
-    links = cut(spark, verified(first), "verified")
+    profiles = profiles.mapInPandas(_profile, "node binary, profile binary").join(signed, "node")
+    profiles = cut(spark, profiles, "profiles")
+    left = profiles.select(F.col("node").alias("a"), F.col("profile").alias("pa"))
+    right = profiles.select(F.col("node").alias("b"), F.col("profile").alias("pb"))
+    links = first.join(left, "a").join(right, "b").where(_similarity("pa", "pb") >= threshold).select("a", "b")
+    links = cut(spark, links, "links")
     comps = components(spark, links)
-    # What is left to compare: members of one bucket in different components, but for the pairs seen with a pivot.
-    placed = members.join(comps, "node", "left").select("band", "key", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = cut(spark, placed.join(mixed, ["band", "key"]).where("node <> pivot").drop("pivot"), "mixed")
-    other = rest.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = rest.withColumnRenamed("node", "a").join(other, ["band", "key"]).where("a < b and comp <> comp_b").select("a", "b").distinct()
-    more = cut(spark, verified(pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")), "verified")
+    # What is left to compare: members of one bucket in different components.
+    placed = members.join(comps, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n")).where("main.n < n")
+    rest = placed.join(mixed, ["band", "key"]).withColumn("other", F.col("comp") != F.col("main.comp"))
+    blocks, chunks = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("main.n")) / PROBES)
+    entry = lambda block, chunk, probe: F.struct(block.cast("long").alias("block"), chunk.cast("long").alias("chunk"), F.lit(probe).alias("probe"))
+    block, chunk = F.pmod(F.xxhash64("node"), blocks), F.pmod(F.xxhash64("node", F.lit(1)), chunks)
+    as_home = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: entry(block, c, False))
+    as_probe = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda c: entry(c, chunk, True))
+    seats = F.when(F.col("other"), F.concat(as_home, as_probe)).otherwise(as_home)
+    seated = rest.select("band", "key", "node", "comp", F.inline(seats)).join(profiles, "node")
+    more = seated.groupBy("band", "key", "block", "chunk").applyInPandas(_compare(threshold), "a binary, b binary")
+    more = cut(spark, more, "links")
     return comps if more.isEmpty() else components(spark, links.union(more))
 
 

@@ -105,3 +105,21 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (500, 500)], "a long, b long")
     comps = {r.node: r.comp for r in components(spark, links).collect()}
     assert comps == {**dict.fromkeys(range(101), 0), 400: 400, 500: 400}
+
+
+def test_group_of_variants_near_the_threshold(spark, monkeypatch):
+    """Most pairs are just under the similarity wanted: probes meet members in many small blocks."""
+    monkeypatch.setattr(B, "BLOCK", 7)
+    monkeypatch.setattr(B, "PROBES", 5)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for k in range(90):
+        words = base[:]
+        for i in rng.choice(len(words), rng.integers(2, 5), replace=False):
+            words[i] = f"n{k}x{i}"
+        rows.append((k, " ".join(words * (2 if k % 9 == 0 else 1))))  # some twice over: a multiset of its own
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in B.near_duplicate_report(spark, docs).select("doc_id", "class_id").collect()), key=str)
+    want = brute_classes(rows)
+    assert got == want and 2 < len({c for _, c in want}) < 80
