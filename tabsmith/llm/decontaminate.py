@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 WIDTH = 13
 BLOCK_BYTES = 32 * 1024 * 1024
@@ -131,6 +131,7 @@ def contamination(
     spark: SparkSession, text: Column, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES
 ) -> Column:
     """Column of struct(n_words long, hit array<int>, items array<string>) for each text."""
+    small_batches(spark)
     found = []
     for block in window_blocks(benchmark, width, block_bytes):
         scan = _scanner(spark.sparkContext.broadcast(block))

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, text_chunks
+from .common import crc_fold, cut, small_batches, text_chunks
 
 UNDETERMINED = "und"
 N = 4
@@ -164,6 +164,7 @@ def _count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame) -> LanguageFilter:
     """The filter of the languages in rows (text, lang); at most SLOTS masks come to the driver."""
+    small_batches(docs.sparkSession)
     rows = docs.select("text", "lang").where("lang is not null")
     counts = rows.mapInPandas(_count_ngrams, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     spark = docs.sparkSession
@@ -208,6 +209,7 @@ def _predictor(shared: Broadcast):
 
 def predict_column(spark: SparkSession, model: LanguageFilter, text: Column) -> Column:
     """struct(lang_pred, score); the filter's size is fixed (SLOTS masks), so it is broadcast."""
+    small_batches(spark)
     return _predictor(spark.sparkContext.broadcast(model))(text)
 
 

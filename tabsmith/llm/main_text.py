@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Fixed values of HTML: elements without an end tag, elements whose content is not markup, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -235,5 +237,6 @@ def main_text_column(html: Column) -> Column:
 
 def page_report(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, its main text and the text's code points."""
+    small_batches(pages.sparkSession)
     found = pages.select("page_id", "url", main_text_column(F.col("html")).alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

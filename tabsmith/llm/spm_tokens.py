@@ -33,11 +33,11 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_PARTS = 400_000
+CACHE_PARTS = 300_000
 BATCH_PARTS = 2048  # parts a text
 BATCH_TEXTS = 8
 # Values of the public model format.
@@ -243,13 +243,17 @@ class Codec:
         split = [self.parts(t) for t in texts]
         missing = set(chain.from_iterable(split)).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE_PARTS:
-            self.cache = {"": b""}
-            self.differing.clear()
+            self.forget()
             missing = set(chain.from_iterable(split)) - {""}
         self.learn(list(missing))
         ids = [np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), dtype=np.int32) for parts in split]
         return ids, [not self.differing or self.differing.isdisjoint(parts) for parts in split]
 
+    def forget(self) -> None:
+        """Give the memory of the parts back at the end of a task; workers live on for others."""
+        self.cache = {"": b""}
+        self.differing.clear()
+
     def decode(self, ids) -> str:
         """The text of the ids; invalid byte sequences become U+FFFD, as in the library's byte fallback."""
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -275,6 +279,7 @@ _SENT: set[tuple[str, str]] = set()
 
 def send_model(spark: SparkSession, model_path: str) -> str:
     """Give the model file (bounded: a vocabulary) to every executor once; its name there."""
+    small_batches(spark)
     key = (spark.sparkContext.applicationId, model_path)
     if key not in _SENT:
         spark.sparkContext.addFile(model_path)
@@ -297,6 +302,7 @@ def encode_column(spark: SparkSession, text: Column, model_path: str = DEFAULT_M
                 same += b
             ids = [None if t is None else i for t, i in zip(batch.tolist(), ids, strict=True)]
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "parity": same})
+        codec.forget()
 
     return encode(text)
 
@@ -331,6 +337,7 @@ def token_report(spark: SparkSession, docs: DataFrame, model_path: str = DEFAULT
                     digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
                     rows.append((len(ids), int(codec.is_byte[ids].sum()), digest, same, codec.decode(ids) == text))
             yield pd.DataFrame(rows, columns=["n_tokens", "n_byte_tokens", "ids_sha256", "parity", "round_trip"])
+        codec.forget()
 
     return docs.select("doc_id", report(F.col("text")).alias("r")).select("doc_id", "r.*")
 
