@@ -7,8 +7,8 @@ while the other third says so; the rows it covers leave, and the next rule is gr
 is not precise enough.  The list becomes one ordered Spark ``CASE WHEN`` expression, readable and evaluated
 in the JVM.
 
-The labelled rows for learning are bounded by ``max_labels`` (the rows of the least hash of their
-id and statistics); statistics and verdicts cover all rows.
+The labelled rows for learning are bounded: of more than ``max_labels``, the share ``max_labels`` / n by a hash of
+their id and statistics; statistics and verdicts cover all rows.
 
 Defined results: a null text has no words; labels that are null or have no document teach
 nothing; without labels of both kinds the list is empty and keeps all that the base rule keeps; repeated
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 MAX_LABELS = 30_000
 MAX_RULES = 12
@@ -228,8 +228,12 @@ def fit(counted: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     """Learn from rows of ``counted`` (doc_id, COUNTS) that ``labels`` (doc_id, quality) covers and that the base rule lets pass."""
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
     rows = counted.where(~base_failed()).join(known, "doc_id")
-    rows = rows.withColumn("__order", F.xxhash64("doc_id", *COUNTS)).orderBy("__order", "doc_id", "quality").limit(max_labels)
-    got = rows.select((F.col("quality") == 0).alias("bad"), *(c.alias(f) for f, c in feature_columns().items())).toPandas()
+    n = rows.count()
+    if n > max_labels:  # a share by hash: no sort, and what comes to the driver is bounded
+        place = (F.xxhash64("doc_id", *COUNTS) / F.lit(2.0**64)) + 0.5
+        rows = rows.where(place < max_labels / n)
+    rows = rows.select((F.col("quality") == 0).alias("bad"), *(c.alias(f) for f, c in feature_columns().items()))
+    got = rows.toPandas().sort_values([*FEATURES, "bad"], ignore_index=True)  # the same rows give the same rules in any order
     if not len(got):
         return []
     return learn_rules({f: got[f].to_numpy() for f in FEATURES}, got["bad"].to_numpy(dtype=bool))
@@ -237,6 +241,7 @@ def fit(counted: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
 
 def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """One row per document: its counts, the base verdict, the number of the rule that drops it (0: none) and the verdict."""
+    small_batches(spark)
     counted = docs.select("doc_id", counts_column(F.col("text")).alias("c")).select("doc_id", *(F.col(f"c.{c}") for c in COUNTS))
     counted = cut(spark, counted, "counts")
     rule = rules_column(fit(counted, labels, max_labels), feature_columns())
