@@ -6,8 +6,9 @@ looked up in the digests of known licence texts and notices by a hash join.  The
 are the whole text of a document and each of its lines, so a file that is a licence and a notice line in
 other text are both found.
 
-The digests are computed from the catalogue below, whose size is fixed: whole texts meet them in a
-broadcast hash join, lines in a constant map, so no text is shuffled.
+The digests are computed from the catalogue below and read from ``license_digests`` (full texts with and
+without titles and appendices), both of fixed size: whole texts meet them in a broadcast hash join, lines in
+a constant set and map, so no text is shuffled.
 
 Defined results: a null or empty text, and one that is empty in canonical form, matches nothing;
 what is found depends on the text alone, so repeated rows and null ids get their text's result; other
@@ -22,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import FULL_TEXTS
+
 _DISCLAIMER = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
     "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
@@ -62,18 +65,39 @@ _APACHE_NOTICE = (
     'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
     "either express or implied. See the License for the specific language governing permissions and limitations under the License."
 )
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+    "the above copyright notice and this permission notice appear in all copies.\n\n" + _DISCLAIMER
+)
+_0BSD = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _DISCLAIMER
+)
+_BSD_2, _BSD_3 = _BSD_HEAD + _BSD_TAIL, _BSD_HEAD + _BSD_NAME + _BSD_TAIL
+
+
+def _titled(name: str, text: str, titles: list[str]) -> list[tuple[str, str]]:
+    """A text without a title and under each of its usual ones, with "The" before them or not."""
+    return [(name, text), *((name, f"{the}{t}\n\n{text}") for t in titles for the in ("", "The "))]
+
+
+def _unnumbered(text: str) -> str:
+    return re.sub(r"^[0-9]\. ", "* ", text, flags=re.M)
+
+
+_BSD_2_TITLES = ["BSD 2-Clause License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"]
+_BSD_3_TITLES = ["BSD 3-Clause License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                 "Modified BSD License", "BSD License"]
 
 # Texts and notices of public licences, by SPDX name.
 KNOWN: list[tuple[str, str]] = [
-    ("MIT", _MIT),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-            "the above copyright notice and this permission notice appear in all copies.\n\n" + _DISCLAIMER),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n"
-             + _DISCLAIMER),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAME + _BSD_TAIL),
+    *_titled("MIT", _MIT, ["MIT License (MIT)", "MIT License"]),
+    *_titled("ISC", _ISC, ["ISC License", "ISC License (ISC)"]),
+    *_titled("ISC", _ISC.replace("and/or", "and"), ["ISC License", "ISC License (ISC)"]),
+    *_titled("0BSD", _0BSD, ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)"]),
+    *_titled("BSD-2-Clause", _BSD_2, _BSD_2_TITLES),
+    *_titled("BSD-2-Clause", _unnumbered(_BSD_2), _BSD_2_TITLES),
+    *_titled("BSD-3-Clause", _BSD_3, _BSD_3_TITLES),
+    *_titled("BSD-3-Clause", _unnumbered(_BSD_3), _BSD_3_TITLES),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -149,8 +173,8 @@ def _spelled(words: Column) -> Column:
 
 
 def known_digests() -> list[tuple[str, str]]:
-    """(digest, licence) of the catalogue, one licence per digest."""
-    return sorted({hashlib.sha256(canonical(t).encode()).hexdigest(): name for name, t in KNOWN}.items())
+    """(digest, licence) of the catalogue and the full texts, one licence per digest."""
+    return sorted((FULL_TEXTS | {hashlib.sha256(canonical(t).encode()).hexdigest(): name for name, t in KNOWN}).items())
 
 
 def license_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -160,7 +184,8 @@ def license_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", _line_forms(F.coalesce("text", F.lit(""))).alias("lines"))
     whole = _spelled(F.array_join(F.filter("lines", lambda x: x != ""), " "))
     table = F.create_map(*(F.lit(x) for pair in known for x in pair))
-    notices = F.filter(F.transform("lines", lambda x: F.element_at(table, digest(_spelled(x)))), lambda x: x.isNotNull())
+    found = F.filter(F.transform("lines", lambda x: digest(_spelled(x))), lambda d: d.isin([d for d, _ in known]))  # a hash set
+    notices = F.transform(found, lambda d: F.element_at(table, d))
     rows = lines.select("doc_id", digest(whole).alias("digest"), notices.alias("notices"))
     licenses = spark.createDataFrame(known, "digest string, license_id string")
     return rows.join(F.broadcast(licenses), "digest", "left").select(

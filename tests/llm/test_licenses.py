@@ -53,3 +53,25 @@ def test_documents_have_notices_and_plan_is_native(spark):
 
 def test_no_rows(spark):
     assert L.license_report(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_full_texts_with_and_without_titles(spark):
+    import re
+    import textwrap
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only",
+            "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3-only", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    texts = {name: (folder / file).read_text() for file, name in want.items()}
+    apache, mpl = texts["Apache-2.0"], texts["MPL-2.0"]
+    bsd3 = next(t for n, t in L.KNOWN if n == "BSD-3-Clause" and t.startswith("Redistribution"))
+    isc = next(t for n, t in L.KNOWN if n == "ISC")
+    rows = [*texts.items(), ("Apache-2.0", re.sub(r"(?s)^.*?TERMS AND", "TERMS AND", apache)), ("Apache-2.0", apache[: apache.index("   APPENDIX")]),
+            ("MPL-2.0", mpl[mpl.index("1. Def") :].upper()), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A\n\n" + bsd3),
+            ("BSD-3-Clause", "The 3-Clause BSD License\n" + "\n".join(textwrap.wrap(bsd3, 60))), ("ISC", "ISC License\n\nCopyright (c) 2020 A\n\n" + isc),
+            (None, apache.replace("perpetual", "short")), ("Apache-2.0", "prose\n" + " ".join(apache.split()))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = sorted(map(tuple, L.license_report(spark, df).collect()))
+    assert got == sorted(brute([(i, t) for i, (_, t) in enumerate(rows)]))
+    assert [g[1] for g in got[:-1]] == [n for n, _ in rows[:-1]]
