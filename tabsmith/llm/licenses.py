@@ -121,8 +121,37 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 ]
 
-# A copyright line of lower-cased text: the word or sign first (after comment marks) and then a year, or the reservation of rights.
-COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright( *\(c\)| *©)?|\(c\)|©) *[0-9]|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
+# What after "copyright", and after "(c)" as the mark of a list item, makes a line a part of a licence's text and not a copyright line.
+WORDING = [
+    "act", "also", "and", "are", "claims", "disclaimer", "disclaimers", "doctrines", "for", "if", "in", "infringement", "interest", "interests",
+    "is", "law", "laws", "license", "licenses", "licence", "licences", "like", "line", "notice", "notices", "holder", "holders", "of this", "on",
+    "or", "owner", "owners", "ownership", "patent", "permission", "permissions", "protection", "resulting", "rights", "statement", "statements",
+    "that", "the library", "the program", "the software", "those", "to", "treaty",
+]
+ITEMS = ["copyright", "representations", "the license", "the licenses", "the licence", "the licences", "under", "you must"]
+_GAPS = r"\x00-/:-`{-\x7f"  # what separates words of lower-cased text; letters beyond ASCII belong to words
+
+
+def _other_words(phrases: list[str], within: bool = False) -> str:
+    """A pattern for words that do not begin with one of the phrases, without look-ahead, which the SQL has not."""
+    heads = sorted({p[0] for p in phrases if p})
+    ways = [f"[^{_GAPS}{''.join(h for h in heads if h != ' ')}]"]
+    for h in heads:
+        rest = [p[1:] for p in phrases if p[:1] == h]
+        if h != " ":
+            ways.append(h + _other_words(rest, True))
+        elif "" not in phrases:
+            ways.append(f"[{_GAPS}]+{_other_words(rest)}")
+    if within and "" not in phrases and " " not in heads:
+        ways.append(f"[{_GAPS}]|$")
+    return f"(?:{'|'.join(ways)})"
+
+
+# A copyright line of lower-cased text: the word or sign first (after comment marks) and no licence wording after it, or the reservation of rights.
+COPYRIGHT_LINE = (
+    rf"^[^a-z0-9]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9])|©[{_GAPS}]*[^{_GAPS}]|(?:\(c\)[{_GAPS}]*)?copyright[{_GAPS}]+{_other_words(WORDING)}"
+    rf"|\(c\)[{_GAPS}]*{_other_words(ITEMS)})|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
+)
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 # Equivalent spellings of words in canonical form.
 SPELLINGS = [

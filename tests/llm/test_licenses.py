@@ -75,3 +75,42 @@ def test_full_texts_with_and_without_titles(spark):
     got = sorted(map(tuple, L.license_report(spark, df).collect()))
     assert got == sorted(brute([(i, t) for i, (_, t) in enumerate(rows)]))
     assert [g[1] for g in got[:-1]] == [n for n, _ in rows[:-1]]
+
+
+def test_copyright_lines_without_a_year(spark):
+    import re
+    from pathlib import Path
+
+    mit = next(t for n, t in L.KNOWN if n == "MIT" and t.startswith("Permission"))
+    heads = [
+        "Copyright (c) The Regents of the University of California.", "Copyright Jane Doe", "Copyright (c) <year> <copyright holders>",
+        "// Copyright [yyyy] [name of copyright owner]", "(c) Copyright 2020 X", "Copyright: 2020 X", "Copyright: Jane", "© Jane Doe", "(C) Jane Doe",
+        "# Copyright © 株式会社", "COPYRIGHT by The Authors", "Copyright2020 X", "Copyright The Rust Project", "Copyright Lawrence & Orson",
+        "© Copyright Ünal", "Copyright Ünal",
+    ]
+    wording = ["copyright notice", "Copyright holders and", "copyright", '"Copyright" also means', "(c) You must retain", "(c) the licenses granted",
+               "copyright the software, and", "copyright the", "copyright-like laws", "copyright law: that", "copyrighted by X", "(c) copyright notices"]
+    assert all(re.search(L.COPYRIGHT_LINE, h.lower()) for h in heads) and not any(re.search(L.COPYRIGHT_LINE, w.lower()) for w in wording)
+    rows = [(i, h + "\n\n" + mit) for i, h in enumerate(heads)] + [(100 + i, w + "\n\n" + mit) for i, w in enumerate(wording)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, L.license_report(spark, df).collect()))
+    assert got == sorted(brute(rows)) and [g[1] for g in got] == ["MIT"] * len(heads) + [None] * len(wording)
+    # wherever a known text is broken into lines, its own wording is no copyright line
+    for path in sorted(Path("/usr/share/common-licenses").iterdir()):
+        lines = [x for x in path.read_text().lower().split("\n") if not re.search(L.COPYRIGHT_LINE, x)]
+        words = " ".join(lines).split()
+        for i, w in enumerate(words):
+            if re.match(r"[^a-z0-9]*(copyright|\(c\))", w) and words[i + 1 : i + 2] != ["(c)"] and words[i - 1] != "copyright":
+                assert not any(re.search(L.COPYRIGHT_LINE, " ".join(words[i : i + k])) for k in (1, 2, 3, 9)), (path, words[i : i + 9])
+
+
+def test_sql_reads_copyright_lines_alike(spark):
+    import duckdb
+
+    mit = next(t for n, t in L.KNOWN if n == "MIT" and t.startswith("Permission"))
+    heads = ["Copyright Jane", "Copyright the software", "(c) Copyright 2020 X", "(c) You must", "© Ünal", "Copyright: X", "copyright notice", "Copyright Ü"]
+    rows = [(i, h + "\n" + mit) for i, h in enumerate(heads)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(con.execute(L.REPORT_SQL).fetchall()) == sorted(brute(rows))
