@@ -64,3 +64,35 @@ def test_tie_goes_to_the_first_name():
     f = L.LanguageFilter(["de", "en"], np.full(L.SLOTS, 3, dtype=np.uint64) * (np.arange(L.SLOTS, dtype=np.uint64) % np.uint64(2)))
     pred, _ = f.predict(["anything at all"])
     assert pred == ["de"]
+
+
+def test_languages_of_rare_ngrams_are_told_and_unseen_letters_kept(spark):
+    rng = np.random.default_rng(5)
+
+    def rows(lang, first, start):  # 300,000 characters of 2,000 letters: nearly every 4-gram is seen once, below 1e-5 of all
+        return [(start + i, "".join(map(chr, first + rng.integers(0, 2000, 500))), lang, "s") for i in range(600)]
+
+    data = rows("zh", 0x4E00, 0) + rows("ko", 0xAC00, 1000) + [(5000, "αβγ ωψ", None, "s"), (5001, "12 3", None, "s"), (5002, chr(0x4E05), None, "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in L.language_report(spark, docs).collect()}
+    assert all(got[d].lang_pred == lang and got[d].score > 0.5 for d, _, lang, _ in data if lang)
+    assert got[5002].lang_pred == "zh" and got[5002].score > 0
+    assert (got[5000].lang_pred, got[5000].score) == ("und", 0.0)
+    kept = {r.doc_id for r in L.keep_known_languages(spark, docs).collect()}
+    assert kept == {r[0] for r in data} - {5001}
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    data = [(10 * i + j, "".join(map(chr, range(0x4E00 + 20 * i, 0x4E00 + 20 * i + 20))), f"l{i:03}", "s") for i in range(140) for j in range(10)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = L.language_report(spark, docs).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang and score > 0.9").count() == len(data)
+
+
+def test_rarest_ngrams_go_first_when_the_slots_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_GRAMS", 2000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.learn(docs.where(~L.held_out()))
+    rows = docs.where(L.held_out()).select("text", "lang").collect()
+    pred, score = model.predict([r.text for r in rows])
+    assert np.mean([p == r.lang for p, r in zip(pred, rows, strict=True)]) > 0.97 and min(score) > 0
