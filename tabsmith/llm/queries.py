@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, context_tree, decontaminate, langid, licenses, main_text, quality_rules, secrets, sharding, spm_tokens
+from . import (
+    bagminhash,
+    context_tree,
+    decontaminate,
+    digest_merge,
+    langid,
+    licenses,
+    main_text,
+    quality_rules,
+    secrets,
+    sharding,
+    spm_tokens,
+)
 from .common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +66,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_tokens.token_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_merge.duplicate_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_main_text": op2_main_text,
@@ -65,10 +81,12 @@ QUERIES: dict[str, QueryFn] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_exact_duplicates": op12_exact_duplicates,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.REPORT_SQL,
     "op7_license_scan": licenses.REPORT_SQL,
     "op9_decontamination": decontaminate.REPORT_SQL,
+    "op12_exact_duplicates": digest_merge.REPORT_SQL,
 }
