@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bagminhash,
+    collocations,
     context_tree,
     decontaminate,
     digest_merge,
@@ -70,6 +71,10 @@ def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_merge.duplicate_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocation_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_main_text": op2_main_text,
@@ -82,6 +87,7 @@ QUERIES: dict[str, QueryFn] = {
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_exact_duplicates": op12_exact_duplicates,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.REPORT_SQL,
     "op9_decontamination": decontaminate.REPORT_SQL,
     "op12_exact_duplicates": digest_merge.REPORT_SQL,
+    "op13_collocations": collocations.REPORT_SQL,
 }
