@@ -294,7 +294,7 @@ cuts as (
            (1000::hugeint * c.a * n) // (l.f::hugeint * r.f) as score
     from (select *, unnest(range(1, k)) as cut from c) c
     join f as l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:cut], ' ')
-    join f as r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1:k], ' ')
+    join f as r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1:c.k], ' ')
     join totals on totals.lang = c.lang),
 lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
 kept as (select lowest.* from lowest left join closed on closed.lang = lowest.lang and closed.part = lowest.phrase where closed.part is null),
