@@ -4,10 +4,10 @@ A shard is the text of one language in about ``SHARD_BYTES`` of one input partit
 numbers each shard's words.  Counts then go through three sums across shards, and each sum tells the shards what can
 still be part of a phrase of ``LEAST`` occurrences:
 
-1. words: (lang, word, count) of every shard, summed; the frequent ones get a number;
+1. words: a shard's words go, packed by a hash, to blocks of about ``BLOCK``, whose tasks sum them, number the frequent ones and
+   answer each shard with the numbers of its own;
 2. pairs: a shard's index over its frequent words (all others separate) is extended by one word; the
-   pairs go packed, by a hash, to blocks of about ``BLOCK`` pairs, whose tasks sum them and answer each shard
-   with those of its pairs that are frequent;
+   pairs go to blocks in the same way, and each shard hears which of its pairs are frequent;
 3. phrases of three to ``WIDTH`` words: a shard's index over the text cut at every pair that is not frequent is extended
    to the left and to the right in turn, both transforms' intervals in step, and the counts are summed.
 
@@ -29,7 +29,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import hash_rank
 from ..session import scratch_path
 from .common import cut, few_rows, small_batches
 from .shingles import mix64
@@ -38,12 +37,14 @@ from .word_index import WordIndex, number_words, plain_bytes
 LEAST = 100
 WIDTH = 5
 TOP = 2000
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 32_000_000
 BLOCK = 1_000_000
 SHARDS_AT_ONCE = 2
 TOP_SALTS = 64
 UNIT_SCHEMA = "shard long, lang string, words array<string>, counts array<long>, seq binary"
 PACKED = "block long, shard long, keys binary, counts binary"
+WORD_BLOCKS = "block long, shard long, lang string, words array<string>, counts array<long>, places array<long>"
+WORD_SUMS = "shard long, lang string, words array<string>, f array<long>, ids array<long>, places array<long>"
 VERDICT = "shard long, keys binary, a array<long>, b array<long>, f array<long>"
 _U = np.uint64
 _LOW = _U(32)
@@ -86,21 +87,70 @@ def text_units(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BY
     return spark.read.schema(UNIT_SCHEMA).parquet(path)
 
 
-def frequent_words(spark: SparkSession, units: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f, id) of the words with ``least`` occurrences in their language; id counts from 1."""
-    flat = units.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    sums = flat.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
-    kept = cut(spark, sums.where(F.col("f") >= least), "words")
-    return cut(spark, hash_rank(kept, ["lang", "word"], rank_col="id"), "word-ids")
-
+def _word_blocks(blocks: int):
+    def word_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                words = np.asarray(row.words, dtype=object)
+                block = (mix64(pd.util.hash_array(words, categorize=False) + _U(len(row.lang))) % _U(blocks)).astype(np.int64)
+                places = np.argsort(block, kind="stable")
+                at, ends = _runs(block[places])
+                yield pd.DataFrame(
+                    {
+                        "block": block[places][at],
+                        "shard": row.shard,
+                        "lang": row.lang,
+                        "words": [words[places[i:j]] for i, j in zip(at, ends)],
+                        "counts": [row.counts[places[i:j]] for i, j in zip(at, ends)],
+                        "places": [places[i:j] for i, j in zip(at, ends)],
+                    }
+                )
 
-def _with_ids(units: DataFrame, words: DataFrame) -> DataFrame:
-    """The shards with the places (in their list of words) and ids of their frequent words."""
-    flat = units.select("shard", "lang", F.posexplode("words").alias("place", "word"))
-    found = flat.join(words.select("lang", "word", "id"), ["lang", "word"])
-    lists = found.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))  # at most the shard's words
-    lists = cut(units.sparkSession, lists.select("shard", F.col("known.place").alias("places"), F.col("known.id").alias("ids")), "known")
-    return units.select("shard", "lang", F.size("words").alias("n_words"), "seq").join(lists, "shard")
+    return word_blocks
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds of the runs of equal values."""
+    at = np.flatnonzero(np.diff(values, prepend=-1))
+    return at, np.append(at[1:], len(values))
+
+
+def _sum_words(blocks: int, least: int):
+    def sum_words(rows: pd.DataFrame) -> pd.DataFrame:
+        out, made = [], 0
+        block = int(rows["block"].iloc[0])
+        for lang, part in rows.groupby("lang"):
+            codes, distinct = pd.factorize(np.concatenate(part["words"].tolist()))
+            f = np.zeros(len(distinct), dtype=np.int64)
+            np.add.at(f, codes, np.concatenate(part["counts"].tolist()))
+            often = f >= least
+            ids = np.zeros(len(distinct), dtype=np.int64)
+            ids[often] = (made + np.arange(often.sum())) * blocks + block + 1  # each block has numbers of its own
+            made += int(often.sum())
+            out.append((None, lang, distinct[often], f[often], ids[often], None))
+            end = 0
+            for shard, places in zip(part["shard"], part["places"]):
+                start, end = end, end + len(places)
+                mine = ids[codes[start:end]]
+                if mine.any():
+                    out.append((shard, lang, None, None, mine[mine > 0], places[mine > 0]))
+        return pd.DataFrame(out, columns=["shard", "lang", "words", "f", "ids", "places"]).astype({"shard": "Int64"})
+
+    return sum_words
+
+
+def number_frequent_words(spark: SparkSession, units: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(words, known): (lang, word, f, id) of the words with ``least`` occurrences in their language, id from 1; and the
+    shards with the places (in their list of words) and ids of their frequent words."""
+    total = units.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = total // BLOCK + 1
+    rows = units.select("shard", "lang", "words", "counts").mapInPandas(_word_blocks(blocks), WORD_BLOCKS)
+    sums = cut(spark, rows.groupBy("block").applyInPandas(_sum_words(blocks, least), WORD_SUMS), "words")
+    flat = sums.where("shard is null").select("lang", F.explode(F.arrays_zip("words", "f", "ids")).alias("w"))
+    words = flat.select("lang", F.col("w.words").alias("word"), F.col("w.f").alias("f"), F.col("w.ids").alias("id"))
+    lists = sums.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("places", "ids")).alias("k"))  # at most the shard's words
+    lists = lists.select("shard", F.flatten("k.places").alias("places"), F.flatten("k.ids").alias("ids"))
+    return words, units.select("shard", "lang", F.size("words").alias("n_words"), "seq").join(lists, "shard")
 
 
 def _known_sequence(row) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +185,7 @@ def _pairs(blocks: int):
                 block = (mix64(keys.copy()) % _U(blocks)).astype(np.int64)
                 order = np.lexsort((keys, block))
                 keys, counts, block = keys[order], counts[order].astype(np.uint32), block[order]
-                at = np.flatnonzero(np.diff(block, prepend=-1))
-                ends = np.append(at[1:], len(block))
+                at, ends = _runs(block)
                 yield pd.DataFrame(
                     {
                         "block": block[at],
@@ -207,13 +256,13 @@ def _phrases(width: int):
 def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, totals, phrases): frequent words with ids; n of each lang; (lang, ids, f) of all phrases of up to ``width`` words with ``least`` occurrences."""
     units = text_units(spark, docs, shard_bytes)
-    words = frequent_words(spark, units, least)
+    with few_rows(spark, SHARDS_AT_ONCE):
+        words, known = number_frequent_words(spark, units, least)
     count = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
     totals = cut(spark, units.groupBy("lang").agg(F.sum(count).alias("n")), "totals")
     size = words.agg(F.sum("f"), F.max("id")).first()
     if (size[1] or 0) >= 1 << 32:
         raise ValueError("more than 2^32 frequent words: two of them no longer fit into one 64-bit key")
-    known = _with_ids(units, words)
     blocks = (size[0] or 0) // BLOCK + 1
     packed = known.mapInPandas(_pairs(blocks), PACKED)
     with few_rows(spark, SHARDS_AT_ONCE):
@@ -286,7 +335,7 @@ f as (select lang, k, phrase, count(*) as f from grams group by all),
 totals as (select lang, sum(f) as n from f where k = 1 group by lang),
 c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 100),
 closed as (
-    select distinct lang, part from (
+    select distinct x.lang, part from (
         select c.lang, c.a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) as part from c where k > 2) x
     join c as short on short.lang = x.lang and short.phrase = x.part and 100 * x.a >= 100 * short.a),
 cuts as (
