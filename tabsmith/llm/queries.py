@@ -10,6 +10,7 @@ from . import (
     bagminhash,
     collocations,
     context_tree,
+    conversation_trie,
     decontaminate,
     digest_merge,
     langid,
@@ -67,6 +68,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_tokens.token_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie_report(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_merge.duplicate_report(spark, read_table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_exact_duplicates": op12_exact_duplicates,
     "op13_collocations": op13_collocations,
 }
@@ -94,6 +100,7 @@ ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.REPORT_SQL,
     "op7_license_scan": licenses.REPORT_SQL,
     "op9_decontamination": decontaminate.REPORT_SQL,
+    "op11_conversation_trie": conversation_trie.REPORT_SQL,
     "op12_exact_duplicates": digest_merge.REPORT_SQL,
     "op13_collocations": collocations.REPORT_SQL,
 }
