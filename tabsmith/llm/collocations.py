@@ -9,7 +9,7 @@ still be part of a phrase of ``LEAST`` occurrences:
 2. pairs: a shard's index over its frequent words (all others separate) is extended by one word; the
    pairs go to blocks in the same way, and each shard hears which of its pairs are frequent;
 3. phrases of three to ``WIDTH`` words: a shard's index over the text cut at every pair that is not frequent is extended
-   to the left and to the right in turn, both transforms' intervals in step, and the counts are summed.
+   to the left and to the right in turn, both transforms' intervals in step, and the counts are summed in blocks.
 
 No phrase is lost: one of ``LEAST`` occurrences has only words and pairs of as many.  The phrases' scores,
 cuts and ranks are Spark joins on the summed tables.
@@ -219,9 +219,7 @@ def _sum_block(least: int):
     return sum_block
 
 
-def _phrases(width: int):
-    columns = [f"w{k}" for k in range(1, width + 1)]
-
+def _phrases(width: int, blocks: int):
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -243,14 +241,45 @@ def _phrases(width: int):
                 local = np.searchsorted(np.concatenate([[0], there]), seq)
                 ids = np.concatenate([[0], ids[there]])
                 index = WordIndex(local, len(ids), width)
-                found = index.words()
+                found, keys, counts = index.words(), [], []
                 for n in range(2, width + 1):
                     found = index.extend(*found, right=n % 2 == 1)
-                    if n > 2 and len(found[2]):
-                        out = {c: ids[found[0][:, k]] if k < n else np.zeros(len(found[2]), np.int64) for k, c in enumerate(columns)}
-                        yield pd.DataFrame({"lang": row.lang, **out, "f": found[2]})
+                    if n > 2:
+                        keys.append(np.pad(ids[found[0]].astype(np.uint32), ((0, 0), (0, width - n))))
+                        counts.append(found[2].astype(np.uint32))
+                keys, counts = np.concatenate(keys), np.concatenate(counts)
+                if not len(keys):
+                    continue
+                mixed = np.zeros(len(keys), dtype=_U)
+                for k in range(width):
+                    mixed = mix64(mixed ^ keys[:, k].astype(_U))
+                block = (mixed % _U(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                keys, counts, block = keys[order], counts[order], block[order]
+                at, ends = _runs(block)
+                yield pd.DataFrame(
+                    {
+                        "block": block[at],
+                        "keys": [keys[i:j].tobytes() for i, j in zip(at, ends)],
+                        "counts": [counts[i:j].tobytes() for i, j in zip(at, ends)],
+                    }
+                )
+
+    return phrases
+
+
+def _sum_phrases(width: int, least: int):
+    def sum_phrases(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in rows["counts"]]).astype(np.int64)
+        keys = np.frombuffer(b"".join(rows["keys"]), dtype=np.dtype((np.void, 4 * width)))
+        distinct, where = np.unique(keys, return_inverse=True)
+        f = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(f, where, counts)
+        often = f >= least
+        ids = np.frombuffer(distinct[often].tobytes(), dtype=np.uint32).reshape(-1, width).astype(np.int64)
+        return pd.DataFrame({"ids": pd.Series([x[x > 0] for x in ids], dtype=object), "f": f[often]})
 
-    return phrases, ", ".join(["lang string", *(f"{c} long" for c in columns), "f long"]), columns
+    return sum_phrases
 
 
 def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -269,16 +298,14 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, w
         verdicts = cut(spark, packed.groupBy("block").applyInPandas(_sum_block(least), VERDICT), "pairs")
     pairs = verdicts.where("shard is null").select(F.explode(F.arrays_zip("a", "b", "f")).alias("p"))
     answer = verdicts.where("shard is not null").groupBy("shard").agg(F.collect_list("keys").alias("pairs"))  # at most the shard's pairs
-    map_phrases, schema, columns = _phrases(width)
-    rows = known.join(answer, "shard").mapInPandas(map_phrases, schema)
-    longer = rows.groupBy("lang", *columns).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    ids = F.filter(F.array(*columns), lambda x: x > 0)
-    longer = longer.select("lang", ids.alias("ids"), "f")
+    occurrences = pairs.agg(F.sum("p.f")).first()[0] or 0
+    rows = known.join(answer, "shard").mapInPandas(_phrases(width, occurrences // BLOCK + 1), "block long, keys binary, counts binary")
+    longer = rows.groupBy("block").applyInPandas(_sum_phrases(width, least), "ids array<long>, f long")
+    many = pairs.select(F.array("p.a", "p.b").alias("ids"), F.col("p.f").alias("f")).union(longer)
+    many = many.join(words.select("id", "lang"), F.col("ids")[0] == F.col("id")).select("lang", "ids", "f")
     single = words.select("lang", F.array("id").alias("ids"), "f")
-    double = pairs.join(words.select(F.col("id").alias("a"), "lang"), F.col("p.a") == F.col("a"))
-    double = double.select("lang", F.array("p.a", "p.b").alias("ids"), F.col("p.f").alias("f"))
     with few_rows(spark, SHARDS_AT_ONCE):
-        return words, totals, cut(spark, single.union(double).union(longer), "phrases")
+        return words, totals, cut(spark, single.union(many), "phrases")
 
 
 def _lowest_cut(phrases: DataFrame, totals: DataFrame) -> DataFrame:
