@@ -50,7 +50,9 @@ def test_entry_smoke(spark):
     assert set(mod.oracle_sql()) <= set(mod.queries())
 
 
-@pytest.mark.parametrize("name", ["evaluate_multiclass", "predict_test", "submission_summary"])
+SLOW = {"evaluate_regression", "evaluate_binary"}  # boosted trees at their full budget
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_rows_only_queries_run(spark, name):
-    assert name not in ORACLES
     assert QUERIES[name](spark, SF).count() >= 1
