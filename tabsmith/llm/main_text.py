@@ -4,8 +4,8 @@ A page is parsed into a small tree (implied end tags, unclosed and stray tags al
 are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments) are left out by tag, role and the words of class and id.  Every paragraph gives points
 for its length and commas to its ancestors, less with each level; an ancestor's sum is discounted
-by its link density.  The best container is kept with its siblings that score well or read
-like text; inside an ``article`` or ``main`` element the whole element is kept.
+by its link density.  The best container is kept, or the outermost ``article`` or ``main`` element around it, with its
+siblings that score well or read like text.  Class and id words count by whole names.
 
 The text comes out block by block: character references decoded, white space of a block
 turned into one blank, blocks joined by a line end.
@@ -17,6 +17,7 @@ page of any length is read whole; rows are independent, so repeated rows and oth
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,18 +49,37 @@ NEVER_TAGS = frozenset(
     "object embed audio video dialog menu".split()
 )
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NEVER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|notices?|alerts?|popups?|modals?|overlay|navbar|nav|navigation|menus?|"
-    r"breadcrumbs?|sidebars?|side|footers?|foot|headers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|login|signup|search|pagination|pager|toolbar|skip|widgets?|forms?)(?=$|[\s_-])",
-    re.I,
+# Words of class and id names: what stands beside an article, what is set into one, and words that say nothing.
+BESIDE_WORDS = frozenset(
+    "banner overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side footer foot header masthead topbar related recommended "
+    "recommendations login signup search pagination pager toolbar skip widget widgets form forms".split()
 )
+INSET_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert alerts popup "
+    "popups modal modals comment comments commentlist disqus reply replies respond discussion share sharing social newsletter subscribe "
+    "subscription".split()
+)
+PLAIN_WORDS = frozenset(
+    "the site page main top bottom left right list item items box block wrapper wrap container area section bar links link group inner outer "
+    "content global primary secondary sticky fixed mobile desktop thread tree unit slot".split()
+)
+TEXT_TAGS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6".split())
 ARTICLE_NAMES = frozenset("article articlebody post entry story content main".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+STOP = re.compile("[>\"']")
+MAX_DEPTH = 512  # deeper elements stay siblings, as in browsers
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+SIBLINGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body".split())
 
 
+def _unlikely(name: str, tag: str) -> bool:
+    """Whether a whole name says that an element is no article text: "ad", "site-footer" or "comment-list", not "related-work"."""
+    words = set(re.split("[-_]+", name)) - {""}
+    telling = words & (INSET_WORDS if tag in TEXT_TAGS else INSET_WORDS | BESIDE_WORDS)
+    return bool(telling) and words - telling <= PLAIN_WORDS
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "never", "named", "score", "chars", "link_chars")
 
@@ -72,9 +92,7 @@ class Node:
             found = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)}
             role = found.get("role", "").lower()
             names = f"{found.get('class', '')} {found.get('id', '')}".split()
-            # "with-sidebar" tells what an element goes with, "comment-body" what it is; a plain "content" speaks for it
-            unlikely = any(NEVER_WORDS.search(n) and not re.match("(?:has|with|no)[-_]", n, re.I) for n in names)
-            unlikely = unlikely and ARTICLE_NAMES.isdisjoint(n.lower() for n in names)
+            unlikely = any(_unlikely(n.lower(), tag) for n in names) and ARTICLE_NAMES.isdisjoint(n.lower() for n in names)
             self.named = (self.named or role == "article") and not unlikely
             self.named = self.named or role == "main" or found.get("itemprop", "").lower() == "articlebody"
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
@@ -82,47 +100,95 @@ class Node:
                 self.never = True
 
 
+class TagEnds:
+    """Where tags end: the first ">" outside quotes.  Every place is passed once in vain at most, so broken pages take linear time."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.vain: set[int] = set()  # places outside quotes from which no end follows
+        self.lost: set[str] = set()  # characters that do not come again
+
+    def find(self, pos: int) -> int:
+        passed = []
+        while True:
+            m = STOP.search(self.page, pos) if ">" not in self.lost else None
+            if m is None or m.start() in self.vain:
+                break
+            if m[0] == ">":
+                return m.end()
+            passed.append(m.start())
+            end = -1 if m[0] in self.lost else self.page.find(m[0], m.end())
+            if end < 0:
+                self.lost.add(m[0])
+                break
+            pos = end + 1
+        if m is None:
+            self.lost.add(">")
+        self.vain.update(passed)
+        return -1
+
+
 def parse(page: str) -> Node:
     root = at = Node("#root", None, "")
     depth, pos, size = 0, 0, len(page)
+    ends = TagEnds(page)
+    opened: Counter[str] = Counter()
+
+    def leave(node: Node) -> Node:
+        """Close all elements up to and with ``node``."""
+        nonlocal depth
+        inner = at
+        while inner is not node.parent:
+            opened[inner.tag] -= 1
+            inner, depth = inner.parent, depth - 1
+        return inner
+
     while pos < size:
         m = TOKEN.match(page, pos)
-        pos = m.end()
+        begin, pos = m.end(), m.end()
         tag = m[2]
         if tag is None:
             text = m[0]
             if not (text.startswith("<") and len(text) > 1):
                 at.children.append(unescape(text))
             continue
+        pos = ends.find(begin)
+        if pos < 0:  # no tag, but a sign
+            pos = m.start() + 1
+            at.children.append("<")
+            continue
+        attrs = page[begin : pos - 1]
         tag = tag.lower()
         if m[1]:
-            node, up = at, 0
-            while node is not root and node.tag != tag:
-                node, up = node.parent, up + 1
-            if node is not root:
-                at, depth = node.parent, depth - up - 1
+            if opened[tag] > 0:
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(node)
             continue
         closes = IMPLIED.get(tag) or (({"p"}, {"td", "th", "table", "button", "object"}) if tag in BLOCK else None)
-        if closes:
-            node, up, stop = at, 0, None
+        if closes and any(opened[c] > 0 for c in closes[0]):
+            node, stop = at, None
             while node is not root and node.tag not in closes[1]:
                 if node.tag in closes[0]:
-                    stop = (node, up)
+                    stop = node
                     if tag not in ("tr",):
                         break
-                node, up = node.parent, up + 1
+                node = node.parent
             if stop:
-                at, depth = stop[0].parent, depth - stop[1] - 1
-        node = Node(tag, at, m[3])
+                at = leave(stop)
+        node = Node(tag, at, attrs)
         at.children.append(node)
         if tag in RAW:  # its content runs to the matching end tag, whatever it holds
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, pos)
+            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, pos)
+            after = page.find(">", end.end()) + 1 if end else 0
             if tag in ("textarea", "title", "xmp"):
-                node.children.append(unescape(page[pos : end.start() if end else size]))
-            pos = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag != "hr":
-            if depth < 5000:  # deeper elements stay siblings
+                node.children.append(unescape(page[pos : end.start() if after else size]))
+            pos = after or size
+        elif tag not in VOID and not attrs.endswith("/") or tag in BLOCK and tag != "hr":
+            if depth < MAX_DEPTH:
                 at, depth = node, depth + 1
+                opened[tag] += 1
     return root
 
 
@@ -172,21 +238,24 @@ def _score(root: Node) -> list[Node]:
 def _containers(root: Node) -> list[Node]:
     order = _score(root)
     best = max(order, key=lambda n: n.score)  # the first in page order on a tie
-    node = best
-    while node is not None:
+    container, node = best, best
+    while node is not None:  # the outermost article or main element around it speaks for all it holds
         if node.named:
-            return [node]
+            container = node
         node = node.parent
-    if best.score <= 0 or best.tag in ("#root", "html", "body"):
+    if not container.named and (best.score <= 0 or best.tag in ("#root", "html", "body")):
         return [best if best.score > 0 else root]
+    if container.parent is None:
+        return [container]
     least = max(10.0, best.score * 0.2)
+    beside = container.parent.tag in ("body", "html", "#root")  # at the top of a page stands much else
     out = []
-    for c in best.parent.children:
-        if c is best:
+    for c in container.parent.children:
+        if c is container:
             out.append(c)
         elif isinstance(c, Node) and not c.never and c.chars:
-            density = c.link_chars / c.chars
-            if c.score >= least or (c.tag == "p" or re.fullmatch("h[1-6]", c.tag)) and density < 0.25:
+            low = c.link_chars < 0.25 * c.chars
+            if c.named or c.score >= least or low and (c.tag in SIBLINGS and not container.named or not beside):
                 out.append(c)
     return out
 

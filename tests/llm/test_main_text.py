@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -54,6 +55,35 @@ def test_siblings_of_the_best_container_are_kept():
     assert main_text(f"<html><body><header>h</header><div>{page}</div></body></html>") == "\n".join(["Head", (LONG * 4).strip(), (LONG * 3).strip()])
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<main><article><p>{LONG}</p></article><div><p>Rest of it.</p></div></main>", f"{LONG.strip()}\nRest of it."),
+        (f"<body><article><p>{LONG}</p></article><article><p>Second part.</p></article><div>Imprint</div></body>", f"{LONG.strip()}\nSecond part."),
+        (f"<article><p>{LONG}</p><p class='form'>kept</p><div class='related-work'><p>kept too</p></div><div class='site-footer'>no</div></article>",
+         f"{LONG.strip()}\nkept\nkept too"),
+        (f"<div><div class='content'><p>{LONG * 3}</p></div><div class='content'><ul><li>a<li>b</ul></div></div>", f"{(LONG * 3).strip()}\na\nb"),
+        (f"<article><p>{LONG}</p><p class='ad'>no</p><div class='comment-list'><p>{LONG * 3}</p></div></article>", LONG.strip()),
+    ],
+)
+def test_articles_in_several_containers_and_odd_names(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div ", "<x '", "<x \"", "<x ' <y \" ", "</script", "<script></script", "<p><i>", "</q>", "<div>", "<table><tr><td>", "<!--", "<![", "&"])
+def test_broken_pages_of_a_megabyte_take_seconds(part):
+    n = 1_000_000 // len(part)
+    began = time.perf_counter()
+    main_text("<article><p>" + LONG + part * n)
+    main_text(part * n + f"<p>{LONG}</p>")
+    assert time.perf_counter() - began < 40
+
+
+def test_tags_without_an_end_are_text():
+    assert main_text("<p>a <b 1") == "a <b 1"
+    assert main_text("<p>a <x 'q> b <i>c</i>") == "a <x 'q> b c"
+
+
 def test_long_and_deep_pages():
     n = 3000
     assert main_text("<div>" * 20_000 + f"<p>{LONG}</p>" + "</div>" * 20_000) == LONG.strip()
