@@ -2,15 +2,18 @@
 
 Base patterns (assignment, access key, long hexadecimal run) give spans by position; a wider
 pattern adds candidate tokens.  The SHA-256 of every candidate value is aggregated over the
-whole corpus: distinct repositories and distinct owners that hold it.  A value of few owners
-and repositories is owner-specific and looks live; one that many hold is a copied example.
+whole corpus: distinct repositories and distinct owners that hold it.  Without a column that names the
+repository each distinct text is one, with the least owner of its copies, so copies of a text do not make
+its values common.  A value of few owners and repositories is owner-specific and looks live; one that many
+hold is a copied example.
 A wider candidate that looks live becomes a span of kind ``live``; base spans always stay.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the lengths of the
-pieces and the matches alternate, and their running sum is the position in code points.
+pieces and the matches alternate, and their running sum (by blocks, so that a text of very many matches
+takes time in proportion) is the position in code points.
 
 Defined results: a null text is empty; a null repository or owner counts as one value of its own;
-repeated rows are judged row by row and count once per repository; extra columns are left alone.
+repeated rows are judged row by row and count once per repository; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -41,21 +44,42 @@ WIDE = "[A-Za-z0-9+/_-]{20,}"
 MIN_DISTINCT_CHARS = 10
 
 
+BLOCK = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside a lambda an outer expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, add, levels: int = 3) -> Column:
+    """For every element the total of those before it (0 for the first): totals of blocks, then inside a block, in ``levels`` levels."""
+    total = lambda part: F.aggregate(part, F.lit(0), add)
+    if levels == 1:
+        return F.transform(values, lambda _, i: total(F.slice(values, F.lit(1), i)))
+    blocks = F.floor(F.size(values) / BLOCK).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), blocks), lambda b: total(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+    at = lambda i: F.floor(i / BLOCK).cast("int")
+    inside = lambda first, i: total(F.concat(F.array(F.get(first, at(i))), F.slice(values, at(i) * BLOCK + 1, F.pmod(i, F.lit(BLOCK)))))
+    firsts = _let(sums, lambda s: _before(s, add, levels - 1))
+    return _let(firsts, lambda first: F.transform(values, lambda _, i: inside(first, i)))
+
+
 def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
     """array<struct(start, kind, end, value)> of the leftmost non-overlapping matches, positions in code points."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    lens = F.transform(whole, F.char_length)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), gaps.alias("gaps"))
 
-    def at(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-        before = before + F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        return F.struct(
-            before.alias("start"), F.lit(kind).alias("kind"), (before + F.char_length(m)).alias("end"), F.get(value, i).alias("value")
-        )
+    def placed(f: Column) -> Column:
+        steps = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["whole"])), f["whole"], lambda g, m: g + F.char_length(m))
+        return _let(_let(steps, lambda s: _before(s, lambda a, x: a + x)), lambda before: F.transform(f["whole"], lambda m, i: span(f, before, m, i)))
 
-    return F.when(F.size(whole) > 0, F.transform(whole, at))
+    def span(f: Column, before: Column, m: Column, i: Column) -> Column:
+        start = F.get(before, i) + F.get(f["gaps"], i)
+        value = F.regexp_extract(m, pattern, group) if group else m
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(m)).alias("end"), value.alias("value"))
+
+    return F.when(text.rlike(pattern), _let(found, placed))
 
 
 def _looks_random(value: Column) -> Column:
@@ -86,106 +110,98 @@ def _span_text(spans: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, n_repos, n_owners) of rows (hash, repo, owner): pre-aggregated to one row per hash, repository and owner."""
-    seen = candidates.groupBy("hash", "repo", "owner").agg(F.lit(1).alias("one"))
-    return seen.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
+    """(hash, n_repos, n_owners) of rows (hash, repo, owner): copies of one repository count once, with their least owner."""
+    repos = candidates.groupBy("hash", "repo").agg(F.min("owner").alias("owner"))
+    return repos.groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
 def scan_secrets(
     spark: SparkSession,
     docs: DataFrame,
-    keep: list[str],
     text: str = "text",
-    repo: str = "doc_id",
+    repo: str | None = None,
     owner: str = "source",
     max_live_owners: int = MAX_LIVE_OWNERS,
     max_live_repos: int = MAX_LIVE_REPOS,
 ) -> DataFrame:
-    """The columns ``keep`` of every row with ``secret_base``, ``secret_spans`` (arrays of spans) and ``secret_shared``.
+    """Every row as the struct ``doc`` with ``base``, ``spans`` (arrays of spans) and ``n_shared``, the number of its
+    candidate values that are widely copied.
 
-    ``secret_shared`` counts the row's candidate values that are widely copied.  ``repo`` and ``owner``
-    name the columns that say where a row comes from.
+    ``repo`` and ``owner`` name the columns that say where a row comes from; without ``repo`` each distinct text is a repository.
     """
-    base, wide = find_spans(F.coalesce(F.col(text), F.lit("")))
     missing = F.lit("\x00null")
-    rows = docs.select(
-        *keep,
-        F.coalesce(F.col(repo).cast("string"), missing).alias("__repo"),
-        F.coalesce(F.col(owner).cast("string"), missing).alias("__owner"),
-        base.alias("secret_base"),
-        wide.alias("__wide"),
-    )
-    hashes = F.array_sort(
-        F.array_distinct(F.transform(F.concat("secret_base", "__wide"), lambda s: F.sha2(s["value"].cast("binary"), 256)))
-    )
-    rows = cut(spark, rows.withColumn("__hashes", hashes), "secrets")
-    with_any = F.size("__hashes") > 0
-    candidates = rows.where(with_any).select(F.explode("__hashes").alias("hash"), F.col("__repo").alias("repo"), F.col("__owner").alias("owner"))
+    named = lambda c: F.coalesce(F.col(f"doc.`{c}`").cast("string"), missing)
+    value = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
+    base, wide = find_spans(value)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    place = named(repo) if repo else F.sha2(value.cast("binary"), 256)
+    rows = rows.select("doc", base.alias("base"), wide.alias("wide"), place.alias("repo"), named(owner).alias("owner"))
+    any_span = (F.size("base") > 0) | (F.size("wide") > 0)
+    rows = cut(spark, rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    some = rows.where(any_span)
+    one = some.select("row", "repo", "owner", F.explode(F.concat("base", "wide")).alias("span"))
+    one = one.withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
     shared = (F.col("n_owners") > max_live_owners) | (F.col("n_repos") > max_live_repos)
-    verdict = ownership(candidates).select("hash", shared.alias("shared"))
-    # Rows with the same set of candidate hashes get the same verdicts: the sets, not the rows, meet the hash table.
-    set_key = F.sha2(F.array_join("__hashes", ","), 256)
-    sets = rows.where(with_any).select(set_key.alias("__set"), "__hashes").distinct()
-    one = sets.select("__set", F.explode("__hashes").alias("hash"))
-    salted = one.withColumn("__salt", F.pmod(F.xxhash64("__set"), F.lit(SALTS)))
-    spread = verdict.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    judged = salted.join(spread, ["hash", "__salt"]).where("shared").groupBy("__set").agg(F.collect_set("hash").alias("__shared"))
-    # Many rows can hold one set (copies of a text), and most hold none: both sides are salted.
-    row_salt = F.pmod(F.xxhash64("__repo", "__owner", "__hashes"), F.lit(SALTS))
-    left = rows.withColumn("__set", F.when(with_any, set_key).otherwise(F.concat(F.lit("none"), F.xxhash64("__repo", "__owner")))).withColumn(
-        "__salt", row_salt
-    )
-    right = judged.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    out = left.join(right, ["__set", "__salt"], "left")
-    copied = F.coalesce(F.col("__shared"), F.expr("cast(array() as array<string>)"))
-    digest = lambda s: F.sha2(s["value"].cast("binary"), 256)
-    live = F.filter("__wide", lambda s: ~F.array_contains(copied, digest(s)))
-    return out.select(
-        *keep,
-        "secret_base",
-        F.array_sort(F.concat("secret_base", live)).alias("secret_spans"),
-        F.size(copied).cast("long").alias("secret_shared"),
+    verdict = ownership(one).select("hash", shared.alias("shared"))
+    # A value may stand in a third of all rows: its verdict is copied to SALTS keys and the rows spread over them.
+    salted = one.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    spread = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    judged = salted.join(spread, ["hash", "salt"]).groupBy("row").agg(
+        F.collect_list(F.when((F.col("span.kind") == 3) & ~F.col("shared"), F.col("span"))).alias("live"),
+        F.count_distinct(F.when(F.col("shared"), F.col("hash"))).alias("n_shared"),
     )
+    # Rows without a span, nearly all, are not moved.
+    with_any = some.join(judged, "row").select("doc", "base", F.array_sort(F.concat("base", "live")).alias("spans"), "n_shared")
+    return with_any.union(rows.where(~any_span).select("doc", "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_shared")))
 
 
 def secret_report(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     """One row per document: span counts by kind, digest of the base spans, all spans, copied candidates."""
-    found = scan_secrets(spark, docs, ["doc_id"], **kw)
-    count = lambda k: F.size(F.filter("secret_base", lambda s: s["kind"] == k)).cast("long")
+    found = scan_secrets(spark, docs, **kw)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        "doc_id",
+        F.col("doc.doc_id").alias("doc_id"),
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(_span_text(F.col("secret_base")).cast("binary"), 256).alias("base_sha256"),
-        _span_text(F.col("secret_spans")).alias("spans"),
-        F.size(F.filter("secret_spans", lambda s: s["kind"] == 3)).cast("long").alias("n_live"),
-        F.col("secret_shared").alias("n_shared"),
+        F.sha2(_span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == 3)).cast("long").alias("n_live"),
+        F.col("n_shared").cast("long").alias("n_shared"),
     )
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span (sorted by start) as ``mask``; one that begins inside an earlier one only lengthens it."""
+    parts = F.struct(F.split(text, "").alias("chars"), spans.alias("spans"), _let(F.transform(spans, lambda s: s["end"]), lambda ends: _before(ends, lambda a, x: F.greatest(a, x))).alias("done"))
+
+    def joined(p: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            done = F.get(p["done"], i)
+            kept = F.slice(p["chars"], done + 1, F.greatest(s["start"] - done, F.lit(0)))
+            return F.when(s["start"] >= done, F.concat(F.array_join(kept, ""), F.lit(mask))).otherwise(F.lit(""))
+
+        last = F.aggregate(p["spans"], F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+        tail = F.slice(p["chars"], last + 1, F.size(p["chars"]))
+        return F.concat(F.array_join(F.transform(p["spans"], piece), ""), F.array_join(tail, ""))
+
+    return _let(parts, joined)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, mask: str = MASK, **kw) -> DataFrame:
     """The documents, all rows and columns, with every span of their texts replaced by ``mask``; ``n_chars`` follows."""
-    found = scan_secrets(spark, docs, docs.columns, **kw)
-    spans = F.col("secret_spans")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        # spans are sorted by start; one that begins inside an earlier one only lengthens it
-        new = s["start"] >= acc["at"]
-        piece = F.when(new, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    done = F.aggregate(spans, first, step)
-    clean = F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1)))).otherwise(F.col("text"))
+    found = scan_secrets(spark, docs, **kw)
+    any_span = F.size("spans") > 0
+    clean = F.when(any_span, _masked(F.col("doc.text"), F.col("spans"), mask)).otherwise(F.col("doc.text"))
+    found = found.select("doc", any_span.alias("any_span"), clean.alias("clean"))
     cols = []
     for c in docs.columns:
+        old = F.col(f"doc.`{c}`")
         if c == "text":
-            cols.append(clean.alias("text"))
+            old = F.col("clean")
         elif c == "n_chars":
-            cols.append(F.when(F.size(spans) > 0, F.char_length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
+            old = F.when(F.col("any_span"), F.char_length("clean").cast("long")).otherwise(old)
+        cols.append(old.alias(c))
     return found.select(*cols)
 
 
@@ -212,9 +228,8 @@ c as (
   where kind in (1, 2) or kind = 0 and length(v) >= 12
      or kind = 3 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
         and len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT_CHARS}),
-own as (
-  select v, count(distinct coalesce(cast(doc_id as varchar), chr(1))) as repos, count(distinct coalesce(source, chr(1))) as owners
-  from c join d using (r) group by v),
+repo as (select v, t, min(coalesce(source, chr(1))) as owner from c join d using (r) group by v, t),
+own as (select v, count(*) as repos, count(distinct owner) as owners from repo group by v),
 j as (
   select c.*, own.owners > {MAX_LIVE_OWNERS} or own.repos > {MAX_LIVE_REPOS} as shared,
          ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a || ':' || b as span

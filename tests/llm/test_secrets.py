@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -26,11 +27,13 @@ def wide_spans(text):
 
 def brute(rows):
     """(doc_id, n_assign, n_access, n_hex, base digest, spans, n_live, n_shared) of rows (doc_id, text, source)."""
-    repos, owners = {}, {}
-    for d, t, s in rows:
+    owner_of, repos = {}, {}  # a repository is a distinct text, its owner the least of its copies
+    for _, t, s in rows:
+        owner_of[t] = min(owner_of.get(t, s or ""), s or "")
+    for _, t, _ in rows:
         for x in base_spans(t) + wide_spans(t):
-            repos.setdefault(x[3], set()).add(d)
-            owners.setdefault(x[3], set()).add(s)
+            repos.setdefault(x[3], set()).add(t)
+    owners = {v: {owner_of[t] for t in texts} for v, texts in repos.items()}
     shared = {v for v in repos if len(owners[v]) > S.MAX_LIVE_OWNERS or len(repos[v]) > S.MAX_LIVE_REPOS}
     show = lambda spans: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(spans))
     out = []
@@ -84,6 +87,35 @@ def test_redaction_masks_every_span(spark, table):
     assert not any(base_spans(r.text) for r in rows)
 
 
+def test_copies_of_one_text_do_not_make_its_values_common(spark):
+    rows = [(i, f"key {LIVE} end", f"s{i}") for i in range(9)]
+    found = S.secret_report(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all((r.n_live, r.n_shared) == (1, 0) for r in found)
+
+
+def test_a_text_of_very_many_matches_takes_seconds(spark):
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(30_000)]
+    rows = [(i, f"{i} " + "\n".join(hexes), "a") for i in range(5)] + [(9, "🙂" + " ".join(hexes[:2000]), "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in S.secret_report(spark, df).collect()}
+    assert time.perf_counter() - began < 90
+    assert found[0].n_hex == 30_000 and found[0].base_sha256 == brute(rows[:1])[0][4] and found[0].n_shared == 30_000
+    assert found[9].spans == brute([*rows])[5][5]
+    began = time.perf_counter()
+    clean = S.redact_secrets(spark, df).collect()
+    assert time.perf_counter() - began < 90
+    assert {r.doc_id: r.text.count(S.MASK) for r in clean} == {**dict.fromkeys(range(5), 30_000), 9: 2000}
+
+
+def test_names_of_columns_do_not_clash(spark):
+    names = ["secret_base", "row", "hash", "base", "spans", "doc", "a.b", "live"]
+    df = spark.createDataFrame([(1, f"token={HEX}", "a", *range(8))], ["doc_id", "text", "source", *names])
+    out = S.redact_secrets(spark, df)
+    assert out.columns == df.columns and out.first()[1:] == ("[SECRET]", "a", *range(8))
+    assert S.secret_report(spark, df).first().n_assign == 1
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.secret_report(spark, none).count() == 0 and S.redact_secrets(spark, none).count() == 0
