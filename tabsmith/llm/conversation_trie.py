@@ -112,15 +112,17 @@ def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One digest per node of its blocks' ids, which come in order; only the running hash is held."""
     node, state = None, None
     for batch in batches:
+        done = []
         for k1, k2, ids in zip(batch["k1"], batch["k2"], batch["ids"]):
             if (k1, k2) != node:
                 if node:
-                    yield pd.DataFrame({"k1": [node[0]], "k2": [node[1]], "ends_sha256": [state.hexdigest()]})
+                    done.append((*node, state.hexdigest()))
                 node, state = (k1, k2), hashlib.sha256(ids.encode())
             else:
                 state.update(b"," + ids.encode())
+        yield pd.DataFrame(done, columns=["k1", "k2", "ends_sha256"])
     if node:
-        yield pd.DataFrame({"k1": [node[0]], "k2": [node[1]], "ends_sha256": [state.hexdigest()]})
+        yield pd.DataFrame([(*node, state.hexdigest())], columns=["k1", "k2", "ends_sha256"])
 
 
 def ends_digests(ends: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_and_registration():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "benchmark_decontamination", "secret_scan", "sentencepiece"]
     named = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in named} and "pipeline" in named
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in named} and "pipeline" in named
     assert "pipeline" not in entry.oracle_sql()
 
 
