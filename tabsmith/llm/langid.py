@@ -14,8 +14,8 @@ within it.  The bits are counted per language and corrected for the filter's fal
 with the language's bit, to the power HASHES).  The language of the largest corrected count wins, the first by name
 on a tie; the score is that count's share of the text's places, from 0 to 1.
 
-Defined results: a null text, one without a letter and one without any n-gram of a learned language is ``und``
-with score 0; without any training row every text is ``und``; rows with a null language are not learned from;
+Defined results: a null text and one without a letter is ``und`` with score 0; one with letters but without any
+n-gram of a learned language gets the language learned from the most n-grams, with score 0; without any training row every text is ``und``; rows with a null language are not learned from;
 repeated rows count as often as they occur; other columns are left alone.
 """
 
@@ -132,6 +132,7 @@ def mask_type(languages: int) -> type:
 class LanguageFilter:
     languages: list[str]
     masks: np.ndarray  # one bitmask of languages per slot, or a row of words
+    prior: str = UNDETERMINED  # what a text with letters is taken for if none of its n-grams is known: the language learned from most
 
     def __post_init__(self):
         self.masks = self.masks.astype(mask_type(len(self.languages)), copy=False)  # small masks stay in the processor's cache
@@ -178,7 +179,8 @@ class LanguageFilter:
             best[more], most[more] = b, count[more]
         known &= has_letter
         score = np.where(known, np.clip(most / np.maximum(total, 1), 0, 1), 0.0)
-        pred = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
+        unseen = np.where(has_letter, self.prior, UNDETERMINED)
+        pred = [self.languages[b] if ok else str(other) for b, ok, other in zip(best, known, unseen, strict=True)]
         return pred, score.tolist(), has_letter.tolist()
 
 
@@ -249,7 +251,8 @@ def learn(docs: DataFrame) -> LanguageFilter:
             m = r.column(f"w{w}").to_numpy().view(np.uint64).astype(masks.dtype)
             for k in range(HASHES):
                 np.bitwise_or.at(masks[:, w], slots_of(h, k, bits), m)
-    return LanguageFilter(languages, masks[:, 0].copy() if words == 1 else masks)
+    prior = min(languages, key=lambda lang: (-totals[lang], lang))
+    return LanguageFilter(languages, masks[:, 0].copy() if words == 1 else masks, prior)
 
 
 def _predictor(shared: Broadcast):

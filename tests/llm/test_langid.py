@@ -77,7 +77,9 @@ def test_languages_of_rare_ngrams_are_told_and_unseen_letters_kept(spark):
     got = {r.doc_id: r for r in L.language_report(spark, docs).collect()}
     assert all(got[d].lang_pred == lang and got[d].score > 0.5 for d, _, lang, _ in data if lang)
     assert got[5002].lang_pred == "zh" and got[5002].score > 0
-    assert (got[5000].lang_pred, got[5000].score) == ("und", 0.0)
+    # letters without a known n-gram: the language learned from most text, without a score
+    assert got[5000].score == 0.0
+    assert got[5000].lang_pred in ("zh", "ko") and (got[5001].lang_pred, got[5001].score) == ("und", 0.0)
     kept = {r.doc_id for r in L.keep_known_languages(spark, docs).collect()}
     assert kept == {r[0] for r in data} - {5001}
 
@@ -96,3 +98,41 @@ def test_rarest_ngrams_go_first_when_the_slots_are_bounded(spark, monkeypatch):
     rows = docs.where(L.held_out()).select("text", "lang").collect()
     pred, score = model.predict([r.text for r in rows])
     assert np.mean([p == r.lang for p, r in zip(pred, rows, strict=True)]) > 0.97 and min(score) > 0
+
+
+def test_letters_without_a_known_ngram_are_of_the_commonest_language(spark):
+    rows = [(k, "plain english words " * 3, "en", "s") for k in range(20)] + [(k, "deutsche Wörter", "de", "s") for k in range(20, 30)]
+    df = spark.createDataFrame(rows + [(50, "αβγ", None, "s"), (51, "", None, "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.language_report(spark, df).collect()}
+    assert got[50] == ("en", 0.0) and got[51] == ("und", 0.0)
+
+
+def test_prediction_equals_exact_sets(spark):
+    """The filter's decision against sets of n-grams without hashing into slots: places voted by their longest known n-gram."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    model = L.learn(docs)
+    rows = docs.select("text", "lang").where("lang is not null").collect()
+    counts = {}
+    for r in rows:
+        for order in L._places([r.text or ""])[0]:
+            for h in order[order != 0].tolist():
+                counts.setdefault(h, {}).setdefault(r.lang, 0)
+                counts[h][r.lang] += 1
+    total = {}
+    for held in counts.values():
+        for lang, n in held.items():
+            total[lang] = total.get(lang, 0) + n
+    member = {}
+    for h, held in counts.items():
+        share = {lang: n / total[lang] for lang, n in held.items()}
+        member[h] = {lang for lang, x in share.items() if x * L.MAX_RATIO >= max(share.values())}
+    same = 0
+    for r in rows:
+        hashes, bounds, _ = L._places([r.text or ""])
+        votes = dict.fromkeys(sorted(total), 0)
+        for place in zip(*(h.tolist() for h in hashes)):
+            for lang in next((member[h] for h in place if h and h in member), ()):
+                votes[lang] += 1
+        want = max(sorted(votes), key=lambda lang: votes[lang])
+        same += model.predict([r.text or ""])[0][0] == want
+    assert same >= 0.995 * len(rows)
