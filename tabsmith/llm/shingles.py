@@ -90,9 +90,27 @@ def shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return keys & _U((1 << 48) - 1), counts, cuts
 
 
+MOST = 65_535  # what the 16 bits of a count hold
+
+
 def pack(elements: np.ndarray, counts: np.ndarray) -> bytes:
-    """Element and count in one 64-bit word (counts up to 65535 stand; a larger one is held there)."""
-    return ((elements << _U(16)) | np.minimum(counts, 65535).astype(_U)).tobytes()
+    """Element and count in one 64-bit word.
+
+    A larger count than 16 bits hold is dealt to further elements, made from the first, of ``MOST`` each and the rest:
+    lesser and greater counts of two texts then add up to those of the whole element.
+    """
+    if len(counts) and counts.max() > MOST:
+        parts = [(elements, np.minimum(counts, MOST))]
+        step, more = 0, elements
+        while len(more):
+            step += 1
+            above = counts > MOST * step
+            more, rest = elements[above], counts[above] - MOST * step
+            parts.append((mix64(more + _U(step * int(_BASE) % 2**64)) >> _U(16), np.minimum(rest, MOST)))
+        elements, counts = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(elements, kind="stable")
+        elements, counts = elements[order], counts[order]
+    return ((elements << _U(16)) | counts.astype(_U)).tobytes()
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:

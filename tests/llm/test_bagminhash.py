@@ -123,3 +123,20 @@ def test_group_of_variants_near_the_threshold(spark, monkeypatch):
     got = sorted((tuple(r) for r in B.near_duplicate_report(spark, docs).select("doc_id", "class_id").collect()), key=str)
     want = brute_classes(rows)
     assert got == want and 2 < len({c for _, c in want}) < 80
+
+
+@pytest.mark.parametrize("a, b", [(70_000, 90_000), (65_535, 65_536), (200_000, 200_001), (3, 150_000)])
+def test_counts_beyond_sixteen_bits_are_exact(a, b):
+    packed = []
+    for n in (a, b):
+        element, count, _ = shingles(["w " * (n + 4) + "one two three four five six"])
+        packed.append(pack(element, count))
+    both = []
+    for n in (a, b):
+        words = ["w"] * (n + 4) + "one two three four five six".split()
+        both.append(Counter(zip(*(words[k:] for k in range(5)))))
+    want = sum((both[0] & both[1]).values()) / sum((both[0] | both[1]).values())
+    assert weighted_jaccard(*packed) == pytest.approx(want, abs=1e-12)
+    (x, n), (y, m) = B._units(packed[0]), B._units(packed[1])
+    common = len(np.intersect1d(x, y))
+    assert common / (n + m - common) == pytest.approx(want, abs=1e-12)
