@@ -41,6 +41,20 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return cs.read_csv(spark, path)
 
 
+@register(
+    "scan_csv_multiline",
+    """select cast(doc_id as integer) as doc_id, lang, md5(nullif(text, '')) as text_md5, cast(length(text) as integer) as chars,
+       cast(length(text) - length(replace(text, chr(10), '')) as integer) as line_ends from documents""",
+)
+def scan_csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents, whose texts hold line ends, quotes and commas, written as CSV and read split by split."""
+    path = cs.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang"), scratch_path(spark, "csv-lines"))
+    back = cs.read_csv(spark, path, multi_line=True)
+    text = F.coalesce("text", F.lit(""))
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.length(text).alias("chars"), ends.alias("line_ends"))
+
+
 @register("sink_csv_roundtrip", "select * from orders")
 def sink_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written as CSV (header, no index) and read back with the original schema."""

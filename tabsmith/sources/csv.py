@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.quality import q
+from .csv_records import has_open_lines, physical_lines, read_records
 
 # Strings read as missing (pandas' default NA tokens).
 NA_TOKENS = [
@@ -51,12 +52,18 @@ def read_csv(
     *,
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """S1.  ``multi_line``: quoted fields may hold line ends; each file is then read by one task, so it is off by default."""
+    """S1.  ``multi_line``: quoted fields hold line ends; by default one pass over the quote characters finds out.
+
+    Such files are read split by split (``csv_records``), the others by Spark's own reader.
+    """
+    lines = physical_lines(spark, path) if multi_line is not False else None
+    if multi_line or lines is not None and has_open_lines(lines):
+        df = normalize_missing(read_records(spark, lines, schema, list(na_tokens)), na_tokens)
+        return df if schema is not None else numbers_among_missing(df)
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("nanValue", "NaN")
@@ -101,5 +108,7 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False, order_by:
         out = out.orderBy(*[q(c) for c in order_by])
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    # blanks around a value are part of it (Spark's writer would trim them)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.mode("overwrite").option("header", True).option("escape", '"').options(**keep).csv(path)
     return path
