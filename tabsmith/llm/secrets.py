@@ -118,24 +118,25 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan_secrets(
     spark: SparkSession,
     docs: DataFrame,
+    keep: list[str],
     text: str = "text",
     repo: str | None = None,
     owner: str = "source",
     max_live_owners: int = MAX_LIVE_OWNERS,
     max_live_repos: int = MAX_LIVE_REPOS,
 ) -> DataFrame:
-    """Every row as the struct ``doc`` with ``base``, ``spans`` (arrays of spans) and ``n_shared``, the number of its
+    """The columns ``keep`` of every row as the struct ``doc`` with ``base``, ``spans`` (arrays of spans) and ``n_shared``, the number of its
     candidate values that are widely copied.
 
     ``repo`` and ``owner`` name the columns that say where a row comes from; without ``repo`` each distinct text is a repository.
     """
     missing = F.lit("\x00null")
-    named = lambda c: F.coalesce(F.col(f"doc.`{c}`").cast("string"), missing)
-    value = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
+    named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), missing)
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base, wide = find_spans(value)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     place = named(repo) if repo else F.sha2(value.cast("binary"), 256)
-    rows = rows.select("doc", base.alias("base"), wide.alias("wide"), place.alias("repo"), named(owner).alias("owner"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(doc.alias("doc"), base.alias("base"), wide.alias("wide"), place.alias("repo"), named(owner).alias("owner"))
     any_span = (F.size("base") > 0) | (F.size("wide") > 0)
     rows = cut(spark, rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     some = rows.where(any_span)
@@ -157,7 +158,7 @@ def scan_secrets(
 
 def secret_report(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     """One row per document: span counts by kind, digest of the base spans, all spans, copied candidates."""
-    found = scan_secrets(spark, docs, **kw)
+    found = scan_secrets(spark, docs, ["doc_id"], **kw)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         F.col("doc.doc_id").alias("doc_id"),
@@ -190,7 +191,7 @@ def _masked(text: Column, spans: Column, mask: str) -> Column:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, mask: str = MASK, **kw) -> DataFrame:
     """The documents, all rows and columns, with every span of their texts replaced by ``mask``; ``n_chars`` follows."""
-    found = scan_secrets(spark, docs, **kw)
+    found = scan_secrets(spark, docs, docs.columns, **kw)
     any_span = F.size("spans") > 0
     clean = F.when(any_span, _masked(F.col("doc.text"), F.col("spans"), mask)).otherwise(F.col("doc.text"))
     found = found.select("doc", any_span.alias("any_span"), clean.alias("clean"))
