@@ -212,13 +212,15 @@ def evaluate_candidates(
         """Fit every candidate on one side and store its predictions of the other."""
         if fit_rows is not None and fit_rows < n_fit:
             fit_on, n_fit = sm.stratified_subsample(fit_on, target, [key], fit_rows, seed), fit_rows
-        parts = max(1, -(-n_fit // ROWS_PER_FIT_PARTITION))
+        parts = max(spark.sparkContext.defaultParallelism, -(-n_fit // ROWS_PER_FIT_PARTITION))
         prep = pp.Preprocessor.fit(fit_on, cols, one_hot=one_hot)
         wanted = [c for c in (key, "label", "fold", cols.text, pp.LINEAR, pp.TREE) if c]
         ready = prep.transform(fit_on)
         ready = ready.select(*[q(c) for c in wanted if c in ready.columns]).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
         other = prep.transform(apply_to)
         other = other.select(*[q(c) for c in wanted if c in other.columns])
+        if len(names) > 1:  # each candidate predicts it
+            other = other.persist(StorageLevel.MEMORY_AND_DISK)
 
         def run(name: str) -> None:
             started = time.perf_counter()
@@ -238,6 +240,7 @@ def evaluate_candidates(
                     errors.setdefault(name, f"{type(exc).__name__}: {exc}")
                     log.warning("candidate %s failed on %s", name, side, exc_info=exc)
         ready.unpersist()
+        other.unpersist()
 
     for fold in folds:
         mask = sp.time_split_train_mask(fold, eval_rows, n_splits) if scheme == "time_split" else sp.fold_masks(fold)[0]
