@@ -38,9 +38,10 @@ def hash_key(key_cols: Sequence[str], seed: int | str = 42) -> Column:
 
     Single key:  md5(cast(k as string) || ':42')
     Composite:   md5(concat_ws('|', cast(k1 as string), ...) || ':42')
+    A NULL key hashes as the empty text, so its rows have a place in the order too.
     """
     if len(key_cols) == 1:
-        text = F.col(key_cols[0]).cast("string")
+        text = F.coalesce(F.col(key_cols[0]).cast("string"), F.lit(""))
     else:
         text = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols])
     return F.md5(F.concat(text, F.lit(f":{seed}")))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .quality import q
 from .ranking import hash_key, hash_rank
 
@@ -84,27 +85,47 @@ def stratified_subsample(
     """Per class the quota rows with the smallest hash, then the N smallest overall.
 
     The class counts give each class a hash threshold; rows above it are filtered out before any shuffle, and only the
-    survivors (the sample and a small margin) are ranked.
+    survivors (the sample and a small margin) are written and ranked: the table is read twice, once for its classes only.
     """
-    quotas = class_quota(df, target, n_max)
-    bounds = quotas.select(_class_key(target).alias("_cls"), _near(F.col("quota") / F.col("class_rows"), F.col("class_rows")).alias("_bound"), "quota")
-    marked = df.withColumn("_cls", _class_key(target)).withColumn("_head", _head(key_cols, seed))
-    near = marked.join(bounds, "_cls").where(F.col("_head") < F.col("_bound"))  # one row per class: AQE broadcasts it when small
-    short = near.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).join(bounds, "_cls", "right").where(F.coalesce("n", F.lit(0)) < F.col("quota"))
-    if not short.isEmpty():
-        near = marked.join(bounds, "_cls")
-    near = near.drop("_bound", "_head")
-    ranked = hash_rank(near, key_cols, seed=seed, within=["_cls"], rank_col="_crk")
+    bounds = _written(
+        class_quota(df, target, n_max).select(
+            _class_key(target).alias("_cls"), _near(F.col("quota") / F.col("class_rows"), F.col("class_rows")).alias("_bound"), "quota"
+        ),
+        "classes",
+    )
+    marked = df.withColumn("_cls", _class_key(target)).withColumn("_head", _head(key_cols, seed)).join(bounds, "_cls")
+    near = _survivors(marked.where(F.col("_head") < F.col("_bound")))  # one row per class: AQE broadcasts it when small
+    found = near.groupBy("_cls").agg(F.count(F.lit(1)).alias("n"))
+    both = bounds.join(found, "_cls", "left").agg(F.sum("quota").alias("wanted"), F.max(F.coalesce("n", F.lit(0)) < F.col("quota")).alias("short"))
+    wanted, short = both.first()
+    if short:
+        near = _survivors(marked)
+    ranked = hash_rank(near.drop("_bound", "_head"), key_cols, seed=seed, within=["_cls"], rank_col="_crk")
     kept = ranked.where(F.col("_crk") <= F.col("quota")).drop("_crk", "quota", "_cls")
+    if (wanted or 0) <= n_max:
+        return kept
     return hash_rank(kept, key_cols, seed=seed, rank_col="_grk").where(F.col("_grk") <= F.lit(n_max)).drop("_grk")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A small intermediate table in the shared folder, so that later steps neither compute it again nor lose it with an executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _survivors(near: DataFrame) -> DataFrame:
+    """The rows below the threshold, dealt by hash before they are written: few files however many partitions were read."""
+    return _written(near.repartition("_cls", (F.col("_head") / F.lit(float(1 << 16))).cast("int")), "sample")
+
+
 def random_subsample(df: DataFrame, key_cols: Sequence[str], n_max: int = EVAL_SUBSAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """Exactly min(n, N) rows, the N smallest hashes (``df.sample`` is not exact); only rows near the threshold are ranked."""
     n = df.count()
     if n <= n_max:
         return df
-    near = df.where(_head(key_cols, seed) < _near(F.lit(n_max / n), F.lit(float(n))))
+    head = df.withColumn("_cls", F.lit("")).withColumn("_head", _head(key_cols, seed))
+    near = _survivors(head.where(F.col("_head") < _near(F.lit(n_max / n), F.lit(float(n))))).drop("_cls", "_head")
     if near.count() < n_max:
         near = df
     return hash_rank(near, key_cols, seed=seed, rank_col="_grk").where(F.col("_grk") <= F.lit(n_max)).drop("_grk")

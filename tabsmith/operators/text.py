@@ -61,13 +61,12 @@ def tfidf_vocabulary(df: DataFrame, key: str, text_col: str, max_features: int =
     """A17 + L8: (term, corpus_tf, doc_freq, idf, term_index) for the top ``max_features`` terms.
 
     Each row gives its terms once for every use and once for the document: one shuffle by term, combined
-    map-side, and no text is moved.
+    map-side, and no text is moved.  The two lists stay plain arrays, as a lambda would make a struct per term.
     """
     n_docs = df.count()
-    uses = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    once = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    rows = _term_rows(df, key, text_col).select(F.inline(F.concat(uses, once)))
-    stats = rows.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("doc_freq"))
+    lists = _term_rows(df, key, text_col).select(F.posexplode(F.array("_terms", F.array_distinct("_terms"))).alias("once", "_list"))
+    rows = lists.select("once", F.explode("_list").alias("term"))
+    stats = rows.groupBy("term").agg(F.sum(F.lit(1) - F.col("once")).alias("corpus_tf"), F.sum("once").alias("doc_freq"))
     top = stats.orderBy(F.desc("corpus_tf"), F.asc("term")).limit(max_features)
     idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("doc_freq"))) + F.lit(1.0)
     # the vocabulary is at most max_features rows: the window and later broadcasts are bounded.

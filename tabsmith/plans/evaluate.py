@@ -148,6 +148,7 @@ def evaluate_candidates(
     group_column: str | None = None,
     fit_rows: int | None = None,
     trees: int = md.TREES,
+    growth: str = md.LEVEL,
     one_hot: bool = True,
     vocabulary: int = md.VOCABULARY,
     parallelism: int = 4,
@@ -157,7 +158,8 @@ def evaluate_candidates(
 
     ``key`` identifies rows (default: the first id candidate); it drives the hash-based folds and
     keys the prediction tables.  ``fit_rows`` bounds the rows a classifier is fitted on (those of the least
-    key hash, stratified by class); regressions always use all rows.
+    key hash, stratified by class); regressions always use all rows.  ``growth`` says how boosted trees grow: ``level``, or as
+    their ``family`` defines it (leaf-wise, symmetric).
     """
     spark: SparkSession = train.sparkSession
     test_cols = test.columns if test is not None else None
@@ -228,7 +230,7 @@ def evaluate_candidates(
             if name == md.TEXT:
                 vectors = md.fit_text(ready, cols.text, vocabulary)
                 left, right = vectors(ready), vectors(other)
-            model = md.estimator(name, ttype, n_train=n_fit, n_classes=n_classes, trees=trees).fit(left)
+            model = md.estimator(name, ttype, n_train=n_fit, n_classes=n_classes, trees=trees, growth=growth).fit(left)
             predict(model, right, name).write.mode("overwrite").parquet(f"{artifact}/{side}/candidate={name}")
             log.info("%s %s: %.1f s", name, side, time.perf_counter() - started)
 

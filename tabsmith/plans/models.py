@@ -3,23 +3,28 @@
 Tabular models read the vectors of ``preprocess``: the linear ones the scaled and one-hot form, the
 boosted trees the form with ordinal codes.  The reference's boosted-tree libraries are replaced by ``pyspark.ml``
 trees with the same budget (trees, learning rate, depth, column sampling) under the names they are asked for
-by; scores are not expected to equal those libraries'.  Budgets are parameters with fixed defaults: no
+by; scores are not expected to equal those libraries'.  With ``growth="family"`` lightgbm's trees grow leaf-wise and
+catboost's symmetrically (``boosting``).  Budgets are parameters with fixed defaults: no
 parameter follows the size of the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.exprs import TOKEN_PATTERN
+from . import boosting as bo
 from .preprocess import LINEAR, TREE
 
 # Preset budgets of the reference.
@@ -35,6 +40,14 @@ SEED = 42
 # Histogram memory of one pass over the data: a tree level of these depths fits in one job.
 HISTOGRAM_MB = 512
 
+# Tree growth: level by level in pyspark.ml (faster: its job per level is the cheaper one), or as the family defines it.
+LEVEL, FAMILY = "level", "family"
+# The families' public defaults beside the presets' budgets.
+FAMILY_GROWTH = {
+    "lightgbm": bo.Boosting(growth=bo.LEAF, leaves=31, min_rows=20, min_hessian=1e-3, l2=0.0, columns=0.8),
+    "catboost": bo.Boosting(growth=bo.SYMMETRIC, depth=5, min_rows=1, l2=3.0),
+}
+
 TEXT = "tfidf_linear"
 KNOWN = {"logistic_regression", "linear_regression", TEXT} | {f"{f}_{kind}" for f in DEPTH for kind in ("classifier", "regressor")}
 
@@ -48,9 +61,40 @@ def check_candidate(name: str) -> None:
         raise ValueError(f"Unsupported candidate: {name}")
 
 
-def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, trees: int = TREES):
-    """The unfitted model of a candidate; it reads ``label`` (class index or target value) and its own features column."""
+@dataclass
+class FamilyTrees:
+    """Leaf-wise or symmetric boosted trees with an estimator's ``fit``; more than two classes are fitted one against the rest."""
+
+    params: bo.Boosting
+    n_classes: int = 2
+
+    def fit(self, df: DataFrame):
+        if self.n_classes <= 2:
+            return bo.fit(df, self.params, TREE, LABEL)
+        return OneAgainstRest([bo.fit(df.withColumn(LABEL, (F.col(LABEL) == c).cast("double")), self.params, TREE, LABEL) for c in range(self.n_classes)])
+
+
+@dataclass
+class OneAgainstRest:
+    models: list[bo.BoostedModel]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The class of the highest probability, the first one on ties."""
+        names = [f"_p{c}" for c in range(len(self.models))]
+        for name, model in zip(names, self.models):
+            df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("probability", "prediction")
+        scores = F.array(*names)
+        return df.withColumn("prediction", (F.array_position(scores, F.array_max(scores)) - 1).cast("double")).drop(*names)
+
+
+def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, trees: int = TREES, growth: str = LEVEL):
+    """The unfitted model of a candidate; it reads ``label`` (class index or target value) and its own features column.
+
+    ``growth="family"`` grows the trees of lightgbm leaf-wise and those of catboost symmetrically.
+    """
     check_candidate(name)
+    if growth not in (LEVEL, FAMILY):
+        raise ValueError(f"unsupported growth {growth!r}")
     classification = task_type != "regression"
     family = name.split("_")[0]
     if family not in DEPTH:
@@ -62,6 +106,8 @@ def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, tr
         return LogisticRegression(
             featuresCol=features, labelCol=LABEL, maxIter=rounds, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False
         )
+    if growth == FAMILY and family in FAMILY_GROWTH:
+        return FamilyTrees(replace(FAMILY_GROWTH[family], trees=trees, rate=LEARNING_RATE, seed=SEED, logistic=classification), n_classes if classification else 0)
     budget = dict(
         featuresCol=TREE, labelCol=LABEL, maxIter=trees, stepSize=LEARNING_RATE, maxDepth=DEPTH[family], subsamplingRate=ROW_SAMPLE.get(family, 1.0),
         featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=64, cacheNodeIds=False, maxMemoryInMB=HISTOGRAM_MB,

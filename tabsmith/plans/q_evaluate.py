@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..operators import splits as sp
 from ..operators.ranking import hash_key_sql
 from ..session import scratch_path
 from ..sources.tables import fixture, table, with_views
+from . import boosting as bo
 from . import evaluate as ev
 from . import preprocess as pp
 from .registry import register
@@ -371,6 +373,30 @@ def preset_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", F.round(F.col("t")[0], 6).alias("filled"), F.round(F.col("l")[0], 6).alias("scaled"), code.alias("code"))
 
 
+@register(
+    "boosted_first_split",
+    """
+with x as (select c_custkey, c_nationkey, cast(c_acctbal as double) as y from customer),
+t as (select distinct c_nationkey as cut from x),
+s as (select cut, sum(case when c_nationkey <= cut then y else 0 end) as sl, sum(case when c_nationkey <= cut then 1 else 0 end) as nl,
+             sum(y) as sa, count(*) as na from x cross join t group by cut),
+b as (select cut, sl / nl as below, (sa - sl) / (na - nl) as above from s where nl < na
+      order by sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) desc, cut limit 1)
+select growth, c_custkey, round(case when c_nationkey <= cut then below else above end, 4) as prediction
+from x cross join b cross join (select 'leaf' as growth union all select 'symmetric')""",
+)
+def boosted_first_split(spark: SparkSession, sf: str) -> DataFrame:
+    """M3/M4, M7/M8 in closed form: one tree of one split, grown leaf-wise and symmetrically, predicts the means of its two sides."""
+    df = table(spark, sf, "customer").select(
+        "c_custkey", array_to_vector(F.array(F.col("c_nationkey").cast("double"))).alias("features"), F.col("c_acctbal").cast("double").alias("label")
+    )
+    parts = []
+    for growth in (bo.LEAF, bo.SYMMETRIC):
+        model = bo.fit(df, bo.Boosting(growth=growth, trees=1, rate=1.0, leaves=2, depth=1, min_rows=1))
+        parts.append(model.transform(df).select(F.lit(growth).alias("growth"), "c_custkey", F.round("prediction", 4).alias("prediction")))
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------- full evaluations (rows-only check)
 def _board(res: ev.EvaluationResult) -> DataFrame:
     """The leaderboard with the evaluation report fields (V6/V9) on every row."""
