@@ -160,6 +160,12 @@ def json_object_or_null(col: str | Column, schema: str | T.DataType) -> Column:
     return F.when(c.startswith("{"), F.from_json(c, schema, {"mode": "PERMISSIVE"}))
 
 
+def variant_object_or_null(col: str | Column) -> Column:
+    """F14 without a schema given beforehand: a JSON object as a variant; malformed or non-object input gives NULL."""
+    v = F.try_parse_json(_c(col))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
 def compact_json(col: str | Column) -> Column:
     """compact JSON encoding of a struct/map/array column."""
     return F.to_json(_c(col))

@@ -148,6 +148,28 @@ def archive_members_query(spark: SparkSession, sf: str) -> DataFrame:
     return ar.archive_members(packed, "archive_id", "payload_b64").select("archive_id", "member", "size")
 
 
+_PAYLOAD = "substr(md5(cast(doc_id as string) || ':tar'), 1, 1)"
+
+
+@register(
+    "archive_report",
+    f"""
+select doc_id as archive_id, case when c not in ('0', '1', '2') then 'docs/doc_' || cast(doc_id as varchar) || '.txt' end as member,
+       case when c not in ('0', '1', '2') then octet_length(encode(text)) end as size,
+       case when c = '0' then 'empty' when c in ('1', '2') then 'broken' else 'ok' end as status
+from (select doc_id, text, {_PAYLOAD} as c from documents)""",
+)
+def archive_report_query(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 on damaged payloads (null, no archive, cut off): each has a status row and the others are read."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("docs/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text"
+    )
+    packed = ar.pack_texts(docs, "doc_id", "name", "text")
+    c, payload = F.expr(_PAYLOAD.replace("doc_id", "archive_id")), F.col("payload_b64")
+    damaged = F.when(c == "1", F.lit("not a tar")).when(c == "2", F.substring(payload, 1, 40)).when(c != "0", payload)
+    return ar.archive_report(packed.withColumn("payload_b64", damaged), "archive_id", "payload_b64").drop("content")
+
+
 @register(
     "report_json",
     """

@@ -112,13 +112,13 @@ def base64_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 _PROPS = "case when substr(md5(cast(event_id as string) || ':json'), 1, 1) = '0' then 'not json' else props end"
 
 
-@register(
-    "props_json",
-    f"""
+_PROPS_SQL = f"""
 select event_id, case when {_PROPS} like '{{%' then cast(json_extract({_PROPS}, '$.k') as integer) end as k,
-       case when {_PROPS} like '{{%' then '{{"k":' || cast(cast(json_extract({_PROPS}, '$.k') as integer) as varchar) || '}}' end as compact
-from events""",
-)
+   case when {_PROPS} like '{{%' then '{{"k":' || cast(cast(json_extract({_PROPS}, '$.k') as integer) as varchar) || '}}' end as compact
+from events"""
+
+
+@register("props_json", _PROPS_SQL)
 def props_json(spark: SparkSession, sf: str) -> DataFrame:
     """decode a JSON object column (malformed -> NULL) and re-encode it compactly."""
     ev = table(spark, sf, "events").select("event_id", F.expr(_PROPS).alias("props"))
@@ -126,6 +126,13 @@ def props_json(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select("event_id", obj.getField("k").alias("k"), F.when(obj.isNotNull(), fx.compact_json(obj)).alias("compact"))
 
 
+@register("props_variant", _PROPS_SQL)
+def props_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """F14 as a variant: the field by path and the compact form, no schema given."""
+    ev = table(spark, sf, "events").select("event_id", fx.variant_object_or_null(F.expr(_PROPS)).alias("v"))
+    return ev.select("event_id", F.try_variant_get("v", "$.k", "int").alias("k"), F.to_json("v").alias("compact"))
+
+
 @register(
     "tool_calls",
     """

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 MEMBER_SCHEMA = "archive_id long, member string, size long, content binary"
+REPORT_SCHEMA = MEMBER_SCHEMA + ", status string"
+OK, EMPTY, BROKEN = "ok", "empty", "broken"
+_BROKEN_PAYLOAD = (tarfile.TarError, EOFError, OSError, ValueError, zlib.error)
 
 
 def _safe(m: tarfile.TarInfo) -> bool:
@@ -31,24 +35,41 @@ def _safe(m: tarfile.TarInfo) -> bool:
     return ".." not in name.replace("\\", "/").split("/")
 
 
+def _row(aid, member, data, status: str) -> pd.DataFrame:
+    size = None if data is None else len(data)
+    return pd.DataFrame({"archive_id": pd.array([aid], "Int64"), "member": [member], "size": pd.array([size], "Int64"), "content": [data], "status": [status]})
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One output batch per archive member, so a task holds one archive and one member at a time."""
     for pdf in batches:
         for aid, payload in zip(pdf["archive_id"], pdf["payload_b64"]):
-            # "r|gz" walks the stream once and keeps no list of contents
-            with tarfile.open(fileobj=io.BytesIO(base64.b64decode(payload)), mode="r|gz") as tar:
-                for m in tar:
-                    if _safe(m) and not m.isdir():
-                        data = tar.extractfile(m).read()
-                        yield pd.DataFrame({"archive_id": [int(aid)], "member": [m.name], "size": [len(data)], "content": [data]})
-                    tar.members = []
+            aid = None if pd.isna(aid) else int(aid)
+            if payload is None:
+                yield _row(aid, None, None, EMPTY)
+                continue
+            try:
+                # "r|gz" walks the stream once and keeps no list of contents
+                with tarfile.open(fileobj=io.BytesIO(base64.b64decode(payload)), mode="r|gz") as tar:
+                    for m in tar:
+                        if _safe(m) and not m.isdir():
+                            yield _row(aid, m.name, tar.extractfile(m).read(), OK)
+                        tar.members = []
+            except _BROKEN_PAYLOAD:
+                yield _row(aid, None, None, BROKEN)
+
+
+def archive_report(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """(archive_id, member, size, content, status): every safe regular-file member, and one row without a member for each
+    payload that is null (``empty``) or cannot be read to its end (``broken``; the members before the fault are kept)."""
+    ship_package(df.sparkSession)
+    src = df.select(F.col(id_col).cast("long").alias("archive_id"), F.col(payload_col).alias("payload_b64"))
+    return src.mapInPandas(_members, REPORT_SCHEMA)
 
 
 def archive_members(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(archive_id, member, size, content) for every safe regular-file member."""
-    ship_package(df.sparkSession)
-    src = df.select(F.col(id_col).cast("long").alias("archive_id"), F.col(payload_col).alias("payload_b64"))
-    return src.mapInPandas(_members, MEMBER_SCHEMA)
+    """(archive_id, member, size, content) for every safe regular-file member of the payloads that can be read."""
+    return archive_report(df, id_col, payload_col).where(F.col("status") == OK).drop("status")
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -84,3 +84,25 @@ def test_archive_skips_unsafe_members(spark):
     df = spark.createDataFrame([(1, payload)], "aid long, b64 string")
     got = [(r["member"], r["size"]) for r in ar.archive_members(df, "aid", "b64").collect()]
     assert got == [("home/data/train.csv", 8)]
+
+
+def test_damaged_archives_have_a_status_row(spark):
+    def pack(*names):
+        buf = io.BytesIO()
+        with tarfile.open(fileobj=buf, mode="w:gz") as tar:
+            for name in names:
+                info = tarfile.TarInfo(name)
+                info.size = 3
+                tar.addfile(info, io.BytesIO(b"abc"))
+        return base64.b64encode(buf.getvalue()).decode()
+
+    whole = pack("a", "b")
+    rows = [(1, whole), (2, None), (3, ""), (4, "%%%"), (5, whole[:40]), (6, base64.b64encode(b"no gzip").decode()), (None, whole), (1, whole)]
+    got = ar.archive_report(spark.createDataFrame(rows, "id long, p string"), "id", "p").collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["archive_id"], []).append((r["member"], r["size"], r["status"]))
+    both = [("a", 3, "ok"), ("b", 3, "ok")]
+    assert sorted(by_id.pop(1)) == sorted(both * 2) and by_id.pop(None) == both
+    assert by_id == {2: [(None, None, "empty")], **{i: [(None, None, "broken")] for i in (3, 4, 5, 6)}}
+    assert ar.archive_members(spark.createDataFrame(rows, "id long, p string"), "id", "p").count() == 6
