@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.tables import fixture, table
 from ..streaming import context as cx
+from ..streaming import stateful
 from .q_quality import _QA_BAD_SQL
 from .registry import register
 
@@ -80,6 +81,41 @@ def terminal_guard_stream(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "user_id", "event_type", "rejected")
 
 
+def _files_in_time_order(spark: SparkSession, df: DataFrame, name: str, files: int = 4) -> str:
+    """The table as files of successive spans of time, written one after the other."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    path = scratch_path(spark, name)
+    if ends["lo"] is None:
+        df.write.parquet(path)
+        return path
+    span = (ends["hi"] - ends["lo"]) // files + 1
+    for k in range(files):
+        df.where(F.floor((ts - F.lit(ends["lo"])) / F.lit(span)) == k).write.mode("append").parquet(path)
+    return path
+
+
+@register("terminal_guard_stateful", "select event_id, rejected from (" + _GUARD_SQL + ")")
+def terminal_guard_stateful(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 as one stream of verdicts with state of its own, over files out of order with redelivered events; nothing is joined again."""
+    events = table(spark, sf, "events")
+    src = _shuffled_files(spark, events, "event_id", "t2s-in", files=3)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    # the files are dealt by hash: an event may lag by all the time that the table spans
+    return stateful.run_terminal_guard(stream, scratch_path(spark, "t2s-out"), scratch_path(spark, "t2s-ckpt"), salts=4, lateness="100 years")
+
+
+@register("first_per_context_expiring", _FIRST_SQL.replace("select user_id, ts, event_id from (", "select user_id, event_id from (", 1))
+def first_per_context_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 as a stream with a watermark whose state a timer clears, over files that arrive in the order of time."""
+    events = table(spark, sf, "events")
+    src = _files_in_time_order(spark, events, "t1e-in")
+    # a span's files are read in any order: the lateness covers one span
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(src)
+    first = stateful.run_first_success(stream, scratch_path(spark, "t1e-out"), scratch_path(spark, "t1e-ckpt"), lateness="40 days")
+    return first.select(F.col("context").alias("user_id"), "event_id")
+
+
 @register("streaming_qa", _QA_BAD_SQL)
 def streaming_qa(spark: SparkSession, sf: str) -> DataFrame:
     """Q3 over a broken prediction table that arrives in many small batches: ids repeat across batches, the report is the batch one's."""
