@@ -17,7 +17,7 @@ of key and count; these meet the full tables in a shuffled join.  Keys beyond th
 construction, so no join key is hot.  The model is exact: no context and no word is dropped.
 
 Words stand by 64-bit hashes.  Defined results: a null text is empty and has one token, the end; a null
-doc_id counts as the empty text in the held-out rule; without training rows all counts are zero; every
+doc_id counts as the empty text in the held-out rule; ids keep their type, whole numbers or texts; without training rows all counts are zero; every
 row, repeated or not, is scored; other columns are left alone.
 """
 
@@ -318,6 +318,7 @@ def _scorer(words: Broadcast, runs: Broadcast, depth: int, divisor: float, end:
 
 def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, depth: int = DEPTH, top: int = TOP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of (doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", held_out.alias("held_out"))
     counts = count_keys(spark, docs, ~F.col("held_out"), depth)
     sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n_train").alias("n"), F.count_if(F.col("n_train") > 0).alias("v")).collect()}
@@ -348,7 +349,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out: Column, depth: i
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     score = F.col("score") + zero("more_p")
     return first.drop("words", "word_n", "runs", "run_n").join(rare, "row", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast(kind).alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("n_known") + zero("more_known")).alias("n_known"),

@@ -81,6 +81,15 @@ def test_scores_equal_brute_force(spark, depth, top):
     check(spark, rows, depth, top)
 
 
+def test_ids_keep_their_type(spark):
+    rows = [("doc-a", "one two"), ("07", "two three"), (None, "three")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = C.score_report(spark, docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["07", "None", "doc-a"]
+    assert {r.doc_id: r.held_out for r in got} == {d: fold(d) for d, _ in rows}
+    assert C.score_report(spark, spark.createDataFrame([(5, "x")], "doc_id int, text string")).schema["doc_id"].dataType.simpleString() == "int"
+
+
 def test_no_rows_and_no_training_rows(spark):
     held = [i for i in range(60) if fold(i)]
     check(spark, [(i, "only held out") for i in held], 2, 500_000)
