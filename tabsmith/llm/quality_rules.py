@@ -7,8 +7,9 @@ while the other third says so; the rows it covers leave, and the next rule is gr
 is not precise enough.  The list becomes one ordered Spark ``CASE WHEN`` expression, readable and evaluated
 in the JVM.
 
-The labelled rows for learning are bounded: of more than ``max_labels``, the share ``max_labels`` / n by a hash of
-their id and statistics; statistics and verdicts cover all rows.
+Labelled rows with equal statistics and verdict are one row with a weight, so a document that stands in a third of all rows, or has
+as many labels, is one row and loses none of its weight.  The distinct rows for learning are bounded: of more than ``max_labels``, the
+share ``max_labels`` / n by a hash of their statistics and verdict; statistics and verdicts of texts cover all rows.
 
 Defined results: a null text has no words; labels that are null or have no document teach
 nothing; without labels of both kinds the list is empty and keeps all that the base rule keeps; repeated
@@ -148,21 +149,23 @@ def _covered(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray) -> Rule:
     """Conditions of most gain (positives kept times the rise in log precision), until no negative is covered."""
-    rule, inside = [], np.ones(len(bad), dtype=bool)
+    rule, inside = [], weight > 0
     while len(rule) < MAX_CONDITIONS:
-        p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
+        p0, n0 = int(weight[inside & bad].sum()), int(weight[inside & ~bad].sum())
         if not p0 or not n0:
             break
         best = None
+        y, w = bad[inside], weight[inside]
         for f, v in x.items():
-            values, y = v[inside], bad[inside]
+            values = v[inside]
+            # thresholds by distinct rows, not by weight: a hot row would leave none for the others
             for t in np.unique(np.quantile(values, np.linspace(0, 1, THRESHOLDS), method="nearest")):
                 for above in (True, False):
                     hit = values >= t if above else values <= t
-                    p = int((hit & y).sum())
-                    n = int(hit.sum()) - p
+                    p = int(w[hit & y].sum())
+                    n = int(w[hit].sum()) - p
                     if p and p + n < p0 + n0:
                         gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
                         if best is None or gain > best[0] + 1e-12:
@@ -174,34 +177,41 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return rule
 
 
-def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+def _worth(inside: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
+    """The weights of low and of other quality in a part."""
+    return int(weight[inside & bad].sum()), int(weight[inside & ~bad].sum())
+
+
+def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray) -> Rule:
     """The prefix of the rule with the best (p - n) / (p + n) on rows it was not grown on; the longer on a tie."""
     best = (-2.0, rule)
     for k in range(1, len(rule) + 1):
-        inside = _covered(rule[:k], x)
-        p, n = int((inside & bad).sum()), int((inside & ~bad).sum())
+        p, n = _worth(_covered(rule[:k], x), bad, weight)
         worth = (p - n) / (p + n) if p + n else -1.0
         if worth >= best[0]:
             best = (worth, rule[:k])
     return best[1]
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> list[Rule]:
-    """An ordered list of rules for low quality, by sequential covering."""
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> list[Rule]:
+    """An ordered list of rules for low quality, by sequential covering; each row counts ``weight`` times (once by default).
+
+    About two thirds of each row's weight grow rules, the rest prunes them.
+    """
     rules: list[Rule] = []
-    left = np.ones(len(bad), dtype=bool)
-    part = np.random.default_rng(seed).random(len(bad))
+    weight = np.ones(len(bad), dtype=np.int64) if weight is None else weight
+    left = weight > 0
+    growing = np.random.default_rng(seed).binomial(weight, 2 / 3)
+    pruning = weight - growing
     while len(rules) < MAX_RULES and (left & bad).any() and (left & ~bad).any():
-        grow, prune = left & (part < 2 / 3), left & (part >= 2 / 3)
-        rule = _grow({f: v[grow] for f, v in x.items()}, bad[grow])
+        rule = _grow(x, bad, growing * left)
         if not rule:
             break
-        if prune.any():
-            rule = _prune(rule, {f: v[prune] for f, v in x.items()}, bad[prune])
+        if (pruning * left).any():
+            rule = _prune(rule, x, bad, pruning * left)
         inside = _covered(rule, x) & left
-        p, n = int((inside & bad).sum()), int((inside & ~bad).sum())
-        held = inside & prune
-        hp, hn = int((held & bad).sum()), int((held & ~bad).sum())
+        p, n = _worth(inside, bad, weight)
+        hp, hn = _worth(inside, bad, pruning)
         if p < MIN_COVER or p < MIN_PRECISION * (p + n) or hp < MIN_PRECISION * (hp + hn):
             break
         rules.append(rule)
@@ -226,17 +236,22 @@ def describe(rules: list[Rule]) -> list[str]:
 
 def fit(counted: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> list[Rule]:
     """Learn from rows of ``counted`` (doc_id, COUNTS) that ``labels`` (doc_id, quality) covers and that the base rule lets pass."""
-    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
-    rows = counted.where(~base_failed()).join(known, "doc_id")
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id", (F.col("quality") == 0).alias("bad"))
+    known = known.agg(F.count(F.lit(1)).alias("n_labels"))
+    texts = counted.where(~base_failed()).groupBy("doc_id", *COUNTS).agg(F.count(F.lit(1)).alias("n_rows"))
+    weight = F.sum(F.col("n_labels") * F.col("n_rows")).alias("weight")
+    rows = texts.join(known, "doc_id").select("*", *(c.alias(f"f_{f}") for f, c in feature_columns().items()))
+    names = [f"f_{f}" for f in FEATURES]
+    rows = cut(rows.sparkSession, rows.groupBy("bad", *names).agg(weight), "labelled")
     n = rows.count()
     if n > max_labels:  # a share by hash: no sort, and what comes to the driver is bounded
-        place = (F.xxhash64("doc_id", *COUNTS) / F.lit(2.0**64)) + 0.5
+        place = (F.xxhash64("bad", *names) / F.lit(2.0**64)) + 0.5
         rows = rows.where(place < max_labels / n)
-    rows = rows.select((F.col("quality") == 0).alias("bad"), *(c.alias(f) for f, c in feature_columns().items()))
-    got = rows.toPandas().sort_values([*FEATURES, "bad"], ignore_index=True)  # the same rows give the same rules in any order
+    got = rows.toPandas().sort_values([*names, "bad"], ignore_index=True)  # the same rows give the same rules in any order
     if not len(got):
         return []
-    return learn_rules({f: got[f].to_numpy() for f in FEATURES}, got["bad"].to_numpy(dtype=bool))
+    x = {f: got[f"f_{f}"].to_numpy() for f in FEATURES}
+    return learn_rules(x, got["bad"].to_numpy(dtype=bool), got["weight"].to_numpy(dtype=np.int64))
 
 
 def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:

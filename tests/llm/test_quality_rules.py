@@ -41,6 +41,33 @@ def test_rules_are_learned_in_order_and_pruned():
     assert Q.learn_rules(x, np.zeros(n, bool)) == [] and Q.learn_rules(x, rng.random(n) < 0.1) == []
 
 
+def test_weights_stand_for_repeated_rows():
+    rng = np.random.default_rng(3)
+    x = {"a": rng.integers(0, 40, 300) / 40, "b": rng.random(300)}
+    bad, weight = x["a"] > 0.8, rng.integers(1, 9, 300)
+    weight[0] = 2_000_000_000  # a hot row keeps its weight and hides no other
+    rules = Q.learn_rules(x, bad, weight)
+    out = np.zeros(300, bool)
+    for r in rules:
+        out |= Q._covered(r, x)
+    assert (out == bad).all()
+    assert Q.learn_rules(x, bad, np.zeros(300, dtype=np.int64)) == []
+
+
+def test_a_hot_document_is_one_row_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "learn_rules", lambda x, bad, weight: seen.append((len(bad), int(weight.sum()))) or [])
+    names = ["n_words", "word_chars"]
+    texts = [(1, 100, 400)] * 3 + [(k, 100 + k, 400) for k in range(2, 52)] + [(None, 90, 300), (99, 10, 30)]
+    counted = spark.createDataFrame(texts, "doc_id long, n_words long, word_chars long")
+    counted = counted.select("*", *(F.lit(0).cast("long").alias(c) for c in Q.COUNTS if c not in names))
+    labels = spark.createDataFrame([(1, 0)] * 500 + [(1, None), (None, 1), (99, 1)] + [(k, 1) for k in range(2, 52)], "doc_id long, quality int")
+    Q.fit(counted, labels)
+    Q.fit(counted, labels, max_labels=25)
+    assert seen[0] == (51, 1550)  # 3 rows of 500 labels, and 50 documents
+    assert 0 < seen[1][0] < 45
+
+
 def test_the_list_becomes_an_ordered_conditional(spark):
     rules = [[Q.Condition("n_words", True, 10.0), Q.Condition("mean_word", False, 3.0)], [Q.Condition("n_words", False, 4.0)]]
     rows = spark.createDataFrame([(12, 24), (12, 60), (3, 9), (5, 20)], "n_words long, word_chars long")
