@@ -58,7 +58,8 @@ def word_hashes(texts: list[str], ascii_case: bool = False) -> tuple[np.ndarray,
     rank = np.searchsorted(at, starts)
     values = (buf[at].astype(_U) + _U(1)) * _POW[place & 255]
     if place.max() > 255:  # long words go on in blocks with a factor of their own
-        values *= mix64((place >> 8).astype(_U) + _U(1)) | _U(1)
+        block = (place >> 8).astype(_U)
+        values *= np.where(block > 0, mix64(block + _U(1)) | _U(1), _U(1))  # the first block none: a word's hash is its own alone
     return mix64(np.add.reduceat(values, rank)), bounds
 
 

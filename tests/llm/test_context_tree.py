@@ -81,6 +81,13 @@ def test_scores_equal_brute_force(spark, depth, top):
     check(spark, rows, depth, top)
 
 
+def test_a_long_word_leaves_the_other_words_of_its_batch_alone(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 200)  # the long words share a chunk with some of the texts only
+    rows = [(i, "the of the x") for i in range(40)] + [(40, "the of " + "y" * 300 + " x"), (41, "x " + "z" * 256 + " the"), (42, "z" * 257 + " of")]
+    check(spark, rows, 2, 500_000)
+    check(spark, rows, 2, 0)
+
+
 def test_ids_keep_their_type(spark):
     rows = [("doc-a", "one two"), ("07", "two three"), (None, "three")]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
