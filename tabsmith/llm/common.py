@@ -8,12 +8,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import BATCH_ROWS, scratch_path, small_batches  # noqa: F401
 
 # The six ASCII white-space characters \x20 \x09-\x0D that separate words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 CHUNK_CHARS = 2_000_000
-BATCH_ROWS = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +30,6 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let at most ``rows`` rows at a time go to Python workers, so that batches of whole texts stay small in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 @contextmanager
 def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While jobs run inside, at most ``rows`` rows at a time go to Python workers: for tables whose rows are large."""

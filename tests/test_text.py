@@ -1,11 +1,17 @@
 """Strings, JSON, transcripts (FX-C1, FX-C2) and TF-IDF on small inputs."""
 
 import json
+import math
+import random
+import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.functions import exprs as fx
 from tabsmith.functions.aliases import candidate_name
+from tabsmith.operators import term_counts as tc
 from tabsmith.operators import text as tx
 from tabsmith.operators import transcripts as tr
 
@@ -69,3 +75,48 @@ def test_tool_call_arguments_as_object(spark):
     df = spark.createDataFrame([(1, json.dumps(resp))], "rid int, response string")
     r = tr.extract_tool_calls(df, "response", ["rid"]).first()
     assert r["call_id"] == "c9" and r["arguments"] == {"path": "train.csv", "max_rows": "3"}
+
+
+def _term_brute(docs):
+    tf, df = Counter(), Counter()
+    for _, text in docs:
+        toks = re.findall(r"\w{2,}", (text or "").lower())
+        got = toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
+        tf.update(got)
+        df.update(set(got))
+    return {t: (tf[t], df[t]) for t in tf}
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_frequent_terms_in_two_passes_equal_all_terms(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)] + ["É1", "ß_", "x"]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([5, 30, 203])]) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(7, None), (None, "w1 w2"), (8, "")]
+    monkeypatch.setattr(tc, "CHUNK_BYTES", 500)  # many chunks a task
+    docs, want = _frame(spark, rows), _term_brute(rows)
+    every = {r.term: (r.corpus_tf, r.doc_freq) for r in tx.term_statistics(docs, "text").collect()}
+    assert every == want
+    top = sorted(want, key=lambda t: (-want[t][0], t))[:40]
+    some = tx.term_statistics(docs, "text", 40)
+    got = {r.term: (r.corpus_tf, r.doc_freq) for r in some.collect()}
+    assert {t: got[t] for t in top} == {t: want[t] for t in top}
+    least = sorted((want[t][0] for t in want if " " not in t), reverse=True)[39]
+    assert all(" " not in t or n >= 2 for t, (n, _) in got.items()) and len(got) < len(want)  # the bound rules terms out before the shuffle
+    assert not [t for t in want if want[t][0] >= least and t not in got]
+    voc = tx.tfidf_vocabulary(docs, "doc_id", "text", 40)
+    assert [r.term for r in voc.orderBy("term_index").collect()] == sorted(top)
+    assert "Generate" not in voc._jdf.queryExecution().executedPlan().toString()  # no row per occurrence of a term
+
+
+def test_weights_of_repeated_and_missing_keys(spark):
+    rows = [(1, "red fox red"), (2, "fox den"), (1, "red fox"), (None, "red red"), (3, None), (4, "zz")]
+    docs = _frame(spark, rows * 3)
+    voc = spark.createDataFrame([("red", 1.5, 2), ("fox", 2.0, 0), ("red fox", 3.0, 1)], "term string, idf double, term_index int")
+    got = {(r.doc_id, r.term): (r.term_index, r.weight) for r in tx.tfidf_weights(docs, "doc_id", "text", voc).collect()}
+    raw = {1: {"red": (2, 9 * 1.5), "fox": (0, 6 * 2.0), "red fox": (1, 6 * 3.0)}, 2: {"fox": (0, 3 * 2.0)}}
+    want = {(k, t): (i, w / math.sqrt(sum(x * x for _, x in d.values()))) for k, d in raw.items() for t, (i, w) in d.items()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
