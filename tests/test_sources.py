@@ -106,3 +106,16 @@ def test_damaged_archives_have_a_status_row(spark):
     assert sorted(by_id.pop(1)) == sorted(both * 2) and by_id.pop(None) == both
     assert by_id == {2: [(None, None, "empty")], **{i: [(None, None, "broken")] for i in (3, 4, 5, 6)}}
     assert ar.archive_members(spark.createDataFrame(rows, "id long, p string"), "id", "p").count() == 6
+
+
+def test_members_leave_a_task_in_batches_of_bounded_size(spark):
+    import pyarrow as pa
+
+    rows = [(i, f"docs/{i}.txt", "x" * (i * 300)) for i in range(400)]
+    packed = ar.pack_texts(spark.createDataFrame(rows, "id long, name string, text string").coalesce(1), "id", "name", "text").collect()
+    payloads = pa.RecordBatch.from_arrays([pa.array([r[0] for r in packed]), pa.array([r[1] for r in packed])], ["archive_id", "payload_b64"])
+    out = list(ar._members(iter([payloads])))
+    assert [(m, n) for b in out for m, n in zip(b.column("member").to_pylist(), b.column("size").to_pylist())] == [(n, len(t)) for _, n, t in rows]
+    assert all(sum(b.column("size").to_pylist()) < ar.OUT_BYTES + 400 * 300 for b in out)
+    assert len(out) < 40  # one batch per member made the queries slow
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000  # whole payloads in batches of 10,000 rows filled the workers
