@@ -20,6 +20,8 @@ from ..functions.exprs import date_parts, is_missing, lenient_double, log1p_clip
 from .quality import q
 from .ranking import ordinal
 
+# What the distinct values of a column may take, with 16 bytes a value beside its text, for its counts to be broadcast.
+FEW_BYTES = 4_000_000
 PLAN_KEYS = ("missing_indicators", "datetime_parts", "log1p_columns", "frequency_encode")
 
 
@@ -51,16 +53,23 @@ def frequency_table(train: DataFrame, col: str) -> DataFrame:
     return train.groupBy(v.alias("_fv")).agg(F.count(F.lit(1)).cast("double").alias("_fc"))
 
 
-def apply_frequency(df: DataFrame, col: str, freq: DataFrame, out_col: str | None = None) -> DataFrame:
+def few_values(train: DataFrame, cols: Sequence[str]) -> set[str]:
+    """The columns whose distinct string forms take FEW_BYTES at most, estimated in one map-side combined aggregation."""
+    forms = [string_form(q(c), train.schema[c].dataType) for c in cols]
+    sizes = train.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(forms) for n, f in (("n", F.approx_count_distinct), ("b", lambda x: F.max(F.octet_length(x))))])
+    r = sizes.first()
+    return {c for i, c in enumerate(cols) if r[f"n{i}"] * ((r[f"b{i}"] or 0) + 16) <= FEW_BYTES}
+
+
+def apply_frequency(df: DataFrame, col: str, freq: DataFrame, out_col: str | None = None, few: bool = False) -> DataFrame:
     """J2 apply: left join with the per-value counts; unseen values get 0.
 
-    ``freq`` has one row per distinct training value.  AQE broadcasts it when
-    its measured size is small and otherwise keeps a shuffle join with skew
-    splitting, so a hot value on the big side does not pin one task.
+    ``freq`` has one row per distinct training value.  ``few``: it is broadcast and no row of ``df`` moves; a shuffle by a
+    column of few values would bring each value's rows to one task.  Otherwise the join is shuffled, with skew splitting.
     """
     out_col = out_col or f"{col}__freq"
     v = string_form(q(col), df.schema[col].dataType)
-    joined = df.withColumn("_fv", v).join(freq, "_fv", "left")
+    joined = df.withColumn("_fv", v).join(F.broadcast(freq) if few else freq, "_fv", "left")
     return joined.withColumn(out_col, F.coalesce(F.col("_fc"), F.lit(0.0))).drop("_fv", "_fc")
 
 
@@ -99,11 +108,12 @@ def apply_feature_plan(
                 te = te.withColumns({c: lenient_double(q(c), te.schema[c].dataType) for c in tc})
                 te = te.withColumns({f"{c}__log1p": log1p_clipped(q(c)) for c in tc})
         elif step == "frequency_encode":
+            few = few_values(tr, cols)
             for c in cols:
                 freq = frequency_table(tr, c)
-                tr_new = apply_frequency(tr, c, freq)
+                tr_new = apply_frequency(tr, c, freq, few=c in few)
                 if has(te, c):
-                    te = apply_frequency(te, c, freq)
+                    te = apply_frequency(te, c, freq, few=c in few)
                 tr = tr_new
     return tr, te
 

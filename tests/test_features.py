@@ -45,3 +45,20 @@ def test_ordinal_unknown_and_missing(spark):
     idx = fe.category_index(train, "c")
     got = {r["id"]: r["c__ord"] for r in fe.ordinal_encode(test, "c", idx).collect()}
     assert got == {1: 0, 2: -1, 3: -1}
+
+
+def test_counts_of_few_values_are_broadcast(spark):
+    rows = [(i, "AB"[i % 2] if i % 5 else None, f"k{i}") for i in range(100)]
+    train = spark.createDataFrame(rows, "id int, flag string, key string")
+    assert fe.few_values(train, ["flag", "key"]) == {"flag", "key"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, _ = fe.apply_feature_plan(train, None, fe.FeaturePlan(frequency_encode=["flag"]))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # the rows are not shuffled by their flag
+    assert {(r.flag, r.flag__freq) for r in got.collect()} == {("A", 40.0), ("B", 40.0), (None, 20.0)}
+    long = spark.createDataFrame([("x" * 3_000_000,), ("y",)], "flag string")
+    assert fe.few_values(long, ["flag"]) == set()
