@@ -14,16 +14,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import TOKEN_PATTERN
+from ..operators import text as tx
 from . import boosting as bo
 from .preprocess import LINEAR, TREE
 
@@ -119,20 +118,25 @@ def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, tr
 
 
 def fit_text(train: DataFrame, text_col: str | None, vocabulary: int = VOCABULARY) -> Callable[[DataFrame], DataFrame]:
-    """E7 in ML form: tokens -> unigrams and bigrams -> counts of the top terms -> smoothed idf + 1 -> L2 length 1."""
+    """E7 in ML form: tokens -> unigrams and bigrams -> counts of the top terms (ties by term) -> smoothed idf + 1 -> L2 length 1.
+
+    The terms and their document counts come from one pass of ``term_statistics``: no term is exploded, and idf needs no pass of its own.
+    """
     if text_col is None:
         raise ValueError("tfidf_linear requires a text column")
-    counted = Pipeline(
-        stages=[
-            SQLTransformer(statement=f"select *, coalesce(cast(`{text_col}` as string), '') as _text from __THIS__"),
-            RegexTokenizer(inputCol="_text", outputCol="_uni", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True, minTokenLength=2),
-            NGram(n=2, inputCol="_uni", outputCol="_bi"),
-            SQLTransformer(statement="select *, concat(_uni, _bi) as _terms from __THIS__"),
-            CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary),
-        ]
-    ).fit(train)
-    # Spark's idf is ln((n + 1) / (df + 1)): the same smoothing without the + 1, which joins its fitted vector here.
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.transform(train)).idf.toArray()
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(np.asarray(idf) + 1.0), inputCol="_tf", outputCol="_idf")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    n = train.count()
+    top = tx.term_statistics(train.select(text.alias("_text")), "_text", vocabulary).orderBy(F.desc("corpus_tf"), "term").limit(vocabulary).collect()
+    if not top:
+        raise ValueError("tfidf_linear found no term in the training texts")
+    counted = CountVectorizerModel.from_vocabulary([r["term"] for r in top], inputCol="_terms", outputCol="_tf")
+    # Spark's idf is ln((n + 1) / (df + 1)): the same smoothing without the + 1, which joins it here.
+    idf = np.log((n + 1.0) / (np.array([r["doc_freq"] for r in top]) + 1.0))
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf + 1.0), inputCol="_tf", outputCol="_idf")
     unit = Normalizer(inputCol="_idf", outputCol=FEATURES, p=2.0)
-    return lambda df: unit.transform(weigh.transform(counted.transform(df)))
+
+    def vectors(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_uni", tx.tokens(text)).withColumn("_terms", tx.terms("_uni"))
+        return unit.transform(weigh.transform(counted.transform(rows)))
+
+    return vectors

@@ -120,3 +120,21 @@ def test_weights_of_repeated_and_missing_keys(spark):
     want = {(k, t): (i, w / math.sqrt(sum(x * x for _, x in d.values()))) for k, d in raw.items() for t, (i, w) in d.items()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_text_vectors_of_the_model_come_from_counts_in_tasks(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tabsmith.plans import models as md
+
+    docs = _frame(spark, [(1, "red fox red"), (2, "fox den"), (3, None), (4, "Red fox")])
+    vectors = md.fit_text(docs, "text", 3)  # fox 3, red 3, red fox 2
+    out = vectors(docs)
+    got = {r.doc_id: r.v for r in out.select("doc_id", vector_to_array("features").alias("v")).collect()}
+    idf = [math.log(5 / (df + 1)) + 1 for df in (3, 2, 2)]
+    for doc, tf in {1: (1, 2, 1), 2: (1, 0, 0), 3: (0, 0, 0), 4: (1, 1, 1)}.items():
+        w = [a * b for a, b in zip(tf, idf)]
+        norm = math.sqrt(sum(x * x for x in w)) or 1.0
+        assert got[doc] == pytest.approx([x / norm for x in w])
+    with pytest.raises(ValueError):  # ties go by term, and a corpus without terms is named as the fault
+        md.fit_text(_frame(spark, [(1, "a b"), (2, None)]), "text")
