@@ -59,24 +59,30 @@ def first_per_context_stream(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("user_id", F.col("b.event_id").alias("event_id"))
 
 
-def _shuffled_files(spark: SparkSession, df: DataFrame, key: str, name: str, files: int = 6) -> str:
-    """The table as several files in an order unlike that of its rows, with one row in 16 delivered in two of them."""
+ROWS_PER_FILE = 1_000_000
+
+
+def _shuffled_files(spark: SparkSession, df: DataFrame, key: str, name: str, files: int = 6) -> tuple[str, int]:
+    """(folder, files a share): the table as several shares in an order unlike that of its rows, with one row in 16 delivered in
+    two of them.  A share is one file for each ``ROWS_PER_FILE`` of its rows: its sort and its write are not one task's."""
     order = F.md5(F.col(key).cast("string"))
     again = df.where(F.substring(order, 1, 1) == "0")
     path = scratch_path(spark, name)
+    last_first = F.desc("ts") if "ts" in df.columns else F.desc(key)
+    parts = max(1, -(-df.count() // (files * ROWS_PER_FILE)))
     for k in range(files):
         share = F.pmod(F.crc32(order.cast("binary")), F.lit(files))
         part = df.where(share == k).union(again.where(share == (k + 1) % files))
-        part.orderBy(F.desc("ts") if "ts" in df.columns else F.desc(key)).coalesce(1).write.mode("append").parquet(path)
-    return path
+        part.repartitionByRange(parts, last_first).sortWithinPartitions(last_first).write.mode("append").parquet(path)
+    return path, parts
 
 
 @register("terminal_guard_stream", _GUARD_SQL)
 def terminal_guard_stream(spark: SparkSession, sf: str) -> DataFrame:
     """T2 as streams (first-terminal state and event log) over several files out of order with redelivered events."""
     events = table(spark, sf, "events")
-    src = _shuffled_files(spark, events, "event_id", "t2-in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src, parts = _shuffled_files(spark, events, "event_id", "t2-in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", parts).parquet(src)
     out = cx.stream_terminal_guard(stream, scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ckpt"))
     return out.select("event_id", "user_id", "event_type", "rejected")
 
@@ -99,8 +105,8 @@ def _files_in_time_order(spark: SparkSession, df: DataFrame, name: str, files: i
 def terminal_guard_stateful(spark: SparkSession, sf: str) -> DataFrame:
     """T2 as one stream of verdicts with state of its own, over files out of order with redelivered events; nothing is joined again."""
     events = table(spark, sf, "events")
-    src = _shuffled_files(spark, events, "event_id", "t2s-in", files=3)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src, parts = _shuffled_files(spark, events, "event_id", "t2s-in", files=3)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", parts).parquet(src)
     # the files are dealt by hash: an event may lag by all the time that the table spans
     return stateful.run_terminal_guard(stream, scratch_path(spark, "t2s-out"), scratch_path(spark, "t2s-ckpt"), salts=4, lateness="100 years")
 

@@ -22,11 +22,10 @@ success (T1); repeated events are one row of the answer; an empty stream gives n
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,76 +53,72 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 def _state_key(column: str) -> Column:
-    """The key as text that is never null: a null beside whole numbers in one Arrow batch would turn them all into floats, and
-    7 and 7.0 are two keys of the state."""
+    """The key as text that is never null, whatever its type."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def _events(rows: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["ts_us", "event_id"], dtype="int64")
-
-
-def _least(part: pd.DataFrame, so_far: tuple[int, int] | None) -> tuple[int, int] | None:
-    """The smallest (time, id) of some rows and of what was known before."""
-    if not len(part):
-        return so_far
-    at = min(zip(part["ts_us"].tolist(), part["event_id"].tolist(), strict=True))
-    return at if so_far is None else min(so_far, at)
-
-
 class TerminalGuard(StatefulProcessor):
-    """Rows (ts_us, event_id, terminal, own) of one task and salt to (event_id, rejected) rows of a changelog."""
+    """Rows (ts_us, event_id, terminal, own) of one task and salt to (event_ids, rejected) rows of a changelog.
+
+    Plain rows, not data frames: most keys have a few events a batch, and a frame costs more than they do.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.first = handle.getValueState("first", POSITION)
         self.open = handle.getListState("open", POSITION)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.first.get()
         known = least = tuple(known) if known is not None else None
-        fresh = [_events([])]
-        for part in rows:  # the first terminal position of the whole batch before any verdict
-            least = _least(part[part["terminal"]], least)
-            fresh.append(part.loc[part["own"], ["ts_us", "event_id"]])
-        new = pd.concat(fresh, ignore_index=True)
-        late = self._after(new, least)
-        accepted = new[~late].drop_duplicates()
-        if len(new):
-            yield pd.DataFrame({"event_id": new["event_id"], "rejected": late})
-        held = None
-        if least != known:
+        new = {}  # a set in the order of arrival
+        for r in rows:  # the first terminal position of the whole batch before any verdict
+            at = (r.ts_us, r.event_id)
+            if r.terminal and (least is None or at < least):
+                least = at
+            if r.own:
+                new[at] = None
+        accepted, late = self._judged(new, least)
+        changed = least != known
+        if changed:
             self.first.update(least)
-            held = _events([tuple(r) for r in self.open.get()])
-            again = self._after(held, least)
-            if again.any():
-                yield pd.DataFrame({"event_id": held["event_id"][again], "rejected": True})
-            accepted = pd.concat([held[~again], accepted], ignore_index=True).drop_duplicates()
-            self.open.clear()
-        if len(accepted):
-            if held is not None or not self.open.exists():  # an older timer of the key finds less to take out, which is harmless
+            held = dict.fromkeys(tuple(r) for r in self.open.get())
+            kept, again = self._judged(held, least)
+            accepted, late = list(dict.fromkeys([*kept, *accepted])), late + again
+            if accepted:  # an older timer of the key finds less to take out, which is harmless
+                self.handle.registerTimer(self._expiry(accepted))
+                self.open.put(accepted)
+            elif held:
+                self.open.clear()
+        elif accepted:
+            if not self.open.exists():
                 self.handle.registerTimer(self._expiry(accepted))
-            self.open.appendList([(int(t), int(e)) for t, e in accepted.itertuples(index=False)])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = _events([tuple(r) for r in self.open.get()]).drop_duplicates()
-        left = held[held["ts_us"] // 1000 >= timerValues.getCurrentWatermarkInMs()]
-        self.open.clear()
-        if len(left):
-            self.open.put([(int(t), int(e)) for t, e in left.itertuples(index=False)])
+            self.open.appendList(accepted)
+        fresh = [e for t, e in accepted if (t, e) in new]
+        for ids, rejected in ((fresh, False), ([e for _, e in late], True)):
+            if ids:
+                yield Row(event_ids=ids, rejected=rejected)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        left = list(dict.fromkeys(at for at in map(tuple, self.open.get()) if at[0] // 1000 >= watermark))
+        if left:
+            self.open.put(left)
             self.handle.registerTimer(self._expiry(left))
-        yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "rejected": pd.Series(dtype="bool")})
+        else:
+            self.open.clear()
+        return iter(())
 
     @staticmethod
-    def _expiry(events: pd.DataFrame) -> int:
-        return int(events["ts_us"].max()) // 1000 + 1
+    def _expiry(events: list[tuple[int, int]]) -> int:
+        return max(t for t, _ in events) // 1000 + 1
 
     @staticmethod
-    def _after(events: pd.DataFrame, least: tuple[int, int] | None) -> pd.Series:
-        """The events strictly after a position, by time, then id."""
+    def _judged(events: Iterable[tuple[int, int]], least: tuple[int, int] | None) -> tuple[list, list]:
+        """(events up to a position, events strictly after it) by time, then id."""
         if least is None:
-            return pd.Series(False, index=events.index, dtype=bool)
-        return (events["ts_us"] > least[0]) | ((events["ts_us"] == least[0]) & (events["event_id"] > least[1]))
+            return list(events), []
+        return [at for at in events if at <= least], [at for at in events if at > least]
 
     def close(self) -> None:
         pass
@@ -142,9 +137,10 @@ def stream_verdicts(stream: DataFrame, task: str = "user_id", salts: int = SALTS
     )
     every = F.when(F.col("terminal"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array("home"))
     dealt = events.withColumn("salt", F.explode(every)).withColumn("own", F.col("salt") == F.col("home")).drop("home")
-    return dealt.groupBy("task", "salt").transformWithStateInPandas(
-        statefulProcessor=TerminalGuard(), outputStructType="event_id long, rejected boolean", outputMode="update", timeMode="EventTime"
+    verdicts = dealt.groupBy("task", "salt").transformWithState(
+        statefulProcessor=TerminalGuard(), outputStructType="event_ids array<long>, rejected boolean", outputMode="update", timeMode="EventTime"
     )
+    return verdicts.select(F.explode("event_ids").alias("event_id"), "rejected")
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
@@ -171,24 +167,23 @@ class FirstSuccess(StatefulProcessor):
         self.handle = handle
         self.first = handle.getValueState("first", POSITION)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.first.get()
-        known = least = tuple(known) if known is not None else None
-        for part in rows:
-            least = _least(part, least)
-        if least != known:
+        known = tuple(known) if known is not None else None
+        least = min((r.ts_us, r.event_id) for r in rows)
+        if known is None or least < known:
             if known is not None:
                 self.handle.deleteTimer(self._expiry(known))
             self.first.update(least)
             self.handle.registerTimer(self._expiry(least))
-            yield pd.DataFrame({"context": [key[0]], "ts_us": [least[0]], "event_id": [least[1]]})
+            yield Row(context=key[0], ts_us=least[0], event_id=least[1])
 
     def _expiry(self, position: tuple[int, int]) -> int:
         return position[0] // 1000 + self.retention_ms
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.first.clear()
-        yield _events([]).assign(context=pd.Series(dtype=object))[["context", "ts_us", "event_id"]]
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -202,7 +197,7 @@ def stream_first_expiring(stream: DataFrame, context: str = "user_id", lateness:
     """
     ok = stream.where(~F.col("event_type").isin(SUCCESS_EXCLUDES)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     rows = ok.where("ts is not null and event_id is not null").select(_state_key(context).alias("context"), "ts", F.unix_micros("ts").alias("ts_us"), "event_id")
-    return rows.groupBy("context").transformWithStateInPandas(
+    return rows.groupBy("context").transformWithState(
         statefulProcessor=FirstSuccess(retention), outputStructType="context string, ts_us long, event_id long", outputMode="update", timeMode="EventTime"
     )
 

@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tabsmith.plans import q_streams as qs
 from tabsmith.session import scratch_path
 from tabsmith.streaming import context as cx
 from tabsmith.streaming import stateful as st
@@ -77,3 +79,81 @@ def test_empty_streams_give_no_rows(spark):
     stream = stream_of(spark, [[]], "none")
     assert st.run_terminal_guard(stream, scratch_path(spark, "n-out"), scratch_path(spark, "n-ckpt")).count() == 0
     assert st.run_first_success(stream, scratch_path(spark, "f-out"), scratch_path(spark, "f-ckpt")).count() == 0
+
+
+class _State:
+    """A value or a list of one key that counts the calls made to it."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.held or []) if isinstance(self.held, list) or self.held is None and self.listed else self.held
+
+    def exists(self):
+        self.calls.append("exists")
+        return bool(self.held)
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    put = update
+
+    def appendList(self, values):
+        self.calls.append("append")
+        self.held = [*(self.held or []), *values]
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+
+class _Handle:
+    def __init__(self):
+        self.calls = []
+
+    def _new(self, listed):
+        state = _State(self.calls)
+        state.listed = listed
+        return state
+
+    def getValueState(self, name, schema):
+        return self._new(False)
+
+    def getListState(self, name, schema):
+        return self._new(True)
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+
+
+def test_a_key_takes_plain_rows_and_few_state_calls():
+    handle, guard = _Handle(), st.TerminalGuard()
+    guard.init(handle)
+
+    def batch(*rows):
+        del handle.calls[:]
+        out = list(guard.handleInputRows(("=7", 0), iter([Row(ts_us=t, event_id=e, terminal=x, own=o) for t, e, x, o in rows]), None))
+        return {e: r.rejected for r in out for e in r.event_ids}, len(out)
+
+    assert batch((5, 1, False, True), (9, 2, False, True), (9, 2, False, True)) == ({1: False, 2: False}, 1)
+    assert handle.calls == ["get", "exists", "timer", "append"]
+    assert batch((7, 4, True, False), (8, 3, False, True), (6, 5, False, True)) == ({5: False, 2: True, 3: True}, 2)
+    assert len(handle.calls) == 5 and sorted(guard.open.held) == [(5, 1), (6, 5)]
+    assert batch((10, 6, False, True)) == ({6: True}, 1)
+    assert handle.calls == ["get"]
+    assert batch((1, 7, True, False)) == ({1: True, 5: True}, 1)
+    assert guard.open.held is None
+
+
+def test_a_share_is_several_files_with_the_same_rows(spark, monkeypatch):
+    df = spark.createDataFrame([event(k, k % 7, k if k % 10 else None) for k in range(400)], SCHEMA)
+    one, parts = qs._shuffled_files(spark, df, "event_id", "share-one", files=3)
+    assert parts == 1 and len(spark.read.parquet(one).inputFiles()) == 3
+    monkeypatch.setattr(qs, "ROWS_PER_FILE", 40)
+    many, parts = qs._shuffled_files(spark, df, "event_id", "share-many", files=3)
+    assert parts == 4 and len(spark.read.parquet(many).inputFiles()) == 12
+    rows = [sorted(map(str, spark.read.schema(df.schema).parquet(p).collect())) for p in (one, many)]
+    assert rows[0] == rows[1] and len(rows[0]) > 400 and len(set(rows[0])) == 400
