@@ -29,13 +29,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 
 LEAF, SYMMETRIC = "leaf", "symmetric"
 REFRESH = 10
+# Fixed value: even quantiles that stand for the values of a feature with many.
+SUMMARY = 2_048
 _HIST = "node int, feature int, sums binary"
 _BEST = "feature int, bin int, gain double, node int, gl double, hl double, nl double, g double, h double, n double"
 
@@ -339,6 +341,55 @@ def quantile_edges(df: DataFrame, features_col: str, bins: int) -> list[np.ndarr
     return [np.unique([v for v in (e or []) if v < top]) for e, top in zip(found, tops)]
 
 
+def even_edges(values: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray:
+    """Bounds between ascending distinct values, as ``pyspark.ml`` places them for its trees.
+
+    Up to ``bins`` values are all told apart.  Of more, the k-th bound stands before the value whose middle rank passes the k-th
+    of ``bins`` even shares; after a heavy value, which passes several shares at once, each next value gets a bound until they are made up for.
+    """
+    between = (values[:-1] + values[1:]) / 2
+    if len(values) <= bins:
+        return between
+    middle, share = np.cumsum(weights) - weights / 2, weights.sum() / bins
+    edges: list[float] = []
+    for i in range(1, len(values)):
+        if middle[i] > (len(edges) + 1) * share:
+            edges.append(between[i - 1])
+    return np.asarray(edges)
+
+
+def tree_edges(df: DataFrame, features_col: str, bins: int) -> list[np.ndarray]:
+    """``even_edges`` of each feature over all rows: of its values where they are few, else of ``SUMMARY`` even quantiles."""
+    first = df.select(F.size(vector_to_array(features_col)).alias("n")).first()
+    if first is None:
+        raise ValueError("boosting needs at least one training row")
+    x = df.select(vector_to_array(features_col).alias("x")).select(*[F.col("x")[j].alias(f"f{j}") for j in range(first["n"])])
+    about = x.agg(*[F.approx_count_distinct(c).alias(c) for c in x.columns]).first()
+    few = {c for c in x.columns if about[c] <= 2 * bins}  # the estimate is off by some per cent
+    at = F.expr(f"array({', '.join(f'{i / SUMMARY!r}D' for i in range(1, SUMMARY))})")
+    found = x.agg(*[(F.collect_set(c) if c in few else F.percentile_approx(c, at, F.lit(10_000))).alias(c) for c in x.columns]).first()
+    edges = []
+    for c in x.columns:
+        values, weights = np.unique(np.asarray(found[c], dtype="float64"), return_counts=True)
+        if c in few and len(values) > bins:  # a few values too many: how often each occurs decides
+            counts = {r[c]: r["count"] for r in x.groupBy(c).count().collect()}
+            weights = np.asarray([counts[v] for v in values])
+        edges.append(even_edges(values, weights, bins))
+    return edges
+
+
+def bin_column(features_col: str, edges: list[np.ndarray]) -> Column:
+    """The bins of a feature vector as an array of doubles."""
+
+    @F.arrow_udf("array<double>")
+    def bins(x: pa.Array) -> pa.Array:
+        n = len(edges)
+        at = bin_rows(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), n), edges) if len(x) else np.empty((0, n))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(at.astype("float64").ravel()))
+
+    return bins(vector_to_array(features_col))
+
+
 def fit(df: DataFrame, params: Boosting, features_col: str = "features", label_col: str = "label") -> BoostedModel:
     """Fit on all rows of ``df``.  Null labels teach nothing; a constant label gives trees without a split."""
     ship_package(df.sparkSession)

@@ -10,22 +10,29 @@ parameter follows the size of the data.
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import text as tx
+from ..session import ship_package
 from . import boosting as bo
 from .preprocess import LINEAR, TREE
 
+log = logging.getLogger(__name__)
+
 # Preset budgets of the reference.
 TREES = 120
 LEARNING_RATE = 0.07
@@ -39,6 +46,13 @@ SEED = 42
 # Histogram memory of one pass over the data: a tree level of these depths fits in one job.
 HISTOGRAM_MB = 512
 
+MAX_BINS = 64
+# Up to this many rows pyspark.ml takes the bounds of its bins from every row, beyond it from a sample of this size.  Larger
+# training sides are binned by bounds from all rows and merged (``MergedTrees``).
+MERGE_ROWS = 10_000
+# Merged rows of a task.
+MERGED_MIN, MERGED_MAX = 5_000, 100_000
+
 # Tree growth: level by level in pyspark.ml (faster: its job per level is the cheaper one), or as the family defines it.
 LEVEL, FAMILY = "level", "family"
 # The families' public defaults beside the presets' budgets.
@@ -52,6 +66,7 @@ KNOWN = {"logistic_regression", "linear_regression", TEXT} | {f"{f}_{kind}" for
 
 FEATURES = "features"
 LABEL = "label"
+BINS, ROWS = "_bins", "_rows"
 
 
 def check_candidate(name: str) -> None:
@@ -86,6 +101,56 @@ class OneAgainstRest:
         return df.withColumn("prediction", (F.array_position(scores, F.array_max(scores)) - 1).cast("double")).drop(*names)
 
 
+@dataclass
+class MergedTrees:
+    """``pyspark.ml`` boosted trees fitted on the distinct binned rows, each weighted by the rows it stands for.
+
+    A histogram tree sees nothing of a row but its bins: rows of equal bins share every leaf and every score, and a split's
+    sums need only their number and mean target (for classes: their number by class).  So rows are binned by bounds from all rows
+    and merged once, and the passes of the trees, one a level, go over the merged rows.
+    """
+
+    trees: GBTRegressor | GBTClassifier | OneVsRest
+    classification: bool
+
+    def merged(self, df: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+        rows = df.select(bo.bin_column(TREE, edges).alias(BINS), F.col(LABEL).cast("double").alias(LABEL))
+        n = F.count(F.lit(1)).cast("double").alias(ROWS)
+        if self.classification:
+            return rows.groupBy(BINS, LABEL).agg(n).select(array_to_vector(BINS).alias(BINS), LABEL, ROWS)
+        return rows.groupBy(BINS).agg(n, F.avg(LABEL).alias(LABEL)).select(array_to_vector(BINS).alias(BINS), LABEL, ROWS)
+
+    def fit(self, df: DataFrame) -> BinnedModel:
+        ship_package(df.sparkSession)
+        edges = bo.tree_edges(df, TREE, MAX_BINS)
+        found = self.merged(df, edges).persist(StorageLevel.MEMORY_AND_DISK)
+        n = found.count()
+        log.info("%d merged rows, %s bins", n, [len(e) + 1 for e in edges])
+        # a job a level: few rows in few tasks, many in tasks of a stated size
+        parts = max(min(df.sparkSession.sparkContext.defaultParallelism, -(-n // MERGED_MIN)), -(-n // MERGED_MAX))
+        packed = found.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        inner = self.trees.getClassifier() if isinstance(self.trees, OneVsRest) else self.trees
+        # no feature has more than MAX_BINS bins; the square of this one is how many rows are looked at for their bounds: all
+        inner.setMaxBins(max(MAX_BINS, math.isqrt(n) + 1))
+        try:
+            return BinnedModel(self.trees.fit(packed), edges)
+        finally:
+            packed.unpersist()
+            found.unpersist()
+
+
+@dataclass
+class BinnedModel:
+    """A model of ``MergedTrees``: rows are binned by its bounds before they are scored."""
+
+    model: Any
+    edges: list[np.ndarray]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        ship_package(df.sparkSession)
+        return self.model.transform(df.withColumn(BINS, array_to_vector(bo.bin_column(TREE, self.edges)))).drop(BINS)
+
+
 def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, trees: int = TREES, growth: str = LEVEL):
     """The unfitted model of a candidate; it reads ``label`` (class index or target value) and its own features column.
 
@@ -107,14 +172,17 @@ def estimator(name: str, task_type: str, *, n_train: int, n_classes: int = 2, tr
         )
     if growth == FAMILY and family in FAMILY_GROWTH:
         return FamilyTrees(replace(FAMILY_GROWTH[family], trees=trees, rate=LEARNING_RATE, seed=SEED, logistic=classification), n_classes if classification else 0)
+    # trees that draw rows of their own (ROW_SAMPLE) need the rows one by one
+    merge = n_train > MERGE_ROWS and family not in ROW_SAMPLE
+    columns = dict(featuresCol=BINS, labelCol=LABEL, weightCol=ROWS) if merge else dict(featuresCol=TREE, labelCol=LABEL)
     budget = dict(
-        featuresCol=TREE, labelCol=LABEL, maxIter=trees, stepSize=LEARNING_RATE, maxDepth=DEPTH[family], subsamplingRate=ROW_SAMPLE.get(family, 1.0),
-        featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=64, cacheNodeIds=False, maxMemoryInMB=HISTOGRAM_MB,
+        **columns, maxIter=trees, stepSize=LEARNING_RATE, maxDepth=DEPTH[family], subsamplingRate=ROW_SAMPLE.get(family, 1.0),
+        featureSubsetStrategy=COLSAMPLE, seed=SEED, maxBins=MAX_BINS, cacheNodeIds=False, maxMemoryInMB=HISTOGRAM_MB,
     )
-    if not classification:
-        return GBTRegressor(**budget)
-    boosted = GBTClassifier(**budget)
-    return boosted if n_classes <= 2 else OneVsRest(classifier=boosted, featuresCol=TREE, labelCol=LABEL)
+    boosted = GBTClassifier(**budget) if classification else GBTRegressor(**budget)
+    if classification and n_classes > 2:
+        boosted = OneVsRest(classifier=boosted, **columns)
+    return MergedTrees(boosted, classification) if merge else boosted
 
 
 def fit_text(train: DataFrame, text_col: str | None, vocabulary: int = VOCABULARY) -> Callable[[DataFrame], DataFrame]:

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabsmith.plans import boosting as bo
@@ -153,3 +153,50 @@ def test_family_growth_of_several_classes(spark):
     df = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias(TREE), "label")
     model = md.estimator("lightgbm_classifier", "multiclass_classification", n_train=252, n_classes=3, trees=1, growth="family").fit(df)
     assert model.transform(df).where(F.col("prediction") != F.col("label")).count() == 0
+
+
+def _codes(spark, classes=0, n=3000):
+    """Few distinct rows: 100 values of which one is heavy (more than a tree has bins), 3 and 40 values."""
+    rng = np.random.default_rng(7)
+    x = np.stack([np.where(rng.random(n) < 0.4, 5.0, rng.integers(0, 100, n)), rng.integers(-1, 2, n), rng.integers(0, 40, n) / 8], axis=1)
+    y = x[:, 0] * 0.1 + np.sin(x[:, 2]) * (x[:, 1] + 2) + rng.normal(size=n)
+    y = np.digitize(y, np.quantile(y, np.arange(1, classes) / classes)).astype(float) if classes else y
+    df = spark.createDataFrame([(i, r.tolist(), float(v)) for i, (r, v) in enumerate(zip(x, y))], "i int, x array<double>, label double")
+    return df.repartition(3).select("i", array_to_vector("x").alias(TREE), "label")
+
+
+@pytest.mark.parametrize("name,classes", [("lightgbm_regressor", 0), ("catboost_classifier", 2), ("lightgbm_classifier", 3)])
+def test_trees_on_merged_rows_equal_trees_on_all_rows(spark, monkeypatch, name, classes):
+    df = _codes(spark, classes).cache()
+    kind = {0: "regression", 2: "binary_classification", 3: "multiclass_classification"}[classes]
+    fit = lambda: md.estimator(name, kind, n_train=3000, n_classes=classes, trees=3).fit(df)
+    plain = fit()
+    monkeypatch.setattr(md, "MERGE_ROWS", 0)
+    merged = fit()
+    assert isinstance(merged, md.BinnedModel)
+    test = df.withColumn(TREE, array_to_vector(F.transform(vector_to_array(TREE), lambda v: v + 0.5)))  # values that training has not seen
+    for rows in (df, test):
+        want, got = ({r["i"]: r for r in m.transform(rows).collect()} for m in (plain, merged))
+        assert len(got) == 3000
+        for i, r in got.items():
+            assert abs(r["prediction"] - want[i]["prediction"]) < 1e-6
+            if classes == 2:
+                assert abs(r["probability"][1] - want[i]["probability"][1]) < 1e-6
+
+
+def test_large_training_sides_are_merged_by_bins(spark):
+    df = spark.range(20_000).select(
+        array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") * 7919 % 20_011).cast("double"))).alias(TREE),
+        (F.col("id") % 13).cast("double").alias("label"),
+    )
+    trees = md.estimator("lightgbm_regressor", "regression", n_train=20_000, trees=1)
+    edges = bo.tree_edges(df, TREE, md.MAX_BINS)
+    assert edges[0].tolist() == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and len(edges[1]) == 63
+    merged = trees.merged(df, edges).collect()
+    assert len(merged) <= 7 * 64 and sum(r[md.ROWS] for r in merged) == 20_000
+    assert abs(sum(r["label"] * r[md.ROWS] for r in merged) - sum(i % 13 for i in range(20_000))) < 1e-6
+    share = np.zeros(64)
+    for r in merged:
+        share[int(r[md.BINS][1])] += r[md.ROWS]
+    assert share.min() > 0.9 * 20_000 / 64 and share.max() < 1.1 * 20_000 / 64
+    assert isinstance(md.estimator("lightgbm_regressor", "regression", n_train=10_000), md.GBTRegressor)
