@@ -51,7 +51,7 @@ MAX_BINS = 64
 # training sides are binned by bounds from all rows and merged (``MergedTrees``).
 MERGE_ROWS = 10_000
 # Merged rows of a task.
-MERGED_MIN, MERGED_MAX = 5_000, 100_000
+MERGED_MIN, MERGED_MAX = 20_000, 100_000
 
 # Tree growth: level by level in pyspark.ml (faster: its job per level is the cheaper one), or as the family defines it.
 LEVEL, FAMILY = "level", "family"
